@@ -1,0 +1 @@
+"""Every workload of this library is a batch job, so there is nothing here."""
