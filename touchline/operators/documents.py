@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OPEN, _ROW, _CLOSE = 0, 1, 2
+OPEN, ROW, CLOSE = 0, 1, 2
 LINE_ORDER = ["table", "part"]
 
 
@@ -29,13 +29,13 @@ def document_lines(
     first = rows.groupBy(*keys, "table").agg(F.min(place).alias("_first"))
     comma = F.when(place.eqNullSafe(F.col("_first")), "").otherwise(",")
     body = rows.join(first, [*keys, "table"]).select(
-        *keys, "table", F.lit(_ROW).alias("part"), *order_by, F.concat(comma, "value").alias("value")
+        *keys, "table", F.lit(ROW).alias("part"), *order_by, F.concat(comma, "value").alias("value")
     )
     frame = []
     for index, name in enumerate(tables):
         head = "{" if index == 0 else ""
         tail = "}" if index == len(tables) - 1 else ","
-        frame += [(index, _OPEN, f'{head}"{name}": ['), (index, _CLOSE, f"]{tail}")]
+        frame += [(index, OPEN, f'{head}"{name}": ['), (index, CLOSE, f"]{tail}")]
     lines = F.array(
         *[
             F.struct(F.lit(t).alias("table"), F.lit(p).alias("part"), F.lit(v).alias("value"))

@@ -14,26 +14,30 @@ from pyspark.sql import functions as F
 from touchline.operators.ordered import ordered, running_totals, with_position
 
 
-def roc_points(data: DataFrame, target: Column, prediction: str) -> DataFrame:
-    """True and false positives at every distinct prediction taken as threshold."""
+def _ranked_scores(data: DataFrame, target: Column, prediction: str) -> DataFrame:
+    """Per distinct prediction: its own rows, and the rows at or above it, by class."""
     scores = data.groupBy(F.col(prediction).alias("threshold")).agg(
         F.count_if(target).alias("_pos"), F.count_if(~target).alias("_neg")
     )
-    ranked = running_totals(
+    return running_totals(
         ordered(scores, F.desc("threshold")), {"tp": F.col("_pos"), "fp": F.col("_neg")}
     )
-    totals = scores.agg(F.struct(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))).scalar()
+
+
+def roc_points(data: DataFrame, target: Column, prediction: str) -> DataFrame:
+    """True and false positives at every distinct prediction taken as threshold."""
+    ranked = _ranked_scores(data, target, prediction)
+    totals = ranked.agg(F.struct(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))).scalar()
     return ranked.select(
         "threshold", "tp", "fp",
         F.try_divide("tp", totals["p"]).alias("tpr"),
         F.try_divide("fp", totals["n"]).alias("fpr"),
-        "_pos", "_neg",
     )
 
 
 def auc(data: DataFrame, target: Column, prediction: str) -> DataFrame:
     """Area under the ROC curve by trapezoids; tied predictions share a point."""
-    points = roc_points(data, target, prediction)
+    points = _ranked_scores(data, target, prediction)
     area = F.sum(F.col("_neg") * (F.col("tp") - F.col("_pos") / 2))
     return points.agg(
         F.try_divide(area, F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc")

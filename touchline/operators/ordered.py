@@ -15,13 +15,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from touchline.sources.tables import materialise
 
 PART, SEQ = "_part", "_seq"
 _BITS = 33  # monotonically_increasing_id: partition number above, row number below
-_IN_PART = W.partitionBy(PART).orderBy(SEQ)
+
+
+def _in_part() -> WindowSpec:
+    return W.partitionBy(PART).orderBy(SEQ)
 
 
 def ordered(frame: DataFrame, *order_by: Column) -> DataFrame:
@@ -46,7 +50,7 @@ def running_totals(placed: DataFrame, totals: Mapping[str, Column]) -> DataFrame
     valued = placed.select("*", *[column.alias(f"_v_{name}") for name, column in totals.items()])
     parts = valued.groupBy(PART).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in totals])
     offsets = _carried(parts, {f"_o_{n}": F.sum(f"_v_{n}") for n in totals})
-    so_far = _IN_PART.rowsBetween(W.unboundedPreceding, 0)
+    so_far = _in_part().rowsBetween(W.unboundedPreceding, 0)
     inside = valued.select(
         *placed.columns, *[F.sum(f"_v_{n}").over(so_far).alias(f"_s_{n}") for n in totals]
     )
@@ -70,7 +74,7 @@ def with_previous(placed: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     row = F.struct(*columns.values())
     parts = placed.groupBy(PART).agg(F.max_by(row, F.col(SEQ)).alias("_last"))
     carried = _carried(parts, {"_before": F.last("_last")})
-    inside = placed.withColumn("_inside", F.lag(row).over(_IN_PART))
+    inside = placed.withColumn("_inside", F.lag(row).over(_in_part()))
     previous = F.coalesce("_inside", "_before")
     return inside.join(carried, PART).select(
         *placed.columns, *[previous[source].alias(name) for name, source in columns.items()]

@@ -89,10 +89,15 @@ def standardize(
     moments = column_moments(source, columns).scalar()
 
     def scaled(name: str) -> Column:
-        value, std = F.col(name), moments[f"std_{name}"]
-        return F.when(F.abs(std) > 0.001, (value - moments[f"mean_{name}"]) / std).otherwise(value)
-
-    return data.withColumns({name: scaled(name) for name in columns})
+        value, std = F.col(name), F.col("_moments")[f"std_{name}"]
+        mean = F.col("_moments")[f"mean_{name}"]
+        return F.when(F.abs(std) > 0.001, (value - mean) / std).otherwise(value)
+
+    return (
+        data.withColumn("_moments", moments)
+        .withColumns({name: scaled(name) for name in columns})
+        .drop("_moments")
+    )
 
 
 def splice(data: DataFrame, columns: Sequence[str]) -> DataFrame:
