@@ -1,7 +1,7 @@
 """The event counters, declared as data.
 
-A counter is a test on the event and, for most, a test on one qualifier
-``(type, value)``. The same declaration serves both grains:
+A counter is a test on the event and, for most, a test on one qualifier's type
+and pass band. The same declaration serves both grains:
 
 * qualifier grain (the default): one row per (event, qualifier), so a counter
   without a qualifier test counts an event once per qualifier;
@@ -31,12 +31,12 @@ class Counter:
     def on_qualifier_row(self) -> Column:
         if self.qualifier is None:
             return self.event
-        return self.event & self.qualifier(F.col("type"), F.col("value"))
+        return self.event & self.qualifier(F.col("type"), F.col("band"))
 
     def on_event_row(self) -> Column:
         if self.qualifier is None:
             return self.event
-        return self.event & F.exists("qualifiers", lambda q: self.qualifier(q["type"], q["value"]))
+        return self.event & F.exists("qualifiers", lambda q: self.qualifier(q["type"], q["band"]))
 
 
 BANDS = range(len(schema.X_EDGES) + 1)
@@ -61,15 +61,17 @@ def _none_of(*types: int) -> QualifierTest:
 
 
 def _ends_in(band: int) -> QualifierTest:
-    def test(kind: Column, value: Column) -> Column:
-        end_x = value.try_cast("double")
-        return (
-            (kind == schema.PASS_END_X)
-            & end_x.isNotNull()
-            & (bucket(end_x, schema.X_EDGES) == band)
-        )
+    return lambda _, pass_band: pass_band == band
+
+
+def pass_end(kind: Column, value: Column) -> Column:
+    """Where a pass ends, from the qualifier that tells it."""
+    return F.when(kind == schema.PASS_END_X, value.try_cast("double"))
 
-    return test
+
+def pass_band(end_x: Column) -> Column:
+    """The band of the field a pass ends in; NULL for other qualifiers."""
+    return F.when(end_x.isNotNull(), bucket(end_x, schema.X_EDGES))
 
 
 def counters() -> list[Counter]:
@@ -121,15 +123,22 @@ COUNTED_TYPES = (
 )
 
 
-def row_gates() -> list[Counter]:
-    """Which rows may be counted at all; shots need outcome 1."""
+def countable() -> list[Counter]:
+    """The rows that may be counted and do count in some counter.
+
+    Shots need outcome 1. A shot with a free-kick-shot or own-goal qualifier
+    counts only as a goal, and one without any qualifier not at all.
+    """
     typeid = F.col("typeid")
-    always = (schema.FOUL, schema.OUT, schema.TACKLE, *schema.INTERCEPTIONS)
+    done = F.col("outcomeid") == 1
+    neither = _none_of(schema.FREE_KICK_SHOT, schema.OWN_GOAL)
     return [
-        Counter("plain event", typeid.isin(*always)),
+        Counter("stopped play", typeid.isin(schema.FOUL, schema.OUT) & done),
+        Counter("won ball", typeid.isin(schema.TACKLE, *schema.INTERCEPTIONS)),
         Counter("save", typeid == schema.SAVE, _none_of(schema.NOT_A_SAVE)),
-        Counter("pass", typeid == schema.PASS, _one_of(schema.PASS_END_X)),
-        Counter("shot", typeid.isin(*schema.SHOTS) & (F.col("outcomeid") == 1)),
+        Counter("pass", typeid == schema.PASS, lambda _, band: band.isNotNull()),
+        Counter("goal", (typeid == schema.GOAL) & done, lambda kind, _: kind.isNotNull()),
+        Counter("shot", typeid.isin(*schema.SHOTS) & done, neither),
         Counter("card", typeid == schema.CARD, _one_of(schema.YELLOW, *schema.RED)),
     ]
 

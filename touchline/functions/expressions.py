@@ -50,13 +50,18 @@ def equals_integer(number: int) -> Callable[[Column], Column]:
     return lambda column: column.cast("int") == int(number)
 
 
-def qualifier_types() -> Column:
-    """The types of an event's qualifiers; reads only that field of the array."""
-    return F.array_compact(F.coalesce(F.col("qualifiers.type"), F.array().cast("array<int>")))
-
-
 def has_qualifier(*types: int) -> Column:
-    """Does any qualifier of the event have one of these types?"""
+    """Does any qualifier of the event have one of these types?
+
+    Reads only the types out of the qualifier array.
+    """
     if len(types) == 1:
-        return F.array_contains(qualifier_types(), types[0])
-    return F.arrays_overlap(qualifier_types(), F.array(*[F.lit(t) for t in types]))
+        found = F.array_contains(F.col("qualifiers.type"), types[0])
+    else:
+        found = F.arrays_overlap(F.col("qualifiers.type"), F.array(*[F.lit(t) for t in types]))
+    return F.coalesce(found, F.lit(False))
+
+
+def is_qualified() -> Column:
+    """Does the event have any qualifier with a type?"""
+    return F.array_max(F.col("qualifiers.type")).isNotNull()

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline import schema
-from touchline.functions.expressions import has_qualifier, qualifier_types
+from touchline.functions.expressions import has_qualifier, is_qualified
 
 TEAM = ["matchid", "teamid"]
 
@@ -42,7 +42,7 @@ def _is_chance() -> Column:
     """A shot whose chance can be rated: qualified, and neither blocked, set nor own goal."""
     return (
         F.col("typeid").isin(*schema.SHOTS_WITH_CHANCE)
-        & (F.size(qualifier_types()) > 0)
+        & is_qualified()
         & ~has_qualifier(
             schema.BLOCKED, schema.FREE_KICK_SHOT, schema.PENALTY, schema.OWN_GOAL
         )

@@ -105,7 +105,7 @@ def train_model(
     outcomes.
     """
     ignored = [*(get_non_feature_columns() if ignore is None else ignore), target]
-    train, test = split(prepare_data(data), seed=seed)
+    train, test = split(materialise(prepare_data(data)), seed=seed)
     features = _feature_columns(data, ignored)
     columns = [*features, *[f"opp_{name}" for name in features if name != "is_home"]]
     spliced = _spliced(train, features, None)

@@ -22,8 +22,10 @@ from touchline.functions.counters import (
     COUNTED_TYPES,
     STATE_COUNTERS,
     Counter,
+    countable,
     counters,
-    row_gates,
+    pass_band,
+    pass_end,
 )
 from touchline.functions.expressions import bucket, zone_x, zone_y
 from touchline.operators.events import explode_qualifiers
@@ -51,12 +53,25 @@ def _row_test(counter: Counter, event_grain: bool) -> Column:
 
 
 def countable_rows(events: DataFrame, event_grain: bool = False) -> DataFrame:
-    """The rows that pass the row gate and count somewhere, at either grain."""
-    wanted = events.filter(F.col("typeid").isin(*COUNTED_TYPES))
-    rows = wanted if event_grain else explode_qualifiers(wanted)
-    for tests in (row_gates(), counters()):
-        rows = rows.filter(reduce(or_, [_row_test(test, event_grain) for test in tests]))
-    return rows
+    """The rows that count in some counter, at qualifier grain or at event grain."""
+    rows = events.filter(F.col("typeid").isin(*COUNTED_TYPES))
+    if event_grain:
+        coded = F.transform(
+            "qualifiers",
+            lambda q: F.struct(
+                q["type"].alias("type"),
+                pass_band(pass_end(q["type"], q["value"])).alias("band"),
+            ),
+        )
+        rows = rows.withColumn("qualifiers", coded)
+    else:
+        rows = (
+            explode_qualifiers(rows)
+            .withColumn("_end_x", pass_end(F.col("type"), F.col("value")))
+            .withColumn("band", pass_band(F.col("_end_x")))
+            .drop("value", "_end_x")
+        )
+    return rows.filter(reduce(or_, [_row_test(test, event_grain) for test in countable()]))
 
 
 def game_summary(

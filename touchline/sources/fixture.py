@@ -127,7 +127,10 @@ def _store_once(derive: Callable[[SparkSession, str], DataFrame]):
     def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
         if key not in _stored:
-            _stored[key] = materialise(derive(spark, sf_dir))
+            table, cores = derive(spark, sf_dir), spark.sparkContext.defaultParallelism
+            if table.rdd.getNumPartitions() < cores:  # a single small input file
+                table = table.repartition(cores)
+            _stored[key] = materialise(table)
         return _stored[key]
 
     return stored

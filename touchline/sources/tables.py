@@ -87,8 +87,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once and return the stored table."""
+    """Write ``frame`` once and return the stored table.
+
+    The tables of a run lie in one folder, named after the application, and can
+    be deleted when the run is over.
+    """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/touchline/{uuid.uuid4().hex}"
+    run = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/touchline/{run}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
