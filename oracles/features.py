@@ -95,3 +95,4 @@ QUERIES = {
         SELECT {GAME}, {rounded_all(HISTORY)} FROM history WHERE competitionid = 4""",
     "p18d_get_features": f"SELECT {FEATURES} FROM features",
 }
+QUERIES["p18d_get_game_summaries"] = QUERIES["p17_team_game_op_summary"]

@@ -108,3 +108,4 @@ QUERIES = {
         SELECT matchid, teamid, {rounded_all(_RATES)}, {rounded_all(["cards", "goals"])},
                timestamp, {_META} FROM corrected_summary""",
 }
+QUERIES["p14_team_stats_stored"] = QUERIES["p13_team_game_summary_corrected"]

@@ -169,3 +169,4 @@ QUERIES = {
                {rounded("COALESCE(SUM(probability) OVER (PARTITION BY playerid, section ORDER BY transition ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", "threshold")}
         FROM transition_share""",
 }
+QUERIES["p30_state_document"] = QUERIES["p30_state_summary"]

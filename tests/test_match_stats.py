@@ -97,6 +97,15 @@ def test_double_ingestion_is_scaled(spark):
     assert double.pass_ratio == 6 / 9 and double.length == single.length
 
 
+def test_stored_summary_serves_without_touches(spark):
+    games, raw = match_games(spark, GAMES), touches(spark, passes(1))
+    stored = match_stats.team_game_summary_corrected(raw, games)
+    assert match_stats.team_stats(games, stored=stored).collect() == stored.collect()
+    assert match_stats.team_stats(games, raw).collect() == stored.collect()
+    with pytest.raises(ValueError):
+        match_stats.team_stats(games)
+
+
 def test_feature_columns_keep_their_order():
     columns = ["matchid", "b", "points", "a", "op_team_name"]
     assert match_stats.get_feature_columns(columns) == ["b", "a"]

@@ -1,11 +1,10 @@
 import json
 
 import pytest
-from micro import touch, touches
+from micro import line_up, touch, touches
 
 from touchline.plans.player_tables import write_player_tables
 from touchline.sources import tables
-from micro import line_up
 
 
 def test_home_advantage_csv(spark, tmp_path):
@@ -32,6 +31,14 @@ def test_write_replaces_and_views(spark, tmp_path):
     assert tables.read_table(spark, "some_view").count() == 4
 
 
+def test_dataset_holds_tables(spark):
+    tables.create_dataset(spark, "season")
+    tables.create_dataset(spark, "season")
+    tables.write_table(spark.range(2), "season.games")
+    tables.write_table(spark.range(7), "season.games")
+    assert tables.read_table(spark, "season.games").count() == 7
+
+
 def test_json_keeps_nulls(spark, tmp_path):
     frame = spark.sql("SELECT 1 AS team, 2 AS a, CAST(NULL AS INT) AS b")
     assert tables.json_rows(frame, "team").first().value == '{"a":2,"b":null}'

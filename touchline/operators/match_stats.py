@@ -235,6 +235,20 @@ def team_game_summary_corrected(
     )
 
 
+def team_stats(
+    match_games: DataFrame,
+    touches: DataFrame | None = None,
+    stored: DataFrame | None = None,
+    goals: DataFrame | None = None,
+) -> DataFrame:
+    """The team summary: corrected, from raw touches where there are any, else as stored."""
+    if touches is not None:
+        return team_game_summary_corrected(touches, match_games, goals)
+    if stored is None:
+        raise ValueError("either raw touches or a stored summary is needed")
+    return stored
+
+
 # Metadata and outcomes: columns a model must not see.
 NON_FEATURE_COLUMNS = (
     "teamid", "op_teamid", "matchid", "competitionid", "seasonid",

@@ -28,7 +28,7 @@ class MatchTables:
     def from_touches(touches: DataFrame, match_games: DataFrame) -> MatchTables:
         """Compute the summary and the score from the raw events."""
         goals = materialise(match_stats.match_goals(touches))
-        summary = match_stats.team_game_summary_corrected(touches, match_games)
+        summary = match_stats.team_stats(match_games, touches)
         return MatchTables.from_stored(materialise(summary), goals, match_games)
 
     @staticmethod

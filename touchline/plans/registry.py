@@ -32,6 +32,7 @@ from touchline.operators import (
 from touchline.plans.match_features import (
     MatchTables,
     get_features,
+    get_game_summaries,
     get_wc_features,
 )
 from touchline.plans.player_tables import PlayerTables
@@ -189,6 +190,16 @@ def _bundle_rows(t: Inputs) -> DataFrame:
     )
 
 
+def _state_rows(t: Inputs) -> DataFrame:
+    """The JSON documents of all matches, parsed back into rows."""
+    stored = t.state
+    types = dict(stored.dtypes)
+    row_schema = ", ".join(f"`{name}` {types[name]}" for name in state.STATE_COLUMNS)
+    text = F.regexp_replace("value", "^,", "")
+    lines = state.state_document(stored).filter(F.col("part") == documents.ROW)
+    return lines.select(F.from_json(text, f"{row_schema}, copies bigint").alias("row")).select("row.*")
+
+
 def _thresholds(t: Inputs) -> DataFrame:
     cdf = scores.event_cdf(scores.event_probabilities(t.game_summary))
     return cdf.select(
@@ -219,7 +230,11 @@ def _win_coefficients(t: Inputs) -> DataFrame:
 
 
 def _poisson(t: Inputs) -> DataFrame:
-    model = models.build_model_poisson(t.balanced, F.col("goals").cast("double"), GOAL_FEATURES)
+    scored = match_stats.raw_goals(t.touches).select(
+        *match_stats.TEAM, F.col("goals").cast("double").alias("scored")
+    )
+    rows = t.balanced.join(scored, match_stats.TEAM)
+    model = models.build_model_poisson(rows, F.col("scored"), GOAL_FEATURES)
     rows = models.coefficients(model, GOAL_FEATURES)
     return t.spark.createDataFrame(rows, "feature string, coefficient double")
 
@@ -270,6 +285,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "p13_team_game_summary_corrected": lambda t: match_stats.team_game_summary_corrected(
         t.touches, t.match_games
     ),
+    "p14_team_stats_stored": lambda t: match_stats.team_stats(
+        t.match_games, stored=t.match_tables.summary
+    ),
     # rolling history
     "p15_feature_columns": lambda t: t.features.select(
         *match_stats.get_feature_columns(t.features.columns)
@@ -285,6 +303,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "p18b_history_features_with_goals": lambda t: t.match_tables.history_with_goals(HISTORY_SIZE),
     "p18c_wc_history_features": lambda t: get_wc_features(t.match_tables, HISTORY_SIZE),
     "p18d_get_features": lambda t: get_features(t.match_tables, HISTORY_SIZE),
+    "p18d_get_game_summaries": lambda t: get_game_summaries(t.match_tables),
     # probability tables and state
     "p19_shot_probability": _table("shot"),
     "p20_move_probability": lambda t: probability.move_probability(t.move_summary),
@@ -299,6 +318,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "p28_probability_bundle": _bundle_rows,
     "p29_player_state_asof": lambda t: state.player_state_asof(t.state, 0.5),
     "p30_state_summary": lambda t: state.state_summary(t.state),
+    "p30_state_document": _state_rows,
     "p31_pass_by_position": lambda t: probability.probability(
         t.game_summary, "pass", probability.POSITION
     ),
