@@ -30,6 +30,15 @@ def zone_y(y: Column) -> Column:
     return bucket(y, schema.Y_EDGES)
 
 
+def count_where(test: Column) -> Column:
+    """Rows that pass a test.
+
+    Not count_if: that one turns each test into a column below the aggregation,
+    and with many overlapping tests the planning time explodes.
+    """
+    return F.count(F.when(test, 1))
+
+
 def guarded_ratio(top: Column, bottom: Column, default: Column) -> Column:
     """``top / bottom`` where ``bottom`` is positive, else ``default``."""
     return F.when(bottom > 0, F.try_divide(top, bottom)).otherwise(default)

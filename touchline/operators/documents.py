@@ -42,7 +42,7 @@ def document_lines(
             for t, p, v in frame
         ]
     )
-    outline = rows.select(*keys).distinct().select(*keys, F.inline(lines))
+    outline = first.select(*keys).distinct().select(*keys, F.inline(lines))
     return body.unionByName(outline, allowMissingColumns=True)
 
 

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.functions.expressions import count_where
 from touchline.operators.ordered import ordered, running_totals, with_position
 
 
 def _ranked_scores(data: DataFrame, target: Column, prediction: str) -> DataFrame:
     """Per distinct prediction: its own rows, and the rows at or above it, by class."""
     scores = data.groupBy(F.col(prediction).alias("threshold")).agg(
-        F.count_if(target).alias("_pos"), F.count_if(~target).alias("_neg")
+        count_where(target).alias("_pos"), count_where(~target).alias("_neg")
     )
     return running_totals(
         ordered(scores, F.desc("threshold")), {"tp": F.col("_pos"), "fp": F.col("_neg")}
@@ -71,10 +72,10 @@ def validate(
     )
     actual = F.coalesce("_actual", F.lit(False))
     cells = ranked.select(actual.alias("a"), predicted.alias("p")).agg(
-        F.count_if(F.col("a") & F.col("p")).alias("tp"),
-        F.count_if(~F.col("a") & ~F.col("p")).alias("tn"),
-        F.count_if(~F.col("a") & F.col("p")).alias("fp"),
-        F.count_if(F.col("a") & ~F.col("p")).alias("fn"),
+        count_where(F.col("a") & F.col("p")).alias("tp"),
+        count_where(~F.col("a") & ~F.col("p")).alias("tn"),
+        count_where(~F.col("a") & F.col("p")).alias("fp"),
+        count_where(F.col("a") & ~F.col("p")).alias("fn"),
     )
     tp, tn, fp, fn = (F.col(name) for name in ("tp", "tn", "fp", "fn"))
     count = tp + tn + fp + fn

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline import schema
-from touchline.functions.expressions import has_qualifier, is_qualified
+from touchline.functions.expressions import count_where, has_qualifier, is_qualified
 
 TEAM = ["matchid", "teamid"]
 
@@ -67,7 +67,7 @@ def expected_goals(touches: DataFrame) -> DataFrame:
         .groupBy(*TEAM)
         .agg(
             F.count("eventid").alias("sot"),
-            F.count_if(_is_scored()).alias("goals"),
+            count_where(_is_scored()).alias("goals"),
             F.avg(_shot_distance()).alias("avgdist"),
             F.sum(_goal_chance()).alias("xG"),
         )
@@ -80,8 +80,8 @@ def pass_stats(touches: DataFrame) -> DataFrame:
         touches.filter(F.col("typeid") == schema.PASS)
         .groupBy(*TEAM)
         .agg(
-            F.count_if(_pass_beyond(80)).alias("pass_80"),
-            F.count_if(_pass_beyond(70)).alias("pass_70"),
+            count_where(_pass_beyond(80)).alias("pass_80"),
+            count_where(_pass_beyond(70)).alias("pass_70"),
         )
     )
 
@@ -93,7 +93,7 @@ def own_goals_by_team(touches: DataFrame) -> DataFrame:
 
 def own_goal_credit(touches: DataFrame) -> DataFrame:
     """Own goals with the team they are credited to and the team they are taken from."""
-    teams = touches.groupBy(*TEAM).agg(F.count_if(_is_own_goal()).alias("cnt"))
+    teams = touches.groupBy(*TEAM).agg(count_where(_is_own_goal()).alias("cnt"))
     scorers = teams.select("matchid", F.col("teamid").alias("deduct_team"), "cnt")
     return (
         teams.select("matchid", F.col("teamid").alias("credit_team"))
@@ -109,7 +109,7 @@ def raw_goals(touches: DataFrame) -> DataFrame:
         touches.filter(_scores_or_marks())
         .groupBy(*TEAM)
         .agg(
-            F.count_if(_is_raw_goal()).alias("goals"),
+            count_where(_is_raw_goal()).alias("goals"),
             F.max(F.unix_micros("timestamp")).alias("timestamp"),
         )
     )
@@ -117,10 +117,10 @@ def raw_goals(touches: DataFrame) -> DataFrame:
 
 def _score_aggregates() -> list[Column]:
     return [
-        F.count_if(_is_raw_goal()).alias("_raw_goals"),
-        F.count_if(_is_own_goal()).alias("_own_goals"),
+        count_where(_is_raw_goal()).alias("_raw_goals"),
+        count_where(_is_own_goal()).alias("_own_goals"),
         F.max(F.when(_scores_or_marks(), F.unix_micros("timestamp"))).alias("_scored_at"),
-        F.count_if(_scores_or_marks()).alias("_score_rows"),
+        count_where(_scores_or_marks()).alias("_score_rows"),
     ]
 
 
@@ -158,15 +158,15 @@ def team_game_summary(
     typeid, done = F.col("typeid"), F.col("outcomeid") == 1
     passing = typeid == schema.PASS
     teams = touches.groupBy(*TEAM).agg(
-        F.count_if(passing & done).alias("_passes"),
-        F.count_if(passing & (F.col("outcomeid") == 0)).alias("_bad_passes"),
-        F.count_if(passing).alias("_pass_rows"),
-        F.count_if((typeid == schema.CORNER) & done).alias("_corners"),
-        F.count_if((typeid == schema.FOUL) & done).alias("_fouls"),
-        F.count_if(typeid.isin(*schema.SHOTS)).alias("_shots"),
-        F.count_if(typeid == schema.CARD).alias("cards"),
-        F.count_if(_pass_beyond(80)).alias("_pass_80"),
-        F.count_if(_pass_beyond(70)).alias("_pass_70"),
+        count_where(passing & done).alias("_passes"),
+        count_where(passing & (F.col("outcomeid") == 0)).alias("_bad_passes"),
+        count_where(passing).alias("_pass_rows"),
+        count_where((typeid == schema.CORNER) & done).alias("_corners"),
+        count_where((typeid == schema.FOUL) & done).alias("_fouls"),
+        count_where(typeid.isin(*schema.SHOTS)).alias("_shots"),
+        count_where(typeid == schema.CARD).alias("cards"),
+        count_where(_pass_beyond(80)).alias("_pass_80"),
+        count_where(_pass_beyond(70)).alias("_pass_70"),
         F.unix_millis(F.max("timestamp")).alias("timestamp"),
         F.max("min").alias("length"),
         F.count(F.when(_is_chance(), F.col("eventid"))).alias("_on_target"),

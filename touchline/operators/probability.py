@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.counters import PASS_ATTEMPTS, PASSES, SET_PIECES
-from touchline.functions.expressions import share
+from touchline.functions.expressions import count_where, share
 from touchline.operators.documents import document_lines
-from touchline.sources.tables import json_rows
 
 ZONE = ["section_x", "section_y"]
 PLAYER = ("teamid", "playerid")
@@ -118,14 +117,38 @@ def with_position_fallback(summary: DataFrame, table: str) -> DataFrame:
     )
 
 
-def bundle_tables(
-    summary: DataFrame, moves: DataFrame, by: Sequence[str] = PLAYER
-) -> dict[str, DataFrame]:
-    """The ten tables of the bundle, in its order."""
-    return {
-        name: move_probability(moves, by) if name == "move" else probability(summary, name, by)
-        for name in BUNDLE
-    }
+def _row_text(names: Mapping[str, Column]) -> Column:
+    values = [value.alias(name) for name, value in names.items()]
+    return F.to_json(F.struct("playerid", *ZONE, *values), {"ignoreNullFields": "false"})
+
+
+def _share_rows(summary: DataFrame) -> DataFrame:
+    """The rows of all share tables as JSON text, from one grouping of the summary."""
+    sums, entries = [], []
+    for name, shares in SHARES.items():
+        whole = _total(shares.whole)
+        counts = whole > 0 if shares.needs_whole else F.lit(True)
+        sums += [
+            count_where(counts).alias(f"{name}_rows"),
+            F.sum(F.when(counts, whole)).alias(f"{name}_whole"),
+            *[F.sum(F.when(counts, F.col(c))).alias(f"{name}_{p}") for p, c in shares.parts.items()],
+        ]
+        ratios = {p: F.try_divide(f"{name}_{p}", f"{name}_whole") for p in shares.parts}
+        entries.append(
+            F.struct(
+                F.lit(BUNDLE.index(name)).alias("table"),
+                (F.col(f"{name}_rows") > 0).alias("_present"),
+                _row_text(ratios).alias("value"),
+            )
+        )
+    grouped = summary.groupBy(*PLAYER, *ZONE).agg(*sums)
+    return grouped.select(*PLAYER, *ZONE, F.inline(F.array(*entries))).filter("_present")
+
+
+def _move_rows(moves: DataFrame) -> DataFrame:
+    text = _row_text({name: F.col(name) for name in MOVES})
+    table = F.lit(BUNDLE.index("move")).alias("table")
+    return move_probability(moves).select(*PLAYER, *ZONE, table, text.alias("value"))
 
 
 def probability_bundle(
@@ -139,13 +162,5 @@ def probability_bundle(
     if teamid is not None:
         summary = summary.filter(F.col("teamid") == teamid)
         moves = moves.filter(F.col("teamid") == teamid)
-    parts = []
-    for index, rows in enumerate(bundle_tables(summary, moves).values()):
-        sort_keys = [F.col(name).alias(f"_{name}") for name in ("playerid", *ZONE)]
-        keyed = rows.select("teamid", *sort_keys, *rows.drop("teamid").columns)
-        text = json_rows(keyed, "teamid", *[f"_{name}" for name in ("playerid", *ZONE)])
-        parts.append(text.withColumn("table", F.lit(index)))
-    every = reduce(DataFrame.unionByName, parts).withColumnsRenamed(
-        {f"_{name}": name for name in ("playerid", *ZONE)}
-    )
-    return document_lines(every, ["teamid"], BUNDLE, ["playerid", *ZONE])
+    rows = _share_rows(summary).drop("_present").unionByName(_move_rows(moves))
+    return document_lines(rows, ["teamid"], BUNDLE, ["playerid", *ZONE])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline import schema
 from touchline.functions.counters import PASS_ATTEMPTS, PASSES, SET_PIECES
+from touchline.functions.expressions import count_where
 
 # transition -> counter of the game summary
 _COUNTER_OF = {
@@ -74,7 +75,7 @@ def win_probability(scores: DataFrame) -> DataFrame:
     """Percent of matches won by side 0, drawn, and won by side 1, to 2 decimals."""
 
     def percent(test: Column) -> Column:
-        return F.round(F.try_divide(100 * F.count_if(test), F.count("*")), 2)
+        return F.round(F.try_divide(100 * count_where(test), F.count("*")), 2)
 
     own, other = F.col("goals0"), F.col("goals1")
     return scores.agg(

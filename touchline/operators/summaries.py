@@ -27,7 +27,7 @@ from touchline.functions.counters import (
     pass_band,
     pass_end,
 )
-from touchline.functions.expressions import bucket, zone_x, zone_y
+from touchline.functions.expressions import bucket, count_where, zone_x, zone_y
 from touchline.operators.events import explode_qualifiers
 
 PLAYER = ["matchid", "teamid", "playerid"]
@@ -43,11 +43,6 @@ def _total(names: list[str]) -> Column:
     return reduce(add, [F.col(name) for name in names])
 
 
-def _counted(test: Column) -> Column:
-    # not count_if: its shared subexpressions make the planning of 34 tests explode
-    return F.sum(F.when(test, 1).otherwise(0))
-
-
 def _row_test(counter: Counter, event_grain: bool) -> Column:
     return counter.on_event_row() if event_grain else counter.on_qualifier_row()
 
@@ -88,7 +83,7 @@ def game_summary(
     counted = (
         countable_rows(events, event_grain)
         .groupBy(*place)
-        .agg(*[_counted(_row_test(c, event_grain)).alias(c.name) for c in declared])
+        .agg(*[count_where(_row_test(c, event_grain)).alias(c.name) for c in declared])
         .select("*", *[_total(parts).alias(name) for name, parts in COMPOSITES.items()])
     )
     return counted.join(_position_counts(positions), PLAYER).select(
@@ -152,7 +147,7 @@ def move_summary(
     for axis in "xy":
         now, before = F.col(f"section_{axis}"), F.col(f"_from_{axis}")
         for turn, test in ((2, now < before), (1, now == before), (0, now > before)):
-            directions.append(F.count_if(test).alias(f"direction_{axis}_{turn}"))
+            directions.append(count_where(test).alias(f"direction_{axis}_{turn}"))
     key = [*PLAYER, "timestamp", "section_x", "section_y"]
     moves = zoned.groupBy(*key).agg(*directions, F.count("*").alias("_rows"))
     times = F.col("_times")
