@@ -49,7 +49,7 @@ def games_with_stats(match_games: DataFrame, summary: DataFrame) -> DataFrame:
 def team_game_op_summary(summary: DataFrame) -> DataFrame:
     """Each team's figures beside its opponent's (``op_``), ratios and points.
 
-    Reads ``summary`` twice, so pass a stored table.
+    The summary has one row for each of the two teams of a match. Reads ``summary`` twice, so pass a stored table.
     """
     cur, opp = summary.alias("cur"), summary.alias("opp")
     paired = cur.join(opp, F.col("cur.matchid") == F.col("opp.matchid")).filter(

@@ -137,27 +137,25 @@ def _with_final_goals(teams: DataFrame) -> DataFrame:
     return teams.withColumn("goals", goals)
 
 
-def match_goals(touches: DataFrame) -> DataFrame:
-    """Final score per team, own goals moved to the opponent; time in microseconds."""
-    teams = touches.groupBy(*TEAM).agg(*_score_aggregates())
+def final_scores(totals: DataFrame) -> DataFrame:
+    """Final score per team from aggregated touches, see ``match_goals``."""
     return (
-        _with_final_goals(teams)
+        _with_final_goals(totals)
         .filter(F.col("_score_rows") > 0)
         .select(*TEAM, "goals", F.col("_scored_at").alias("timestamp"))
     )
 
 
-def team_game_summary(
-    touches: DataFrame, match_games: DataFrame, goals: DataFrame | None = None
-) -> DataFrame:
-    """Per-minute rates, pass ratio, cards, goals and chances per team and match.
+def match_goals(touches: DataFrame) -> DataFrame:
+    """Final score per team, own goals moved to the opponent; time in microseconds."""
+    return final_scores(touches.groupBy(*TEAM).agg(*_score_aggregates()))
 
-    ``goals`` is an optional stored score table (matchid, teamid, goals); by
-    default the score comes from the same pass over the touches.
-    """
+
+def team_totals(touches: DataFrame) -> DataFrame:
+    """Everything the summary and the score need, counted in one pass over the touches."""
     typeid, done = F.col("typeid"), F.col("outcomeid") == 1
     passing = typeid == schema.PASS
-    teams = touches.groupBy(*TEAM).agg(
+    return touches.groupBy(*TEAM).agg(
         count_where(passing & done).alias("_passes"),
         count_where(passing & (F.col("outcomeid") == 0)).alias("_bad_passes"),
         count_where(passing).alias("_pass_rows"),
@@ -173,10 +171,16 @@ def team_game_summary(
         F.sum(F.when(_is_chance(), _goal_chance())).alias("_xg"),
         *_score_aggregates(),
     )
+
+
+def summary_of_totals(
+    totals: DataFrame, match_games: DataFrame, goals: DataFrame | None = None
+) -> DataFrame:
+    """The team summary from ``team_totals``."""
     if goals is None:
-        teams = _with_final_goals(teams)
+        teams = _with_final_goals(totals)
     else:
-        teams = teams.join(goals.select(*TEAM, "goals"), TEAM, "left")
+        teams = totals.join(goals.select(*TEAM, "goals"), TEAM, "left")
     per_minute = {
         name: F.try_divide(f"_{name}", "length").alias(name)
         for name in (
@@ -208,6 +212,17 @@ def team_game_summary(
     )
 
 
+def team_game_summary(
+    touches: DataFrame, match_games: DataFrame, goals: DataFrame | None = None
+) -> DataFrame:
+    """Per-minute rates, pass ratio, cards, goals and chances per team and match.
+
+    ``goals`` is an optional stored score table (matchid, teamid, goals); by
+    default the score comes from the same pass over the touches.
+    """
+    return summary_of_totals(team_totals(touches), match_games, goals)
+
+
 def ingestion_multiplicity(touches: DataFrame) -> DataFrame:
     """How often the most repeated event of a match was ingested."""
     return (
@@ -218,16 +233,13 @@ def ingestion_multiplicity(touches: DataFrame) -> DataFrame:
     )
 
 
-def team_game_summary_corrected(
-    touches: DataFrame, match_games: DataFrame, goals: DataFrame | None = None
-) -> DataFrame:
-    """``team_game_summary`` scaled down where a match was ingested several times."""
+def scale_ingested(summary: DataFrame, multiplicity: DataFrame) -> DataFrame:
+    """Divide a summary's counts and rates by the multiplicity of its match."""
     scaled = {
         "passes", "bad_passes", "corners", "fouls", "shots", "cards", "pass_80", "pass_70",
         "goals", "expected_goals", "on_target",
     }
-    summary = team_game_summary(touches, match_games, goals)
-    return summary.join(ingestion_multiplicity(touches), "matchid").select(
+    return summary.join(multiplicity, "matchid").select(
         *[
             F.try_divide(name, "event_count").alias(name) if name in scaled else F.col(name)
             for name in summary.columns
@@ -235,6 +247,14 @@ def team_game_summary_corrected(
     )
 
 
+def team_game_summary_corrected(
+    touches: DataFrame, match_games: DataFrame, goals: DataFrame | None = None
+) -> DataFrame:
+    """``team_game_summary`` scaled down where a match was ingested several times."""
+    summary = team_game_summary(touches, match_games, goals)
+    return scale_ingested(summary, ingestion_multiplicity(touches))
+
+
 def team_stats(
     match_games: DataFrame,
     touches: DataFrame | None = None,

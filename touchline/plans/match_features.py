@@ -1,6 +1,6 @@
 """From touches to match features.
 
-The team summary and the score are stored once (one row per team and match) and
+Team totals and the team summary are stored once (one row per team and match) and
 serve every later step.
 """
 
@@ -26,9 +26,17 @@ class MatchTables:
 
     @staticmethod
     def from_touches(touches: DataFrame, match_games: DataFrame) -> MatchTables:
-        """Compute the summary and the score from the raw events."""
-        goals = materialise(match_stats.match_goals(touches))
-        summary = match_stats.team_stats(match_games, touches)
+        """Compute the summary and the score from the raw events.
+
+        The totals per team are counted in one scan, the repeated events in a
+        second one that reads two columns.
+        """
+        totals = materialise(match_stats.team_totals(touches))
+        summary = match_stats.scale_ingested(
+            match_stats.summary_of_totals(totals, match_games),
+            match_stats.ingestion_multiplicity(touches),
+        )
+        goals = match_stats.final_scores(totals)
         return MatchTables.from_stored(materialise(summary), goals, match_games)
 
     @staticmethod
