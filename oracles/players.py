@@ -1,7 +1,7 @@
 """Probability tables, state and score aggregates."""
 
 from oracles.events import STATE
-from oracles.sql import big, rounded, rounded_all
+from oracles.sql import rounded
 
 _PASSES = [f"pass_{band}" for band in range(6)]
 _PASS_WHOLE = [f"pass_attempt_{band}" for band in range(6)]

@@ -37,12 +37,11 @@ def ordered(frame: DataFrame, *order_by: Column) -> DataFrame:
     return materialise(stamped.withColumn(PART, F.shiftright(SEQ, _BITS)))
 
 
-def _carried(parts: DataFrame, carry: Mapping[str, Column]) -> DataFrame:
+def _carried(parts: DataFrame, carry: Mapping[str, Column], *keep: str) -> DataFrame:
     """Carry a value from partition to partition; one row per partition in all."""
     earlier = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    return F.broadcast(
-        parts.select(PART, *[column.over(earlier).alias(name) for name, column in carry.items()])
-    )
+    carried = [column.over(earlier).alias(name) for name, column in carry.items()]
+    return F.broadcast(parts.select(PART, *keep, *carried))
 
 
 def running_totals(placed: DataFrame, totals: Mapping[str, Column]) -> DataFrame:
@@ -63,8 +62,7 @@ def running_totals(placed: DataFrame, totals: Mapping[str, Column]) -> DataFrame
 def with_position(placed: DataFrame, name: str = "_pos") -> DataFrame:
     """Add the zero-based position in the whole order."""
     parts = placed.groupBy(PART).agg(F.count("*").alias("_rows"), F.min(SEQ).alias("_first"))
-    offsets = _carried(parts, {"_before": F.sum("_rows")})
-    starts = F.broadcast(parts.select(PART, "_first").join(offsets, PART))
+    starts = _carried(parts, {"_before": F.sum("_rows")}, "_first")
     place = F.col(SEQ) - F.col("_first") + F.coalesce("_before", F.lit(0))
     return placed.join(starts, PART).select(*placed.columns, place.alias(name))
 
