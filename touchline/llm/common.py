@@ -79,7 +79,7 @@ def _placed(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
 def link_buckets(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    rounds: int = 2,
+    rounds: int = 1,
     near: Callable[[str, str], object] | None = None,
 ) -> DataFrame:
     """Links that connect all similar nodes, without all pairs of a bucket.
