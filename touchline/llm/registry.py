@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from touchline.llm import language, quality
+from touchline.llm.fingerprints import document_fingerprints
 from touchline.llm.line_dedup import line_dedup
+from touchline.llm.minhash import minhash_groups
+from touchline.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +25,55 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(_documents(spark, sf_dir), percent=85)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir))
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(_documents(spark, sf_dir))
+
+
+def _fold(folds: int) -> Column:
+    """Remainder of the id's CRC-32, which says which documents are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(4) != 2)
+    scored = quality.score(docs, quality.train(docs, labels), keep=("doc_id",))
+    return scored.select(
+        "doc_id",
+        F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = language.train(docs.filter(_fold(5) != 0))
+    found = language.predict(docs, model, keep=("doc_id",))
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+QUERIES = [
+    op1_line_dedup,
+    op2_minhash_near_dedup,
+    op3_packing,
+    op4_document_fingerprints,
+    op5_quality_classifier,
+    op6_language_id,
+]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_dedup,)}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
