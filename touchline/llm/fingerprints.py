@@ -7,8 +7,8 @@ cell with a single one gives it away, and removing it from its other cells
 uncovers more. If that stops early, the tables were too small: larger ones are tried.
 
 Cells are rows, so all of it is grouping. The digests lie in a table bucketed
-by groups of documents, and every grouping extends that key: nothing is shuffled
-after the texts have met their successors.
+by groups of documents; every grouping extends that key and every join has it as its
+only key, so nothing is shuffled after the texts have met their successors.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from touchline.sources.tables import materialise
 
 PARTS = 3
 CHECK = 77  # seed of the check hash; the parts' cell numbers use 0, 1 and 2
-CELL = ["g", "rn", "pair", "part", "cell"]
+CELL = ["g", "rn", "pair", "size", "part", "cell"]
 
 
 def paragraphs(text: Column) -> Column:
@@ -35,19 +35,23 @@ def paragraphs(text: Column) -> Column:
     return F.coalesce(F.array_distinct(digests), F.array().cast("array<long>"))
 
 
-def _cell(key: Column, part: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(part)), F.lit(size)).cast("int")
+def _cell(key: Column, part: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(part)), F.col("size")).cast("int")
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(CHECK))
 
 
-def _cells(digests: DataFrame, size: int) -> DataFrame:
-    """Sum up rows (g, rn, pair, key, sign) to cells; a cell in which nothing is left has no row."""
-    placed = F.array(*[F.struct(F.lit(p).alias("part"), _cell(F.col("key"), p, size).alias("cell")) for p in range(PARTS)])
-    rows = digests.select("g", "rn", "pair", "key", "sign", _check(F.col("key")).alias("chk"), F.explode(placed).alias("at"))
-    return _summed(rows.select("g", "rn", "pair", "at.part", "at.cell", "sign", "key", "chk"))
+def _cells(digests: DataFrame) -> DataFrame:
+    """Sum up rows (g, rn, pair, size, key, sign) to cells; a cell in which nothing is left has no row.
+
+    ``size`` is the number of cells in each part.
+    """
+    key = F.col("key")
+    placed = F.array(*[F.struct(F.lit(p).alias("part"), _cell(key, p).alias("cell")) for p in range(PARTS)])
+    rows = digests.select("g", "rn", "pair", "size", "key", "sign", _check(key).alias("chk"), F.explode(placed).alias("at"))
+    return _summed(rows.select("g", "rn", "pair", "size", "at.part", "at.cell", "sign", "key", "chk"))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def _summed(rows: DataFrame) -> DataFrame:
     return found.filter("part < 0 OR sign <> 0 OR key <> 0 OR chk <> 0")
 
 
-def _peel_part(cells: DataFrame, part: int, size: int) -> DataFrame:
+def _peel_part(cells: DataFrame, part: int) -> DataFrame:
     """Take the digests that are alone in a cell of one part out of all their cells.
 
     A digest has one cell in a part, so none is taken twice. Recovered digests
@@ -71,25 +75,49 @@ def _peel_part(cells: DataFrame, part: int, size: int) -> DataFrame:
     key, sign, chk = F.col("key"), F.col("sign"), F.col("chk")
     alone = (F.col("part") == part) & (F.abs("sign") == 1) & (chk == _check(key))
     nothing = F.lit(0).cast("long")
-    others = [row(F.lit(p), _cell(key, p, size), -sign, key, chk) for p in range(PARTS) if p != part]
+    others = [row(F.lit(p), _cell(key, p), -sign, key, chk) for p in range(PARTS) if p != part]
     found = row(F.when(sign > 0, -1).otherwise(-2), F.lit(0), sign, nothing, nothing)
     same = row(F.col("part"), F.col("cell"), sign, key, chk)
     rows = F.when(alone, F.array(found, *others)).otherwise(F.array(same))
-    return _summed(cells.select("g", "rn", "pair", F.explode(rows).alias("r")).select("g", "rn", "pair", "r.*"))
+    return _summed(cells.select("g", "rn", "pair", "size", F.explode(rows).alias("r")).select("g", "rn", "pair", "size", "r.*"))
 
 
-def _differences(digests: DataFrame, size: int, turns: int) -> DataFrame:
+def _differences(digests: DataFrame, turns: int) -> DataFrame:
     """g, rn, pair, added, removed, left (cells that could not be resolved)."""
-    cells = _cells(digests, size)
-    for turn in range(turns):
+    cells = _cells(digests)
+    for _ in range(turns):
         for part in range(PARTS):
-            cells = _peel_part(cells, part, size)
+            cells = _peel_part(cells, part)
     count = lambda part: F.sum(F.when(F.col("part") == part, F.abs("sign")).otherwise(0))
     return cells.groupBy("g", "rn", "pair").agg(
         count(-1).alias("added"), count(-2).alias("removed"), F.count_if(F.col("part") >= 0).alias("left")
     )
 
 
+def _versions(table: DataFrame, *versions: tuple[int, int, str, Column]) -> DataFrame:
+    """Digest rows (g, rn, pair, size, key, sign) of (pair, sign, column, size), from one scan."""
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(pair).alias("pair"), F.lit(sign).cast("long").alias("sign"), size.cast("int").alias("size"),
+                F.col(column).alias("keys"),
+            )
+            for pair, sign, column, size in versions
+        ]
+    )
+    rows = table.select("g", "rn", *[c for c in ("pairs",) if c in table.columns], F.explode(listed).alias("v"))
+    if "pairs" in table.columns:
+        rows = rows.filter(F.array_contains("pairs", F.col("v.pair")))
+    return rows.select("g", "rn", "v.pair", "v.size", F.explode("v.keys").alias("key"), "v.sign")
+
+
+def _beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on (g, rn) with g as the only key, by which both sides are dealt already."""
+    other = right.withColumnsRenamed({"g": "_g", "rn": "_rn"})
+    same = (F.col("g") == F.col("_g")) & (F.col("rn") - F.col("_rn") == 0)
+    return left.join(other, same, how).drop("_g", "_rn")
+
+
 def _with_next(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFrame:
     """g, rn, doc_id, text, next: each text with that of the following document.
 
@@ -98,9 +126,10 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataF
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumn("g", F.floor(F.col("id") / group))
+    )
+    last = F.lit(LAST_ID) - F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    rows = rows.withColumn("id", F.coalesce("doc_id", last)).withColumn("g", F.floor(F.col("id") / group))
     order = W.partitionBy("g").orderBy("id", F.xxhash64("text"))
     inside = rows.select(
         "g", "doc_id", "text", F.row_number().over(order).alias("rn"), F.lead("text").over(order).alias("next")
@@ -118,10 +147,10 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataF
 
 def document_fingerprints(
     docs: DataFrame,
-    cells: int = 8,
+    cells: int = 4,
     growth: int = 4,
     turns: int = 4,
-    group: int = 500,
+    group: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -131,9 +160,10 @@ def document_fingerprints(
     (or all) of the next document by id; after the last comes the first.
 
     Args:
-        cells: cells in each part of the table that makes the fingerprint.
-        growth: factor by which the table grows when the difference of two
-            versions cannot be resolved; it grows until every one is.
+        cells: cells in each part of the table that is shown as the fingerprint.
+        growth: two versions are subtracted in tables with room for all their
+            digests; where peeling stops early all the same, the tables grow by this factor
+            until it does not.
         turns: passes over the parts before a difference counts as unresolved.
         group: ids of one window; more make larger windows, fewer more boundaries.
 
@@ -166,40 +196,32 @@ def document_fingerprints(
     texts.repartition(buckets, "g").write.format("parquet").bucketBy(buckets, "g").saveAsTable(name)
     table = spark.table(name)
 
-    def signed(rows: DataFrame, column: str, pair: int, sign: int) -> DataFrame:
-        parts = rows.select("g", "rn", F.lit(pair).alias("pair"), F.explode(column).alias("key"))
-        return parts.withColumn("sign", F.lit(sign).cast("long"))
+    shown = _cells(_versions(table, (0, 1, "own", F.lit(cells)), (1, 1, "edit", F.lit(cells))))
+    place = F.hex((F.col("part") * cells + F.col("cell")).cast("long"))
+    cell = F.concat_ws(".", place, "sign", F.hex("key"), F.substring(F.hex("chk"), 1, 8))
 
-    def versions(size: int) -> DataFrame:
-        both = signed(table, "own", 0, 1).union(signed(table, "edit", 1, 1))
-        cell = F.concat_ws(
-            ".", F.hex((F.col("part") * size + F.col("cell")).cast("long")), "sign", F.hex("key"), F.hex("chk")
-        )
-        listed = _cells(both, size).groupBy("g", "rn", "pair").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-        return listed.select("g", "rn", "pair", F.array_join("cells", " ").alias("shown"))
+    def version(pair: int) -> Column:
+        listed = F.collect_list(F.when(F.col("pair") == pair, cell))
+        return F.array_join(F.sort_array(listed), " ")
 
-    shown = versions(cells)
     shown = shown.groupBy("g", "rn").agg(
-        F.max(F.when(F.col("pair") == 0, F.col("shown"))).alias("fingerprint"),
-        F.max(F.when(F.col("pair") == 1, F.col("shown"))).alias("edited_fingerprint"),
+        version(0).alias("fingerprint"), version(1).alias("edited_fingerprint")
     )
 
-    size, resolved = cells, None
-    open_pairs = None  # all
+    room, open_rows, resolved = 1, table, None
     while True:
-        rows = table if open_pairs is None else table.join(open_pairs, ["g", "rn"])
-        pick = lambda pair: rows if open_pairs is None else rows.filter(F.array_contains("pairs", pair))
-        parts = [signed(pick(p), "own", p, 1) for p in (1, 2)]
-        parts += [signed(pick(1), "edit", 1, -1), signed(pick(2), "after", 2, -1)]
-        digests = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-        tried = materialise(_differences(digests, size, turns))
+        sizes = [F.floor((F.size("own") + F.size(other)) / 2 + 3) * room for other in ("edit", "after")]
+        digests = _versions(
+            open_rows, (1, 1, "own", sizes[0]), (1, -1, "edit", sizes[0]), (2, 1, "own", sizes[1]), (2, -1, "after", sizes[1])
+        )
+        tried = materialise(_differences(digests, turns))
         done = tried.filter("left = 0").drop("left")
         resolved = done if resolved is None else resolved.union(done)
         failed = tried.filter("left > 0")
         if failed.isEmpty():
             break
-        open_pairs = failed.groupBy("g", "rn").agg(F.collect_list("pair").alias("pairs"))
-        size *= growth
+        open_rows = _beside(table, failed.groupBy("g", "rn").agg(F.collect_list("pair").alias("pairs")), "inner")
+        room *= growth
 
     counts = resolved.groupBy("g", "rn").agg(
         *[
@@ -211,18 +233,21 @@ def document_fingerprints(
 
     def near(pair: int, other: str) -> Column:
         differ = F.coalesce(F.col(f"added{pair}") + F.col(f"removed{pair}"), F.lit(0))
-        total = F.size("own") + F.size(other)
+        total = F.col("n_own") + F.col(other)
         return F.when(total == 0, F.lit(1.0)).otherwise((total - differ) / (total + differ))
 
-    both = table.join(shown, ["g", "rn"], "left").join(counts, ["g", "rn"], "left")
-    return both.select(
+    base = table.select(
+        "g", "rn", "doc_id", "n_chars", "edited_sha256", F.size("own").alias("n_own"), F.size("edit").alias("n_edit"),
+        F.size("after").alias("n_after"),
+    )
+    return _beside(_beside(base, shown, "left"), counts, "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.coalesce("fingerprint", F.lit("")).alias("fingerprint"),
         F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
-        near(1, "edit").alias("near_edited"),
-        near(2, "after").alias("near_next"),
+        near(1, "n_edit").alias("near_edited"),
+        near(2, "n_after").alias("near_next"),
         F.coalesce("added1", F.lit(0)).alias("edited_added"),
         F.coalesce("removed1", F.lit(0)).alias("edited_removed"),
     )
