@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.sources.tables import materialise
@@ -79,17 +79,20 @@ def _placed(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
 def link_buckets(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[str, str], Column] | None = None,
     rounds: int = 1,
-    near: Callable[[str, str], object] | None = None,
+    order: Column | None = None,
 ) -> DataFrame:
     """Links that connect all similar nodes, without all pairs of a bucket.
 
     Args:
-        postings: ``key`` and ``node`` (longs), and ``sig`` if ``near`` is given:
-            two nodes are candidates when they share a key.
+        postings: ``key`` and ``node`` (longs) and any columns that ``near`` or
+            ``order`` read: two nodes are candidates when they share a key.
         verify: keeps the similar pairs of a table of candidates (``a`` < ``b``).
+        near: a necessary condition on two postings; takes the prefixes of their columns.
         rounds: passes in which each bucket compares its nodes with one of them.
-        near: condition on two ``sig`` columns that candidates also have to meet.
+        order: number whose smallest value in a bucket chooses that one in the first pass;
+            in later passes, and by default, a hash of the node does.
 
     Returns:
         ``a``, ``b``: verified links. They have the connected components of all
@@ -97,40 +100,34 @@ def link_buckets(
 
     A pass costs one comparison per posting. After the passes only nodes outside
     a bucket's largest component are compared with the bucket's other components,
-    so every pair of candidates is either compared or already connected.
+    so every pair of candidates is either compared or already connected. Runs jobs.
     """
-    session = postings.sparkSession
     edges: DataFrame | None = None
     for turn in range(rounds + 1):
         placed = materialise(_placed(postings, edges))
-        order = F.xxhash64("node", F.lit(turn))
+        rest = [c for c in placed.columns if c != "key"]
         if turn < rounds:
-            chosen = [F.min_by(c, order).alias(f"hub_{c}") for c in placed.columns if c != "key"]
+            by = order if order is not None and not turn else F.xxhash64("node", F.lit(turn))
+            chosen = [F.min_by(c, by).alias(f"hub_{c}") for c in rest]
             hubs = placed.groupBy("key").agg(
                 F.min("comp").alias("lo"), F.max("comp").alias("hi"), *chosen
             ).filter("lo <> hi").drop("lo", "hi")
-            pairs = placed.join(hubs, "key").filter("comp <> hub_comp")
-            left, right = "hub_node", "node"
-            fits = near("hub_sig", "sig") if near else F.lit(True)
         else:
             sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(
                 F.max_by("comp", F.col("n")).alias("main"), F.count("*").alias("parts")
             ).filter("parts > 1").drop("parts")
-            strays = placed.join(main, "key").filter("comp <> main").drop("main")
-            strays = strays.select("key", *[F.col(c).alias(f"hub_{c}") for c in strays.columns if c != "key"])
-            pairs = strays.join(placed, "key").filter("comp <> hub_comp")
-            left, right = "hub_node", "node"
-            fits = near("hub_sig", "sig") if near else F.lit(True)
-        pairs = pairs.filter(fits).select(
-            F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+            hubs = placed.join(main, "key").filter("comp <> main")
+            hubs = hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in rest])
+        pairs = placed.join(hubs, "key").filter("comp <> hub_comp")
+        if near is not None:
+            pairs = pairs.filter(near("", "hub_"))
+        pairs = pairs.select(
+            F.least("hub_node", "node").alias("a"), F.greatest("hub_node", "node").alias("b")
         ).distinct()
         found = materialise(verify(pairs).select("a", "b"))
-        if turn and not found.isEmpty():
-            edges = edges.union(found)
-        elif not turn:
-            edges = found
-    return edges if edges is not None else session.createDataFrame([], "a long, b long")
+        edges = found if edges is None else edges.union(found)
+    return edges
 
 
 def only_with_ids(frame: DataFrame, column: str, ids: DataFrame, buckets: int = 1 << 20) -> DataFrame:

@@ -13,18 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.common import components, link_buckets, only_with_ids
 from touchline.llm.shingles import shingle_hashes, shingle_set
 from touchline.sources.tables import materialise
 
-K = 64
+K, LARGE_K = 64, 256  # sizes of the sketches: of all documents, and of those with candidates
 SKETCH = "doc_id long, n_shingles long, digest string, sketch array<long>"
 
 
-def _least_share(similarity: float, k: int = K) -> float:
+def _least_share(similarity: float, k: int) -> float:
     """Share of a sketch that two documents at the similarity have in common.
 
     Five standard deviations below the expected share: a sketch misses about
@@ -33,7 +33,7 @@ def _least_share(similarity: float, k: int = K) -> float:
     return similarity - 5 * math.sqrt(similarity * (1 - similarity) / k)
 
 
-def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, size: int, k: int, id_col: str, text_col: str) -> DataFrame:
     """Size, digest and bottom-k sketch of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +43,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 hashes = shingle_hashes(text.as_py(), size)
                 counts.append(len(hashes))
                 digests.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
-                kept.append(hashes[:K].view(np.int64))
+                kept.append(hashes[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(kept, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "digest", "sketch"],
@@ -53,22 +53,47 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, SKETCH)
 
 
-def _postings(classes: DataFrame, similarity: float) -> DataFrame:
-    """key, node: the values that two similar documents cannot both lack.
+def _postings(classes: DataFrame, similarity: float, k: int) -> DataFrame:
+    """key, node, n, size, own: the values that two similar documents cannot both lack.
 
     Two sketches that share ``need`` values share one among the first
     size - need + 1 of each, in any common order. Values are ordered by how many
     documents hold them, so the values of widespread passages come last and make no
-    list unless most of a document consists of them. Values of one document are dropped.
+    list unless most of a document consists of them. Values of one document (there are
+    ``own`` of them) are dropped. A sketch that is the whole set, as are those of
+    all similar documents, needs no allowance for chance.
     """
-    values = classes.select("node", "size", F.explode("sketch").alias("key"))
-    counts = values.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    values = classes.select("node", "n", "size", F.explode("sketch").alias("key"))
+    counts = values.groupBy("key").agg(F.count("*").alias("held_by")).filter("held_by > 1")
     shared = values.join(counts, "key")
-    need = F.ceil(F.col("size") * F.lit(_least_share(similarity)))
-    ranked = shared.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))
-    first = F.col("size") - F.greatest(need, F.lit(1)) + 1 - (F.col("size") - F.size("held"))
-    ranked = ranked.withColumn("first", first.cast("int")).filter("first > 0")
-    return ranked.select("node", F.explode(F.slice("held", 1, F.col("first"))).alias("v")).select("v.key", "node")
+    share = F.when(F.col("n") <= similarity * k, similarity).otherwise(_least_share(similarity, k))
+    need = F.greatest(F.ceil(F.col("size") * share - 1e-9), F.lit(1))
+    ranked = shared.groupBy("node", "n", "size").agg(
+        F.sort_array(F.collect_list(F.struct("held_by", "key"))).alias("held")
+    )
+    ranked = ranked.withColumn("own", F.col("size") - F.size("held"))
+    ranked = ranked.withColumn("first", (F.col("size") - need + 1 - F.col("own")).cast("int")).filter("first > 0")
+    first = F.explode(F.slice("held", 1, F.col("first"))).alias("v")
+    return ranked.select("node", "n", "size", "own", first).select("v.key", "node", "n", "size", "own")
+
+
+def _near(similarity: float, k: int):
+    """What two postings of similar documents meet: neither has too many values of its own.
+
+    Similar sets have at least s / (1 + s) * (m + n) common elements. Whole sets must keep
+    that many besides their own ones; sketches the same share, less five deviations.
+    """
+
+    def meets(left: str, right: str) -> Column:
+        m, n = F.col(f"{left}n"), F.col(f"{right}n")
+        common = (m + n) * (similarity / (1 + similarity))
+        left_over = [F.col(f"{p}size") - F.col(f"{p}own") for p in (left, right)]
+        p = common / F.greatest(m, n)
+        sampled = k * p - 5 * F.sqrt(k * p * F.greatest(1 - p, F.lit(0.0)))
+        least = F.when((m <= k) & (n <= k), common).otherwise(F.least(sampled, common))
+        return (F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9) & (F.least(*left_over) >= least - 1e-9)
+
+    return meets
 
 
 def _alike(percent: int, size: int):
@@ -108,7 +133,7 @@ def minhash_groups(
     without an id has no component and is kept. Other columns are ignored. Runs jobs.
     """
     similarity = percent / 100
-    sketched = materialise(sketches(docs, size, id_col, text_col))
+    sketched = materialise(sketches(docs, size, K, id_col, text_col))
     usable = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # documents with equal sets share a digest: one of them stands for all
     first = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
@@ -116,30 +141,39 @@ def minhash_groups(
     copies = copies.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     heads = usable.join(first.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     heads = heads.dropDuplicates(["doc_id", "digest"])
-    classes = heads.select(F.col("doc_id").alias("node"), F.size("sketch").alias("size"), "sketch")
-    postings = materialise(_postings(classes, similarity))
-    nodes = postings.select(F.col("node").alias("doc_id")).distinct()
+
+    def classes(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.size("sketch").alias("size"), "sketch"
+        )
+
+    # small sketches leave the documents that may have a partner; larger ones find it
+    nodes = _postings(classes(heads), similarity, K).select(F.col("node").alias("doc_id")).distinct()
+    nodes = materialise(nodes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = only_with_ids(rows, "doc_id", nodes).join(nodes, "doc_id", "left_semi").filter("text IS NOT NULL")
-    texts = texts.join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    texts = materialise(texts.select("doc_id", "text", "n_shingles", "sketch"))
-    share = _least_share(similarity)
+    texts = only_with_ids(rows, "doc_id", nodes).join(nodes, "doc_id", "left_semi")
+    texts = materialise(texts.filter("text IS NOT NULL").dropDuplicates())
+    large = materialise(sketches(texts, size, LARGE_K, "doc_id", "text").drop("digest").filter("n_shingles > 0"))
+    postings = materialise(_postings(classes(large), similarity, LARGE_K))
+    share = _least_share(similarity, LARGE_K)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        def side(name: str, *columns: str) -> DataFrame:
-            return texts.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+            return table.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
         # the k smallest values of both sketches are the sketch of the union
-        est = pairs.join(side("a", "n_shingles", "sketch"), "a").join(side("b", "n_shingles", "sketch"), "b")
-        union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, K)
+        est = pairs.join(side(large, "a", "sketch"), "a").join(side(large, "b", "sketch"), "b")
+        union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, LARGE_K)
         common = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch")))
-        least, most = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-        est = est.filter((100 * least >= percent * most) & (common >= F.lit(share) * F.size(union)))
-        est = est.select("a", "b").distinct()
-        both = est.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "a_text", "b_text")
+        est = est.filter(common >= F.lit(share) * F.size(union)).select("a", "b").distinct()
+        both = est.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
+        both = both.select("a", "b", "a_text", "b_text")
         return both.mapInArrow(_alike(percent, size), "a long, b long").distinct()
 
-    edges = copies.union(link_buckets(postings, verify))
+    # the document with the fewest values of its own is nearest to all others of a bucket
+    order = F.col("own") * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))
+    links = link_buckets(postings, verify, _near(similarity, LARGE_K), order=order)
+    edges = copies.union(links)
     found = components(edges)
     linked = sketched.select("doc_id", "n_shingles").join(
         found.withColumnRenamed("node", "doc_id"), "doc_id", "left"
