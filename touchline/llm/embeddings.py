@@ -31,7 +31,7 @@ def _unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _build(least: float, audit: int, recall: float):
     """One row per shard: its graph and the beam that passed the audit."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         frame = frame.sort_values("node")
         raw, norms = _unit(frame)
         unit = raw / norms[:, None]
@@ -53,7 +53,7 @@ def _build(least: float, audit: int, recall: float):
 def _query(least: float):
     """Links of a block of vectors in one shard: counts per vector, and a spanning forest."""
 
-    def run(key, graphs: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, graphs, frame):
         if not len(graphs) or not len(frame):
             return pd.DataFrame({"node": [], "n": [], "other": []})
         nodes, copies, raw, norms, graph, beam = pickle.loads(graphs["graph"].iloc[0])

@@ -113,20 +113,17 @@ def train(
     sample = sample.join(F.broadcast(common.select("lang")), "lang").select("lang", "id").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
-    def fit(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(t.as_py() for b in batches for t in b.column(1))
-        texts = [t for t in texts if has_letter(t)]
+    def fit(key, table):  # the sample of one language as an Arrow table
+        texts = sorted(t for t in table.column("text").to_pylist() if has_letter(t))
         if not texts:
-            return
+            return pa.table({"lang": pa.array([], pa.string()), "centroid": pa.array([], pa.binary()), "reach": pa.array([], pa.float64())})
         x = _vectors(np.stack([counts(t, buckets) for t in texts]), shared.value)
         centroids = _cluster(x, clusters)
         cosine = x @ centroids.T
         own = cosine.argmax(1)
         reach = [float(cosine[own == c, c].min(initial=1.0)) for c in range(len(centroids))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()] * len(reach)), pa.array([c.astype("<f4").tobytes() for c in centroids]), pa.array(reach)],
-            names=["lang", "centroid", "reach"],
-        )
+        stored = [c.astype("<f4").tobytes() for c in centroids]
+        return pa.table({"lang": [key[0].as_py()] * len(reach), "centroid": stored, "reach": reach})
 
     # at most most_languages * rows small rows
     chosen = known.join(F.broadcast(sample), ["lang", "id"]).select("lang", "text")

@@ -85,13 +85,12 @@ def _collected(counts: DataFrame, s: Settings) -> np.ndarray:
     """The counts as an array of fixed size (2 x buckets), sent to the driver in packed blocks."""
     size = s.pairs + 2 * s.tokens
 
-    def packed(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(key, table):  # at most one block of buckets as an Arrow table
         block = np.zeros((2, s.block), "<i8")
-        for batch in batches:
-            at = batch.column("bucket").to_numpy() % s.block
-            block[0, at] = batch.column("background").to_numpy()
-            block[1, at] = batch.column("target").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([block.tobytes()])], names=["block", "data"])
+        at = table.column("bucket").to_numpy() % s.block
+        block[0, at] = table.column("background").to_numpy()
+        block[1, at] = table.column("target").to_numpy()
+        return pa.table({"block": [key[0].as_py()], "data": [block.tobytes()]})
 
     place = F.floor(F.col("bucket") / s.block).alias("block")
     blocks = counts.select(place, "bucket", "target", "background").groupBy("block").applyInArrow(packed, "block long, data binary")

@@ -110,15 +110,12 @@ def train(
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.filter("_text IS NOT NULL").join(sample, "_id").dropDuplicates(["_id"])
 
-    def fit(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [(i.as_py(), t.as_py(), y.as_py()) for b in batches for i, t, y in zip(*b.columns)]
-        table.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-        w, bias = ftrl([(*features(t, settings.bits), y) for _, t, y in table], settings)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w.astype("<f4").tobytes()]), pa.array([bias])], names=["weights", "bias"]
-        )
-
-    fitted = rows.select("_id", "_text", "_label").groupBy(F.lit(0)).applyInArrow(fit, "weights binary, bias double")
+    def fit(key, table):  # the bounded sample as an Arrow table
+        known = sorted(zip(*(table.column(c).to_pylist() for c in ("_id", "_text", "_label"))), key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+        w, bias = ftrl([(*features(t, settings.bits), y) for _, t, y in known], settings)
+        return pa.table({"weights": [w.astype("<f4").tobytes()], "bias": [bias]})
+
+    fitted = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fit, "weights binary, bias double")
     model = fitted.first()
     if model is None:
         return np.zeros(1 << settings.bits, "f4"), 0.0
