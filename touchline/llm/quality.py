@@ -23,11 +23,11 @@ class Settings:
 
     bits: int = 18
     rows: int = 8_000
-    epochs: int = 2
-    alpha: float = 0.5
+    epochs: int = 8
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 0.2
-    l2: float = 1.0
+    l1: float = 0.01
+    l2: float = 0.1
 
 
 class _Ids(dict):
