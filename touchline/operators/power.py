@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from touchline.operators.models import LOGISTIC_STEPS, converged
 from touchline.operators.ordered import ordered, running_totals, with_position, with_previous
 from touchline.sources.tables import materialise
 
@@ -31,11 +34,14 @@ def build_team_matrix(data: DataFrame, target: str) -> DataFrame:
     are taken newest first; each change of season in that order within a
     competition multiplies the discount by 0.9, and the weights are divided by it.
     """
+    match = W.partitionBy("competitionid", "matchid")
     row = F.struct("is_home", "teamid", "seasonid", "timestamp", F.col(target).alias("target"))
+    sides = data.select("competitionid", "matchid", row.alias("a"))
     pairs = (
-        data.groupBy("competitionid", "matchid")
-        .agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count("*").alias("_rows"))
-        .filter(F.col("_rows") == 2)
+        sides.withColumns(
+            {"b": F.lead("a").over(match.orderBy("a")), "_rows": F.count("*").over(match)}
+        )
+        .filter((F.col("_rows") == 2) & F.col("b").isNotNull())
         .select("competitionid", "matchid", "a", "b", F.col("a.seasonid").alias("seasonid"))
     )
     placed = ordered(pairs, F.col("competitionid"), F.desc("a.timestamp"), F.col("matchid"))
@@ -67,10 +73,19 @@ def build_team_matrix(data: DataFrame, target: str) -> DataFrame:
     )
 
 
-@F.udf(VectorUDT())
-def _sparse(size, *entries):
-    # pyspark.sql has no constructor for sparse vectors
-    return Vectors.sparse(size, {int(i): float(v) for i, v in zip(entries[::2], entries[1::2])})
+def _sparse(size: int, sign: float, *entries: str | float) -> Column:
+    """The stored form of a sparse vector; entries are column, value, column, value, ..."""
+    pairs = [
+        F.struct(F.col(i).cast("int").alias("i"), ((F.col(v) if isinstance(v, str) else F.lit(v)) * sign).alias("v"))
+        for i, v in zip(entries[::2], entries[1::2])
+    ]
+    ordered_pairs = F.sort_array(F.array(*pairs))
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(ordered_pairs, lambda p: p["i"]).alias("indices"),
+        F.transform(ordered_pairs, lambda p: p["v"].cast("double")).alias("values"),
+    )
 
 
 def team_coefficients(
@@ -79,7 +94,10 @@ def team_coefficients(
     """L1 logistic coefficients of all teams, for all competitions in one fit.
 
     The columns of a competition are its teams and an indicator, which is its
-    intercept. Competitions share no column, so the joint fit equals separate ones.
+    penalised intercept. Competitions share no column, so the joint fit equals separate
+    ones. Every game is taken as it is and with changed signs, each with half its weight:
+    the loss is the same, and no column that is used is constant, which the fit would leave
+    out. Runs jobs; raises when the fit does not converge.
     """
     sides = [games.select("competitionid", F.col(c).alias("teamid"))
              for c in ("first_team", "second_team")]
@@ -91,7 +109,6 @@ def team_coefficients(
         ).select("competitionid", "teamid", "column")
     )
     size = index.count()
-    single = games.select("competitionid").distinct().limit(2).count() == 1
 
     def columns(name: str) -> DataFrame:
         return index.filter(F.col("teamid").isNotNull()).select(
@@ -101,22 +118,24 @@ def team_coefficients(
     intercepts = index.filter(F.col("teamid").isNull()).select(
         "competitionid", F.col("column").alias("_group")
     )
-    entries = [F.col("_first"), F.col("first_weight"), F.col("_second"), F.col("second_weight"),
-               F.col("_group"), F.lit(0.0 if single else 1.0)]
-    rows = materialise(
+    placed = (
         games.join(columns("first"), ["competitionid", "first_team"])
         .join(columns("second"), ["competitionid", "second_team"])
         .join(intercepts, "competitionid")
-        .select(
-            _sparse(F.lit(size), *entries).alias("features"),
-            won(F.col("result")).cast("int").alias("label"),
-        )
+        .withColumn("_won", won(F.col("result")).cast("int"))
     )
-    # a constant column gets coefficient 0, so one competition needs a real intercept
+    entries = ["_first", "first_weight", "_second", "second_weight", "_group", 1.0]
+    both = [
+        placed.select(_sparse(size, sign, *entries).alias("features"), label.alias("label"))
+        for sign, label in ((1.0, F.col("_won")), (-1.0, 1 - F.col("_won")))
+    ]
+    vectors = StructType([StructField("features", VectorUDT()), StructField("label", IntegerType())])
+    rows = materialise(both[0].union(both[1]), vectors).withColumn("weight", F.lit(0.5))
     model = LogisticRegression(
-        regParam=alpha / rows.count(), elasticNetParam=1.0, standardization=False,
-        fitIntercept=single, maxIter=1024, tol=tol,
+        regParam=2 * alpha / rows.count(), elasticNetParam=1.0, standardization=False,
+        fitIntercept=False, weightCol="weight", maxIter=LOGISTIC_STEPS, tol=tol,
     ).fit(rows)
+    converged(model.summary.totalIterations, LOGISTIC_STEPS)
     values = [(i, float(v)) for i, v in enumerate(model.coefficients)]
     fitted = games.sparkSession.createDataFrame(values, "column bigint, coef double")
     return (
@@ -163,7 +182,7 @@ def power_map(games: DataFrame, won: Callable[[Column], Column]) -> DataFrame:
     while alpha >= LAST_ALPHA and not remaining.isEmpty():
         ranking = materialise(build_power(team_coefficients(remaining, won, alpha)))
         rankings.append(ranking)
-        remaining = remaining.join(ranking.select("competitionid"), "competitionid", "left_anti")
+        remaining = remaining.join(ranking.select("competitionid").distinct(), "competitionid", "left_anti")
         alpha /= 2
     if not rankings:
         return games.select("competitionid", F.col("first_team").alias("teamid")).limit(0).withColumn(
@@ -198,7 +217,7 @@ def with_power(data: DataFrame, rankings: DataFrame, name: str) -> DataFrame:
 
 def add_power(data: DataFrame, train: DataFrame, columns: Sequence[PowerColumn]) -> DataFrame:
     """Add a ranking per entry (target column, test on its difference, name)."""
-    trained = train.join(data.select("competitionid"), "competitionid", "left_semi")
+    trained = train.join(data.select("competitionid").distinct(), "competitionid", "left_semi")
     result = data
     for target, won, name in columns:
         rankings = power_map(build_team_matrix(trained, target), won)
