@@ -128,8 +128,10 @@ CTES = {
                typeid, outcomeid, qtype, qvalue
         FROM touches_long t JOIN roster r ON t.playerid = r.playerid""",
     "flat_view": """
-        SELECT eventid, ts AS timestamp, matchid, teamid, playerid, x, y, typeid, outcomeid,
-               qtype AS type, qvalue AS value FROM touches_long""",
+        SELECT ts AS timestamp, matchid, teamid, playerid, x, y, typeid, outcomeid,
+               qtype AS type, qvalue AS value FROM touches_long
+        UNION ALL SELECT timestamp, matchid, teamid, playerid, x, y, typeid, outcomeid, qtype,
+               qvalue FROM remapped""",
     "positions": """
         SELECT matchid, timestamp, teamid, playerid, LOWER(value) AS position
         FROM flat_view WHERE type = 44 AND playerid <> 0""",
@@ -141,8 +143,14 @@ CTES = {
         WHERE {GATE} AND {ANY}""",
     "game_summary": f"""
         SELECT {_PLACE}, {_COMPOSITES}, {_SUMS} FROM counted_row GROUP BY {_PLACE}""",
+    "view_touch": """
+        SELECT eventid, ts, matchid, teamid, playerid, x, y, typeid, outcomeid, q1, v1, q2
+        FROM touch
+        UNION ALL
+        SELECT NULL, ts, -t.matchid, r.teamid, r.altid, x, y, typeid, outcomeid, q1, v1, q2
+        FROM touch t JOIN roster r ON t.playerid = r.playerid""",
     "numbered_touch": """
-        SELECT *, ROW_NUMBER() OVER () AS copy FROM touch""",
+        SELECT *, ROW_NUMBER() OVER () AS copy FROM view_touch""",
     "numbered_long": """
         SELECT copy, eventid, ts AS timestamp, matchid, teamid, playerid, x, y, typeid, outcomeid,
                q1 AS type, v1 AS value FROM numbered_touch
@@ -188,9 +196,7 @@ QUERIES = {
                outcomeid, qtype AS type, qvalue AS value FROM remapped""",
     "p2_touches_view": """
         SELECT timestamp, matchid, teamid, playerid, x, y, typeid, outcomeid, type, value
-        FROM flat_view
-        UNION ALL SELECT timestamp, matchid, teamid, playerid, x, y, typeid, outcomeid, qtype,
-               qvalue FROM remapped""",
+        FROM flat_view""",
     "p3_position_summary": "SELECT matchid, timestamp, teamid, playerid, position FROM positions",
     "p4_game_summary": "SELECT * FROM game_summary",
     "p4_game_summary_event_grain": f"""

@@ -6,13 +6,15 @@ _EVENT = "eventid, matchid, teamid, playerid, ts, mn, periodid, typeid, outcomei
 CTES = {
     "src": """
         SELECT l_orderkey ok, l_partkey pk, l_suppkey sk, CAST(l_linenumber AS BIGINT) ln,
-               CAST(l_quantity AS BIGINT) qty, l_returnflag rf, l_orderkey % 400 m
+               CAST(l_quantity AS BIGINT) qty, l_returnflag rf,
+               CAST(floor(l_orderkey / 15000) AS BIGINT) * 400 + l_orderkey % 400 m
         FROM lineitem""",
     "games": """
-        SELECT m, c + 1 competitionid, 2010 + CAST(floor(k / 20) AS BIGINT) seasonid,
-               1262304000 + k * 259200 t0, 5 * c + 1 + (k % 5) a,
-               5 * c + 1 + ((k % 5) + 1 + (CAST(floor(k / 5) AS BIGINT) % 4)) % 5 b
-        FROM (SELECT m, m % 4 c, CAST(floor(m / 4) AS BIGINT) k
+        SELECT m, 4 * g + c + 1 competitionid, 2010 + CAST(floor(k / 20) AS BIGINT) seasonid,
+               1262304000 + k * 259200 t0, 20 * g + 5 * c + 1 + (k % 5) a,
+               20 * g + 5 * c + 1 + ((k % 5) + 1 + (CAST(floor(k / 5) AS BIGINT) % 4)) % 5 b
+        FROM (SELECT m, CAST(floor(m / 400) AS BIGINT) g, m % 4 c,
+                     CAST(floor(m % 400 / 4) AS BIGINT) k
               FROM (SELECT DISTINCT m FROM src) z) s""",
     "raw_event": """
         SELECT s.m matchid, CASE WHEN pk % 2 = 0 THEN a ELSE b END teamid,
@@ -45,7 +47,7 @@ CTES = {
           CASE WHEN typeid IN (4, 7, 8) AND qty % 3 = 0 AND qty % 4 <> 0 THEN 13 END q2
         FROM typed_event""",
     "line_up": f"""
-        SELECT 9000000000 + m * 100 + side * 50 + i eventid, m matchid, team teamid,
+        SELECT -(m * 100 + side * 50 + i + 1) eventid, m matchid, team teamid,
                team * 100 + i playerid, t0 ts, 0 mn, 1 periodid, 34 typeid, 1 outcomeid,
                CAST(50 AS DOUBLE) x, CAST(50 AS DOUBLE) y,
                CASE WHEN i = 0 THEN 'Goalkeeper' WHEN i < 5 THEN 'Defender'
@@ -61,8 +63,8 @@ CTES = {
         SELECT {_EVENT}, q1 qtype, v1 qvalue FROM touch
         UNION ALL SELECT {_EVENT}, q2, 'x' FROM touch WHERE q2 IS NOT NULL""",
     "roster": """
-        SELECT DISTINCT playerid, teamid + 50 teamid, playerid + 5000 altid
-        FROM line_up WHERE teamid IN (1, 2)""",
+        SELECT DISTINCT playerid, -teamid teamid, -playerid altid
+        FROM line_up WHERE (teamid - 1) % 20 < 2""",
     "match_games": """
         SELECT CAST(m AS VARCHAR) matchid, a teamid, b op_teamid, 'Team ' || a team_name,
                'Team ' || b op_team_name, CAST(1 AS DOUBLE) is_home, competitionid, seasonid,

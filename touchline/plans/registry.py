@@ -84,7 +84,7 @@ class Inputs:
 
     @property
     def players(self) -> PlayerTables:
-        return PlayerTables.from_touches(self.touches)
+        return PlayerTables.from_touches(self.touches, self.roster)
 
     @property
     def match_tables(self) -> MatchTables:
@@ -165,7 +165,7 @@ def _counter_totals(t: Inputs) -> DataFrame:
 
 
 def _countable(t: Inputs) -> DataFrame:
-    rows = summaries.countable_rows(events.touch_events(t.touches))
+    rows = summaries.countable_rows(t.players.events)
     return rows.groupBy("matchid", "typeid", "type").agg(F.count("*").alias("rows_counted"))
 
 

@@ -1,7 +1,8 @@
 """Event tables derived from ``lineitem``, for tests, checks and benchmarks.
 
 Row-wise expressions only: every line item is one touch, and all match data
-follow from the match number. The match list has at most 400 rows.
+follow from the match number. Each block of order keys has its own competitions,
+teams and matches, so the match tables grow with the line items.
 
 ``touches`` and ``match_games`` are the raw tables of the event feed. They are
 written once per session to the cluster's shared folder, and the operators scan
@@ -18,19 +19,23 @@ from pyspark.sql import functions as F
 
 from touchline.sources.tables import materialise
 
-MATCHES = 400
+MATCHES = 400  # of a block
+ORDERS = 15_000  # order keys of a block
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
-# competition, season, kick-off and the two teams (a at home, b away) of match m
+_MATCH = f"l_orderkey div {ORDERS} * {MATCHES} + l_orderkey % {MATCHES}"
+
+# block, competition, season, kick-off and the two teams (a at home, b away) of match m
 _MATCH_FACTS = {
+    "g": f"m div {MATCHES}",
     "c": "m % 4",
-    "k": "m div 4",
-    "competitionid": "CAST(c + 1 AS INT)",
+    "k": f"m % {MATCHES} div 4",
+    "competitionid": "CAST(4 * g + c + 1 AS INT)",
     "seasonid": "CAST(2010 + k div 20 AS INT)",
     "t0": "1262304000 + k * 259200",
-    "a": "5 * c + 1 + k % 5",
-    "b": "5 * c + 1 + (k % 5 + 1 + (k div 5) % 4) % 5",
+    "a": "20 * g + 5 * c + 1 + k % 5",
+    "b": "20 * g + 5 * c + 1 + (k % 5 + 1 + (k div 5) % 4) % 5",
 }
 
 _TYPE_OF_CODE = """
@@ -86,8 +91,8 @@ def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per match that occurs in the data (at most 400)."""
-    numbers = _lineitem(spark, sf_dir).select((F.col("l_orderkey") % MATCHES).alias("m"))
+    """One row per match that occurs in the data."""
+    numbers = _lineitem(spark, sf_dir).selectExpr(f"{_MATCH} m")
     return _derive(numbers.distinct(), _MATCH_FACTS)
 
 
@@ -95,7 +100,7 @@ def played_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The touches without the line-ups."""
     source = _lineitem(spark, sf_dir).selectExpr(
         "l_orderkey ok", "l_partkey pk", "l_suppkey sk", "CAST(l_linenumber AS BIGINT) ln",
-        "CAST(l_quantity AS BIGINT) qty", "l_returnflag rf", f"l_orderkey % {MATCHES} m",
+        "CAST(l_quantity AS BIGINT) qty", "l_returnflag rf", f"{_MATCH} m",
     )
     return _derive(_derive(source, _MATCH_FACTS), _TOUCH_FACTS).select(*TOUCH_COLUMNS)
 
@@ -107,7 +112,7 @@ def line_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     players = sides.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(10))))
     return players.selectExpr(
-        "CAST(9000000000 + m * 100 + side * 50 + i AS BIGINT) eventid",
+        "CAST(-(m * 100 + side * 50 + i + 1) AS BIGINT) eventid",
         "CAST(m AS STRING) matchid",
         "CAST(team AS BIGINT) teamid",
         "CAST(team * 100 + i AS BIGINT) playerid",
@@ -127,10 +132,7 @@ def _store_once(derive: Callable[[SparkSession, str], DataFrame]):
     def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
         if key not in _stored:
-            table, cores = derive(spark, sf_dir), spark.sparkContext.defaultParallelism
-            if table.rdd.getNumPartitions() < cores:  # a single small input file
-                table = table.repartition(cores)
-            _stored[key] = materialise(table)
+            _stored[key] = materialise(derive(spark, sf_dir))
         return _stored[key]
 
     return stored
@@ -165,10 +167,10 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Players of teams 1 and 2, moved to teams 51 and 52."""
+    """Players of the first two teams of each block, moved to imaginary teams."""
     players = line_ups(spark, sf_dir).select("playerid", "teamid").distinct()
-    return players.filter("teamid IN (1, 2)").selectExpr(
-        "playerid", "teamid + 50 teamid", "playerid + 5000 altid"
+    return players.filter("(teamid - 1) % 20 < 2").selectExpr(
+        "playerid", "-teamid teamid", "-playerid altid"
     )
 
 
