@@ -138,3 +138,13 @@ def test_state_equals_brute_force(spark):
 def test_match_of_one_second_has_no_share_of_time(spark):
     summary = materialise(summaries.game_summary(*prepared(spark, [touch(4, qualifiers=[])])))
     assert [r.timestamp for r in summaries.touches_summary(summary).collect()] == [None]
+
+
+def test_rows_without_a_time_stay(spark):
+    raw, positions = prepared(spark, [touch(4, x=10, second=5), touch(4, x=20, second=9), touch(4, x=30)])
+    raw = raw.withColumn("timestamp", F.when(F.col("x") != 30, F.col("timestamp")))
+    summary = materialise(summaries.game_summary(raw, positions))
+    state = {r.x: (r.timestamp, r.fouls) for r in summaries.touches_summary(summary).collect()}
+    assert state == {30.0: (None, 1), 10.0: (0.0, 2), 20.0: (1.0, 3)}
+    before = {r.x: r.prev_x for r in summaries.previous_touches(raw).collect()}
+    assert before == {30.0: None, 50.0: 30.0, 10.0: 50.0, 20.0: 10.0}

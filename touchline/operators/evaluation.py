@@ -52,12 +52,14 @@ def validate(
     prediction: str,
     baseline: float = 0.5,
     ties: Sequence[str] = ("matchid", "teamid"),
+    compute_auc: bool = False,
 ) -> DataFrame:
     """Confusion counts and scores when the highest predictions are taken as True.
 
     ``baseline`` is the share (or, above 1, the number) of rows to predict as
     True. Predictions of exactly 0 or 1 are taken at their word. Equal
-    predictions are ranked by ``ties``.
+    predictions are ranked by ``ties``. ``compute_auc`` adds the area under the ROC
+    curve. Runs a job.
     """
     judged = data.select(
         *ties, target.alias("_actual"), F.col(prediction).cast("double").alias("_score")
@@ -81,7 +83,7 @@ def validate(
     count = tp + tn + fp + fn
     hit_rate = F.coalesce(F.try_divide(tp, tp + fp), F.lit(-1.0))
     base_rate = F.try_divide(tp + fn, count)
-    return cells.select(
+    report = cells.select(
         F.lit(label).alias("label"),
         "tp", "tn", "fp", "fn",
         (tp + fn).alias("positives"),
@@ -93,3 +95,6 @@ def validate(
         F.when(base_rate > 0, hit_rate / base_rate).otherwise(0.0).alias("lift"),
         F.try_divide(tp + tn, count).alias("accuracy"),
     )
+    if not compute_auc:
+        return report
+    return report.join(F.broadcast(auc(data, target, prediction)))  # one row each

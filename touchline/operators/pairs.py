@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ["matchid", "teamid", "op_teamid"]
@@ -112,9 +113,10 @@ def splice(data: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def games(data: DataFrame) -> DataFrame:
     """One row per match: the first by (is_home, teamid)."""
-    row = F.struct("is_home", "teamid", *[c for c in data.columns if c not in ("is_home", "teamid")])
-    first = data.groupBy("matchid").agg(F.min(row).alias("_row"))
-    return first.select("_row.*").select(*data.columns)
+    rest = [c for c in data.columns if c not in ("matchid", "is_home", "teamid")]
+    order = W.partitionBy("matchid").orderBy("is_home", "teamid", *rest)
+    ranked = data.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") == 1).select(*data.columns)
 
 
 def normalize(data: DataFrame, column: str, name: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.counters import STATE_COUNTERS
@@ -20,13 +21,16 @@ def player_state_asof(state: DataFrame, at: float, matchid: int | None = None) -
     """The last cumulative row of each player at or before time ``at`` (0 to 1).
 
     Rows of the same second are told apart by position, x and y (the highest
-    wins). The maximum is combined before the shuffle; no row is sorted.
+    wins). The last time of each player is a number, so it is hashed and combined before the
+    shuffle; only the rows of that second are ranked. Reads ``state`` twice.
     """
     rows = state.filter(F.col("timestamp") <= at)
     if matchid is not None:
         rows = rows.filter(F.col("matchid") == matchid)
-    last = F.max(F.struct("timestamp", *_PLACE, *STATE_COUNTERS)).alias("_last")
-    return rows.groupBy(*PLAYER).agg(last).select(*PLAYER, "_last.*").select(*STATE_COLUMNS)
+    last = rows.groupBy(*PLAYER).agg(F.max("timestamp").alias("timestamp"))
+    order = W.partitionBy(*PLAYER).orderBy(*[F.desc(c) for c in (*_PLACE, *STATE_COUNTERS)])
+    ranked = rows.join(last, [*PLAYER, "timestamp"]).withColumn("_rank", F.row_number().over(order))
+    return ranked.filter("_rank = 1").select(*STATE_COLUMNS)
 
 
 def state_summary(state: DataFrame) -> DataFrame:

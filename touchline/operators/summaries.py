@@ -29,9 +29,11 @@ from touchline.functions.counters import (
 )
 from touchline.functions.expressions import bucket, count_where, zone_x, zone_y
 from touchline.operators.events import explode_qualifiers
+from touchline.sources.tables import materialise
 
 PLAYER = ["matchid", "teamid", "playerid"]
-SECOND = ["matchid", "playerid", "timestamp"]
+MOMENT = "_moment"
+SECOND = ["matchid", "playerid", MOMENT]
 DIRECTIONS = [f"direction_{axis}_{turn}" for axis in "xy" for turn in (2, 1, 0)]
 
 
@@ -47,6 +49,11 @@ def _row_test(counter: Counter, event_grain: bool) -> Column:
     return counter.on_event_row() if event_grain else counter.on_qualifier_row()
 
 
+def _with_moment(rows: DataFrame) -> DataFrame:
+    """Add the time as a key that joins: a missing time is the earliest moment."""
+    return rows.withColumn(MOMENT, F.coalesce("timestamp", F.lit(-(1 << 62))))
+
+
 def countable_rows(events: DataFrame, event_grain: bool = False) -> DataFrame:
     """The rows that count in some counter, at qualifier grain or at event grain."""
     rows = events.filter(F.col("typeid").isin(*COUNTED_TYPES))
@@ -104,8 +111,9 @@ def previous_touches(events: DataFrame) -> DataFrame:
     not end up in one window group.
     """
     touches = (
-        events.filter(F.col("playerid") != 0)
-        .select("matchid", "playerid", "teamid", "timestamp", "x", "y")
+        _with_moment(events.filter(F.col("playerid") != 0))
+        .select(*SECOND, "teamid", "timestamp", "x", "y")
+        .repartition(*SECOND)  # serves the distinct rows, the window and the join
         .distinct()
     )
     in_second = W.partitionBy(*SECOND).orderBy("teamid", "x", "y")
@@ -113,13 +121,13 @@ def previous_touches(events: DataFrame) -> DataFrame:
     stepped = touches.withColumns(
         {"_inside": F.lag(spot).over(in_second), "_next": F.lead(spot).over(in_second)}
     )
-    by_second = W.partitionBy("matchid", "playerid").orderBy("timestamp")
+    by_second = W.partitionBy("matchid", "playerid").orderBy(MOMENT)
     carried = stepped.filter(F.col("_next").isNull()).select(
         *SECOND, F.lag(spot).over(by_second).alias("_before")
     )
     previous = F.coalesce("_inside", "_before")
     return stepped.join(carried, SECOND, "left").select(
-        *touches.columns, previous["x"].alias("prev_x"), previous["y"].alias("prev_y")
+        "matchid", "playerid", "teamid", "timestamp", "x", "y", previous["x"].alias("prev_x"), previous["y"].alias("prev_y")
     )
 
 
@@ -163,28 +171,32 @@ def touches_summary(summary: DataFrame) -> DataFrame:
     """Cumulative counters per player and match; time as a share of the match.
 
     The running sums are taken over one row per second, then given to all rows
-    of that second (rows that tie share their value). Reads ``summary`` three
-    times, so pass a stored table.
+    of that second (rows that tie share their value). Rows without a time come before
+    all others of their player. Reads ``summary`` twice, so pass a stored table;
+    the rows per second are stored. Runs a job.
     """
-    per_second = summary.groupBy(*SECOND).agg(
+    rows = _with_moment(summary)
+    per_second = rows.groupBy(*SECOND, "timestamp").agg(
         *[F.sum(_total(parts)).alias(name) for name, parts in STATE_COUNTERS.items()]
     )
+    per_second = materialise(per_second)
     so_far = (
         W.partitionBy("matchid", "playerid")
-        .orderBy("timestamp")
+        .orderBy(MOMENT)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     running = per_second.select(
-        *SECOND, *[F.sum(name).over(so_far).alias(name) for name in STATE_COUNTERS]
+        *SECOND, "timestamp", *[F.sum(name).over(so_far).alias(name) for name in STATE_COUNTERS]
     )
-    span = summary.groupBy("matchid").agg(
+    span = per_second.groupBy("matchid").agg(
         F.min("timestamp").alias("_start"), F.max("timestamp").alias("_end")
     )
     elapsed = F.try_divide(
         F.col("timestamp") - F.col("_start"), F.col("_end") - F.col("_start")
     )
-    state = running.join(span, "matchid").withColumn("_elapsed", elapsed).drop("_start", "_end")
-    return summary.select(*SECOND, "teamid", "position", "x", "y").join(state, SECOND).select(
+    state = running.join(span, "matchid").withColumn("_elapsed", elapsed)
+    state = state.drop("_start", "_end", "timestamp")
+    return rows.select(*SECOND, "teamid", "position", "x", "y").join(state, SECOND).select(
         F.col("_elapsed").alias("timestamp"),
         "matchid", "teamid", "position", "playerid", "x", "y",
         *STATE_COUNTERS,
