@@ -59,8 +59,27 @@ def test_player_tables_are_written(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / name)).count() == rows
 
 
-def test_local_master_gets_a_folder(spark):
-    assert tables.shared_folder(spark)
+def test_without_a_checkpoint_folder_the_warehouse_is_shared():
+    class Session:
+        class sparkContext:
+            class getConf:
+                def get(self, key, default=None):
+                    return default
+
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod({"spark.sql.warehouse.dir": "/shared/warehouse"}.get)
+
+    assert tables.shared_folder(Session) == "/shared/warehouse"
+
+
+def test_stored_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda _: str(tmp_path))
+    with tables.stored_tables(spark) as folder:
+        assert tables.materialise(spark.range(3)).count() == 3
+        assert any(tmp_path.rglob("*.parquet"))
+    assert folder.startswith(str(tmp_path)) and not any(tmp_path.rglob("*.parquet"))
 
 
 @pytest.mark.parametrize("configured", ["/some/folder/", "/some/folder"])

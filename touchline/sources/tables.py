@@ -8,8 +8,9 @@ prunes its own columns and the optimizer knows the table's size.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,25 +76,44 @@ def write_json(frame: DataFrame, path: str, *partition_by: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only on a local master."""
+    """A folder that the driver and all executors share.
+
+    It is the checkpoint folder of the session's settings, or the one set on the
+    context; where neither is set, the warehouse, which a cluster shares as well.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-"))
-    return context.getCheckpointDir().rstrip("/")
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where the stored tables of this application lie."""
+    return f"{shared_folder(spark)}/touchline/{spark.sparkContext.applicationId}"
 
 
-def materialise(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once and return the stored table.
+def materialise(frame: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``frame`` once and return the stored table. Runs a job.
 
-    The tables of a run lie in one folder, named after the application, and can
-    be deleted when the run is over.
+    Frames derived from the result read it again, so it must outlive them:
+    ``stored_tables`` or ``release`` delete the run's folder when all is done.
+    ``schema`` reads the same columns as other types.
     """
     spark = frame.sparkSession
-    run = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/touchline/{run}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(schema or frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all stored tables of this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[str]:
+    """Own the run's stored tables: they are deleted at the end of the block."""
+    try:
+        yield run_folder(spark)
+    finally:
+        release(spark)
