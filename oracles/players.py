@@ -1,7 +1,7 @@
 """Probability tables, state and score aggregates."""
 
-from oracles.events import STATE
-from oracles.sql import rounded
+from oracles.events import ANY, COUNTERS, GATE, STATE
+from oracles.sql import rounded, zone_x
 
 _PASSES = [f"pass_{band}" for band in range(6)]
 _PASS_WHOLE = [f"pass_attempt_{band}" for band in range(6)]
@@ -75,16 +75,24 @@ _BUNDLE_SQL = "\nUNION ALL\n".join(
 _STATE = ", ".join(f'"{name}"' for name in STATE)
 _MOMENT = "playerid, matchid, timestamp, teamid"
 
-# transition -> counter, in the order of the transitions
+# Set piece -> qualifier types (fixed values).
+_PIECES = {"corner_kick": "25", "penalty_kick": "9", "free_kick": "24, 16", "throwin": "160"}
+_GOAL, _MISSED = "typeid = 16 AND outcomeid = 1", "typeid IN (13, 14, 15)"
+
+# transition -> test on a row of the flattened view, in the order of the transitions
 TRANSITIONS = {
-    "foul": "fouls", "red_card": "red_cards", "yellow_card": "yellow_cards",
-    **{name: name for name in (*_PASSES, *_PASS_WHOLE)},
-    "own_goal": "own_goals", "regular_goal": "goals", "regular_attempt": "shot_attempts",
-    "corner_kick_goal": "corner_kicks_ontarget", "corner_kick_attempt": "corner_kick_attempts",
-    "penalty_kick_goal": "penalty_kicks_ontarget",
-    "penalty_kick_attempt": "penalty_kick_attempts",
-    "free_kick_goal": "free_kicks_ontarget", "free_kick_attempt": "free_kick_attempts",
-    "throwin_goal": "throwins_ontarget", "throwin_attempt": "throwin_attempts",
+    "foul": COUNTERS["fouls"], "red_card": COUNTERS["red_cards"],
+    "yellow_card": COUNTERS["yellow_cards"],
+    **{name: COUNTERS[name] for name in _PASSES},
+    **{name: f"{COUNTERS[name]} AND outcomeid <> 1" for name in _PASS_WHOLE},
+    "own_goal": COUNTERS["own_goals"],
+    "regular_goal": f"{_GOAL} AND type NOT IN (28, 25, 9, 24, 16, 160)",
+    "regular_attempt": f"{_MISSED} AND type NOT IN (9, 24, 25, 26, 28, 160, 16)",
+    **{
+        f"{piece}_{result}": f"{test} AND type IN ({types})"
+        for piece, types in _PIECES.items()
+        for result, test in (("goal", _GOAL), ("attempt", _MISSED))
+    },
 }
 
 CTES = {
@@ -98,10 +106,16 @@ CTES = {
     "side_goals": """
         SELECT 0 AS team, goals0 AS goals FROM final_score
         UNION ALL SELECT 1, goals1 FROM final_score""",
+    "transition_row": f"""
+        SELECT v.playerid, {zone_x("x")} AS section, typeid, outcomeid, type, value
+        FROM flat_view v JOIN positions p
+          ON v.matchid = p.matchid AND v.teamid = p.teamid AND v.playerid = p.playerid
+        WHERE {GATE} AND {ANY}""",
     "transition_count": "\nUNION ALL\n".join(
-        f"SELECT playerid, section_x AS section, {index} AS transition,"
-        f" SUM({counter}) AS times FROM game_summary GROUP BY playerid, section_x"
-        for index, counter in enumerate(TRANSITIONS.values())
+        f"SELECT playerid, section, {index} AS transition,"
+        f" SUM(CASE WHEN {test} THEN 1 ELSE 0 END) AS times FROM transition_row"
+        " GROUP BY playerid, section"
+        for index, test in enumerate(TRANSITIONS.values())
     ),
     "transition_share": """
         SELECT playerid, section, transition,

@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from micro import line_up, touch, touches
 from pyspark.sql import functions as F
 
-from touchline.functions.counters import COMPOSITES, STATE_COUNTERS, counters
-from touchline.operators import probability, scores, state
+from touchline import schema
+from touchline.functions.counters import COMPOSITES, STATE_COUNTERS, counters, shot_outcomes
+from touchline.operators import events, probability, scores, state, summaries
 from touchline.operators.documents import write_document
 
 PLACE = dict(matchid=1, timestamp=0, teamid=1, playerid=101, position="forward", section_x=0,
@@ -13,7 +15,7 @@ PLACE = dict(matchid=1, timestamp=0, teamid=1, playerid=101, position="forward",
 
 def summary(spark, *rows):
     """Game summary rows; counters not given are 0."""
-    names = [*COMPOSITES, *[c.name for c in counters()]]
+    names = [*COMPOSITES, *[c.name for c in (*counters(), *shot_outcomes())]]
     full = [{**PLACE, **dict.fromkeys(names, 0), **row} for row in rows]
     columns = [*PLACE, *names]
     types = {"position": "string", "x": "double", "y": "double", "section_x": "int", "section_y": "int"}
@@ -145,9 +147,33 @@ def test_score_aggregates(spark):
 
 
 def test_event_thresholds(spark):
-    table = summary(spark, dict(fouls=1, pass_0=2, throwin_attempts=1), dict(section_x=2))
-    cdf = {r.section: r.thresholds for r in scores.event_cdf(scores.event_probabilities(table)).collect()}
+    table = summary(spark, dict(fouls=1, pass_0=2, pass_attempt_0=2, throwin_missed=1), dict(section_x=2))
+    cdf = {r.section: r.thresholds for r in scores.event_cdf(table).collect()}
     assert len(cdf[0]) == 26
     assert cdf[0][:5] == [0.0, 0.25, 0.25, 0.25, 0.75] and cdf[0][25] == 0.75
+    assert cdf[2] == [0.0] * 26
+    assert all(r.thresholds == sorted(r.thresholds) for r in scores.event_cdf(table).collect())
     shares = scores.event_probabilities(table).filter("section = 0").agg(F.sum("probability")).first()[0]
     assert shares == pytest.approx(1.0)
+
+
+def test_no_event_counts_in_two_transitions(spark):
+    rows = [
+        touch(4, qualifiers=[(13, "")]),
+        touch(1, qualifiers=[(140, "10")]),
+        touch(1, outcomeid=0, qualifiers=[(140, "20")]),
+        *[touch(16, qualifiers=[(kind, "")]) for kind in (20, 26, 28, 25, 9, 24, 160)],
+        *[touch(15, qualifiers=[(kind, "")]) for kind in (20, 25, 9, 24, 160)],
+        touch(13, qualifiers=[(20, "")]),
+        touch(17, qualifiers=[(31, "")]),
+    ]
+    raw = events.touch_events(touches(spark, rows + line_up((1, 101))))
+    table = summaries.game_summary(raw, events.position_summary(raw), extra=shot_outcomes())
+    counts = scores.transition_counts(table).select(*schema.TRANSITIONS).first().asDict()
+    expected = dict.fromkeys(schema.TRANSITIONS, 0) | {
+        "foul": 1, "yellow_card": 1, "pass_0": 1, "pass_attempt_1": 1, "own_goal": 1, "regular_goal": 2,
+        "regular_attempt": 2,
+        **{f"{piece}_{kind}": 1 for piece in ("corner_kick", "penalty_kick", "free_kick", "throwin")
+           for kind in ("goal", "attempt")},
+    }
+    assert counts == expected

@@ -117,6 +117,23 @@ def counters() -> list[Counter]:
     return result
 
 
+def shot_outcomes() -> list[Counter]:
+    """Shots by set piece and result; no row counts in two of them."""
+    goal = (F.col("typeid") == schema.GOAL) & (F.col("outcomeid") == 1)
+    missed = F.col("typeid").isin(*schema.SHOTS) & (F.col("typeid") != schema.GOAL)
+    pieces = [kind for types, _, _ in SET_PIECES.values() for kind in types]
+    result = [
+        Counter("regular_goals", goal, _none_of(schema.OWN_GOAL, *pieces)),
+        Counter("regular_missed", missed, _none_of(*schema.SET_PIECES_AND_OWN_GOALS, *pieces)),
+    ]
+    for piece, (types, _, _) in SET_PIECES.items():
+        result += [
+            Counter(f"{piece}_goals", goal, _one_of(*types)),
+            Counter(f"{piece}_missed", missed, _one_of(*types)),
+        ]
+    return result
+
+
 COUNTED_TYPES = (
     schema.PASS, schema.FOUL, schema.OUT, schema.TACKLE, *schema.INTERCEPTIONS,
     schema.SAVE, *schema.SHOTS, schema.CARD,

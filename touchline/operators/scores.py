@@ -12,17 +12,16 @@ from touchline import schema
 from touchline.functions.counters import PASS_ATTEMPTS, PASSES, SET_PIECES
 from touchline.functions.expressions import count_where
 
-# transition -> counter of the game summary
-_COUNTER_OF = {
-    "foul": "fouls",
-    "red_card": "red_cards",
-    "yellow_card": "yellow_cards",
-    **{name: name for name in (*PASSES, *PASS_ATTEMPTS)},
-    "own_goal": "own_goals",
-    "regular_goal": "goals",
-    "regular_attempt": "shot_attempts",
-    **{f"{piece}_goal": hits for piece, (_, _, hits) in SET_PIECES.items()},
-    **{f"{piece}_attempt": attempts for piece, (_, attempts, _) in SET_PIECES.items()},
+# transition -> counters of the game summary to add and to subtract
+_COUNTED_BY = {
+    "foul": ("fouls", None),
+    "red_card": ("red_cards", None),
+    "yellow_card": ("yellow_cards", None),
+    **{name: (name, None) for name in PASSES},
+    **{attempt: (attempt, done) for attempt, done in zip(PASS_ATTEMPTS, PASSES)},
+    "own_goal": ("own_goals", None),
+    **{f"{piece}_goal": (f"{piece}_goals", None) for piece in ("regular", *SET_PIECES)},
+    **{f"{piece}_attempt": (f"{piece}_missed", None) for piece in ("regular", *SET_PIECES)},
 }
 
 
@@ -85,14 +84,30 @@ def win_probability(scores: DataFrame) -> DataFrame:
     )
 
 
+def transition_counts(summary: DataFrame) -> DataFrame:
+    """How often each of the 26 transitions happened, per player and x zone.
+
+    The classes are disjoint: a pass attempt is one that failed, a goal belongs to its
+    set piece, an attempt at goal is one without a goal. ``summary`` is a game summary
+    with the ``shot_outcomes`` counters.
+    """
+    counts = []
+    for name in schema.TRANSITIONS:
+        part, without = _COUNTED_BY[name]
+        times = F.col(part) if without is None else F.col(part) - F.col(without)
+        counts.append(F.sum(times).alias(name))
+    return summary.groupBy("playerid", F.col("section_x").alias("section")).agg(*counts)
+
+
+def _total() -> Column:
+    return reduce(add, [F.col(name) for name in schema.TRANSITIONS])
+
+
 def event_probabilities(summary: DataFrame) -> DataFrame:
     """Share of each of the 26 transitions in a player's counted events per x zone."""
-    counts = [F.sum(_COUNTER_OF[name]).alias(name) for name in schema.TRANSITIONS]
-    per_zone = summary.groupBy("playerid", F.col("section_x").alias("section")).agg(*counts)
-    total = reduce(add, [F.col(name) for name in schema.TRANSITIONS])
     transitions = F.array(*[F.col(name) for name in schema.TRANSITIONS])
-    return per_zone.select(
-        "playerid", "section", total.alias("_total"), F.posexplode(transitions)
+    return transition_counts(summary).select(
+        "playerid", "section", _total().alias("_total"), F.posexplode(transitions)
     ).select(
         "playerid",
         "section",
@@ -101,15 +116,14 @@ def event_probabilities(summary: DataFrame) -> DataFrame:
     )
 
 
-def event_cdf(probabilities: DataFrame) -> DataFrame:
+def event_cdf(summary: DataFrame) -> DataFrame:
     """Lower-edge thresholds over the ordered transitions per (player, section).
 
     Entry k is the summed probability of the transitions before k: a draw n
-    selects the highest k with n above entry k. 26 conditional sums, so no group
-    is collected.
+    selects the highest k with n above entry k. Running sums of one row's counts.
     """
-    below = [
-        F.sum(F.when(F.col("transition") < k, F.col("probability")).otherwise(0.0))
-        for k in range(len(schema.TRANSITIONS))
-    ]
-    return probabilities.groupBy("playerid", "section").agg(F.array(*below).alias("thresholds"))
+    below, so_far = [], F.lit(0).cast("bigint")
+    for name in schema.TRANSITIONS:
+        below.append(F.coalesce(F.try_divide(so_far, _total()), F.lit(0.0)))
+        so_far = so_far + F.col(name)
+    return transition_counts(summary).select("playerid", "section", F.array(*below).alias("thresholds"))

@@ -9,6 +9,7 @@ one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -77,14 +78,18 @@ def countable_rows(events: DataFrame, event_grain: bool = False) -> DataFrame:
 
 
 def game_summary(
-    events: DataFrame, positions: DataFrame, event_grain: bool = False
+    events: DataFrame,
+    positions: DataFrame,
+    event_grain: bool = False,
+    extra: Sequence[Counter] = (),
 ) -> DataFrame:
     """34 counters and 3 composite counts per match, second, player, position and place.
 
     At qualifier grain (the default) a counter that asks for no qualifier counts
     an event once per qualifier; ``event_grain=True`` counts every event once.
+    ``extra`` counters, which count no other rows, become further columns.
     """
-    declared = counters()
+    declared = [*counters(), *extra]
     names = [counter.name for counter in declared]
     place = [*PLAYER, "timestamp", "x", "y"]
     counted = (

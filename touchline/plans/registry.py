@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
-from touchline.functions.counters import COMPOSITES, counters
+from touchline.functions.counters import COMPOSITES, counters, shot_outcomes
 from touchline.functions.expressions import equals_integer, zone_x, zone_y
 from touchline.operators import (
     documents,
@@ -201,7 +201,8 @@ def _state_rows(t: Inputs) -> DataFrame:
 
 
 def _thresholds(t: Inputs) -> DataFrame:
-    cdf = scores.event_cdf(scores.event_probabilities(t.game_summary))
+    summary = summaries.game_summary(t.players.events, t.players.positions, extra=shot_outcomes())
+    cdf = scores.event_cdf(summary)
     return cdf.select(
         "playerid", "section", F.posexplode("thresholds").alias("transition", "threshold")
     )
