@@ -20,7 +20,7 @@ from touchline.llm.common import components, link_buckets, only_with_ids
 from touchline.llm.shingles import shingle_hashes, shingle_set
 from touchline.sources.tables import materialise
 
-K, LARGE_K = 64, 256  # sizes of the sketches: of all documents, and of those with candidates
+K, LARGE_K = 64, 1024  # sizes of the sketches: of all documents, and of those with candidates
 SKETCH = "doc_id long, n_shingles long, digest string, sketch array<long>"
 
 
@@ -162,17 +162,20 @@ def minhash_groups(
             return table.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
         # the k smallest values of both sketches are the sketch of the union
-        est = pairs.join(side(large, "a", "sketch"), "a").join(side(large, "b", "sketch"), "b")
+        est = pairs.join(side(large, "a", "n_shingles", "sketch"), "a").join(side(large, "b", "n_shingles", "sketch"), "b")
+        whole = F.greatest("a_n_shingles", "b_n_shingles") <= LARGE_K
+        both = F.array_intersect("a_sketch", "b_sketch")
+        exact = 100 * F.size(both) >= percent * (F.size("a_sketch") + F.size("b_sketch") - F.size(both))
         union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, LARGE_K)
-        common = F.size(F.array_intersect(union, F.array_intersect("a_sketch", "b_sketch")))
-        est = est.filter(common >= F.lit(share) * F.size(union)).select("a", "b").distinct()
+        likely = F.size(F.array_intersect(union, both)) >= F.lit(share) * F.size(union)
+        est = est.filter(F.when(whole, exact).otherwise(likely)).select("a", "b").distinct()
         both = est.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
         both = both.select("a", "b", "a_text", "b_text")
         return both.mapInArrow(_alike(percent, size), "a long, b long").distinct()
 
     # the document with the fewest values of its own is nearest to all others of a bucket
     order = F.col("own") * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))
-    links = link_buckets(postings, verify, _near(similarity, LARGE_K), order=order)
+    links = link_buckets(postings, verify, _near(similarity, LARGE_K), rounds=2, order=order)
     edges = copies.union(links)
     found = components(edges)
     linked = sketched.select("doc_id", "n_shingles").join(
