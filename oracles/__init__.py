@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from oracles import events, features, fixture, matches, pairs, players
+from oracles import events, features, fixture, matches, pairs, players, tables
 
 CTES: dict[str, str] = {
     **fixture.CTES,
@@ -34,5 +34,5 @@ def _with(select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    sources = (events, matches, features, players, pairs)
+    sources = (events, matches, features, players, pairs, tables)
     return {key: _with(sql) for source in sources for key, sql in source.QUERIES.items()}

@@ -175,3 +175,6 @@ QUERIES = {
                (teamid % 11) / CAST(10 AS DOUBLE) AS is_home, competitionid, seasonid,
                kickoff AS timestamp FROM match_games""",
 }
+QUERIES["m12_validate_with_auc"] = f"""
+        SELECT {big("tp", "tp")}, {big("fp", "fp")}, auc
+        FROM confusion, ({QUERIES["m13_auc"]}) a"""

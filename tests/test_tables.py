@@ -3,7 +3,11 @@ import json
 import pytest
 from micro import line_up, touch, touches
 
-from touchline.plans.player_tables import write_player_tables
+from touchline.plans.player_tables import (
+    write_player_tables,
+    write_probability_bundle,
+    write_state_document,
+)
 from touchline.sources import tables
 
 
@@ -57,6 +61,11 @@ def test_player_tables_are_written(spark, tmp_path):
     write_player_tables(raw, str(tmp_path))
     for name, rows in (("position_summary", 1), ("game_summary", 1), ("move_summary", 2), ("touches_summary", 1)):
         assert spark.read.parquet(str(tmp_path / name)).count() == rows
+    write_probability_bundle(spark, str(tmp_path), str(tmp_path / "bundle"), 1)
+    write_state_document(spark, str(tmp_path), str(tmp_path / "state"), 1)
+    for name, table, size in (("bundle", "move", 2), ("state", "state", 1)):
+        parts = sorted((tmp_path / name).glob("part-*"))
+        assert len(json.loads("".join(p.read_text() for p in parts))[table]) in (1, size)
 
 
 def test_without_a_checkpoint_folder_the_warehouse_is_shared():

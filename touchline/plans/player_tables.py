@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from touchline.operators import events as ev
-from touchline.operators import probability, summaries
+from touchline.operators import probability, state, summaries
+from touchline.operators.documents import write_document
 from touchline.sources.tables import materialise, write_table
 
 
@@ -53,3 +55,18 @@ def write_player_tables(
     write_table(stored.move_summary(), f"{folder}/move_summary")
     summary = spark.read.parquet(f"{folder}/game_summary")
     write_table(summaries.touches_summary(summary), f"{folder}/touches_summary")
+
+
+def write_probability_bundle(spark: SparkSession, folder: str, path: str, teamid: int) -> None:
+    """Write a team's share tables, from the stored summaries, as one JSON document."""
+    summary = spark.read.parquet(f"{folder}/game_summary")
+    moves = spark.read.parquet(f"{folder}/move_summary")
+    lines = probability.probability_bundle(summary, moves, teamid)
+    write_document(lines, ["teamid"], ["playerid", *probability.ZONE], path)
+
+
+def write_state_document(spark: SparkSession, folder: str, path: str, matchid: int) -> None:
+    """Write a match's cumulative state, from the stored table, as one JSON document."""
+    stored = spark.read.parquet(f"{folder}/touches_summary").filter(F.col("matchid") == matchid)
+    order = ["teamid", "timestamp", "playerid", "position", "x", "y"]
+    write_document(state.state_document(stored), ["matchid"], order, path)

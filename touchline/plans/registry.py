@@ -7,6 +7,7 @@ tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ from touchline.plans.match_features import (
     get_wc_features,
 )
 from touchline.plans.player_tables import PlayerTables
-from touchline.sources import fixture
+from touchline.sources import fixture, tables
 from touchline.sources.tables import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +55,11 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _once(self, name: str, build: Callable[[], object]):
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        application = self.spark.sparkContext.applicationId
+        key = (application, self.sf_dir, name)
         if key not in _tables:
+            for ended in [k for k in _tables if k[0] != application]:
+                del _tables[ended]
             _tables[key] = build()
         return _tables[key]
 
@@ -253,11 +257,50 @@ def _with_power(t: Inputs) -> DataFrame:
     return power.add_power(t.balanced, t.balanced, [("points", lambda c: c > 0, "points")])
 
 
+def _new_path(t: Inputs, name: str) -> str:
+    return f"{tables.run_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _through_csv(t: Inputs) -> DataFrame:
+    teams = t.match_games.select(F.col("team_name").alias("Team"), "teamid").distinct()
+    rows = teams.join(t.home_advantage, "teamid").selectExpr(
+        "Team", "CAST(teamid * 7 % 1000 AS INT) power_ranking", "CAST(teamid AS INT) teamid", "is_home"
+    )
+    path = _new_path(t, "csv")
+    rows.write.csv(path, header=True)
+    return tables.read_home_advantage(t.spark, path)
+
+
+def _through_table(t: Inputs) -> DataFrame:
+    path = _new_path(t, "table")
+    tables.write_table(t.match_games.limit(1), path)
+    tables.write_table(t.match_games, path)  # replaces the first one
+    return tables.read_table(t.spark, path)
+
+
+def _through_view(t: Inputs) -> DataFrame:
+    name = f"match_games_{uuid.uuid4().hex}"
+    tables.create_view(t.match_games, name)
+    return tables.read_table(t.spark, name)
+
+
+def _through_dataset(t: Inputs) -> DataFrame:
+    dataset = f"touchline_{uuid.uuid4().hex}"
+    tables.create_dataset(t.spark, dataset)
+    tables.write_table(t.match_games, f"{dataset}.match_games")
+    return tables.read_table(t.spark, f"{dataset}.match_games")
+
+
 def _table(name: str) -> Callable[[Inputs], DataFrame]:
     return lambda t: probability.probability(t.game_summary, name)
 
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
+    # tables
+    "s3_csv": _through_csv,
+    "s4_replaced_table": _through_table,
+    "s5_view": _through_view,
+    "s6_dataset": _through_dataset,
     # event preparation
     "p1_remap_touches": lambda t: events.explode_qualifiers(
         events.remap_touches(t.touches, t.roster)
@@ -354,6 +397,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "m12_validate": lambda t: evaluation.validate(
         "mean points", t.judged, _won(), "predicted", baseline=0.4
     ),
+    "m12_validate_with_auc": lambda t: evaluation.validate(
+        "mean points", t.judged, _won(), "predicted", baseline=0.4, compute_auc=True
+    ).select("tp", "fp", "auc"),
     "m13_roc": lambda t: evaluation.roc_points(t.judged, _won(), "predicted"),
     "m13_auc": lambda t: evaluation.auc(t.judged, _won(), "predicted"),
     "m14_extract_predictions": lambda t: pairs.extract_predictions(t.judged),

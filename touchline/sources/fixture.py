@@ -130,8 +130,11 @@ def _store_once(derive: Callable[[SparkSession, str], DataFrame]):
 
     @wraps(derive)
     def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, derive.__name__)
+        application = spark.sparkContext.applicationId
+        key = (application, sf_dir, derive.__name__)
         if key not in _stored:
+            for ended in [k for k in _stored if k[0] != application]:
+                del _stored[ended]
             _stored[key] = materialise(derive(spark, sf_dir))
         return _stored[key]
 
