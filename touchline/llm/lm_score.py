@@ -101,11 +101,10 @@ def _collected(counts: DataFrame, s: Settings) -> np.ndarray:
     return total[:, :size]
 
 
-def _loss(counts: np.ndarray, own: float, pair: np.ndarray, ids: np.ndarray, before: np.ndarray, s: Settings) -> float:
-    """Summed loss of a text; ``own`` is 1 if the counts hold the text itself, which is left out."""
+def _loss(counts: np.ndarray, total: float, own: bool, pair: np.ndarray, ids: np.ndarray, before: np.ndarray, s: Settings) -> float:
+    """Summed loss of a text; ``own``: the counts (``total`` tokens) hold the text itself, which is left out."""
     token, context = s.pairs + ids, s.pairs + s.tokens + before
     both, one, ahead = counts[pair], counts[token], counts[context]
-    total = counts[s.pairs : s.pairs + s.tokens].sum()
     if own:
         for held, at in ((both, pair), (one, token), (ahead, context)):
             _, place, n = np.unique(at, return_inverse=True, return_counts=True)
@@ -149,6 +148,7 @@ def cross_entropy_difference(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (background, wanted) = tokenizer(path).ids, shared.value
+        background_total, wanted_total = (float(x[s.pairs : s.pairs + s.tokens].sum(dtype=float)) for x in (background, wanted))
         for batch in batches:
             sizes, losses = [], ([], [], [])
             for text, inside in zip(batch.column(1), batch.column(2)):
@@ -160,8 +160,8 @@ def cross_entropy_difference(
                     continue
                 before, pair = _pairs(ids, s)
                 own = inside.as_py()
-                a = _loss(wanted, own, pair, ids, before, s) / len(ids)
-                b = _loss(background, not own, pair, ids, before, s) / len(ids)
+                a = _loss(wanted, wanted_total, own, pair, ids, before, s) / len(ids)
+                b = _loss(background, background_total, not own, pair, ids, before, s) / len(ids)
                 for x, value in zip(losses, (a, b, a - b)):
                     x.append(value)
             yield pa.RecordBatch.from_arrays(
