@@ -121,7 +121,10 @@ def embedding_groups(
     sizes = sizes.withColumn("shards", F.when(F.col("shards") > 1, F.ceil(F.col("shards") * 1.1)).otherwise(1).cast("int"))
     dealt = alike.join(sizes, ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     dealt = materialise(dealt)
-    graphs = dealt.select("label", "size", "shard", "node", "copies", "embedding").groupBy("label", "size", "shard")
+    # a fixed number of partitions: small shards are long work, so they should not be merged
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["label", "size", "shard"]
+    graphs = dealt.select(*place, "node", "copies", "embedding").repartition(parts, *place).groupBy(*place)
     schema = f"label {dealt.schema['label'].dataType.simpleString()}, size int, shard int, graph binary"
     graphs = materialise(graphs.applyInPandas(_build(least, audit, recall), schema))
 
@@ -129,8 +132,9 @@ def embedding_groups(
     queries = dealt.withColumnRenamed("shard", "block").withColumn("shard", F.explode(every))
     queries = queries.select("label", "size", "shard", "block", "node", "embedding")
     indexes = graphs.join(sizes, ["label", "size"]).withColumn("block", F.explode(every))
-    keys = ["label", "size", "shard", "block"]
-    found = indexes.select(*keys, "graph").groupBy(*keys).cogroup(queries.groupBy(*keys))
+    keys = [*place, "block"]
+    indexes = indexes.select(*keys, "graph").repartition(parts, *keys).groupBy(*keys)
+    found = indexes.cogroup(queries.repartition(parts, *keys).groupBy(*keys))
     found = materialise(found.applyInPandas(_query(least), "node long, n long, other long"))
 
     links = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -135,6 +135,11 @@ class Graph:
             self.entry = node
 
     def near(self, q: np.ndarray, beam: int, floor: float) -> np.ndarray:
-        """Nodes found with a cosine of at least ``floor`` to the unit vector q."""
+        """Nodes found with a cosine of at least ``floor`` to the unit vector q.
+
+        A beam as wide as the shard would visit every node: then all are compared at once.
+        """
+        if beam >= len(self.vectors):
+            return np.flatnonzero(self.vectors @ q >= floor)
         found = self._search(q, self._descend(q, 0), beam, 0, floor)
         return np.array([n for s, n in found if s >= floor], np.int64)
