@@ -88,6 +88,9 @@ def test_stored_tables_are_deleted(spark, tmp_path, monkeypatch):
     with tables.stored_tables(spark) as folder:
         assert tables.materialise(spark.range(3)).count() == 3
         assert any(tmp_path.rglob("*.parquet"))
+        name = tables.run_table(spark, "kept")
+        spark.range(2).write.saveAsTable(name)
+    assert not spark.catalog.tableExists(name)
     assert folder.startswith(str(tmp_path)) and not any(tmp_path.rglob("*.parquet"))
 
 

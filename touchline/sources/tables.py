@@ -8,6 +8,7 @@ prunes its own columns and the optimizer knows the table's size.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -91,6 +92,15 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/touchline/{spark.sparkContext.applicationId}"
 
 
+def run_table(spark: SparkSession, purpose: str) -> str:
+    """A new name for a catalog table that belongs to this application."""
+    return f"{_run_prefix(spark)}{purpose}_{uuid.uuid4().hex}"
+
+
+def _run_prefix(spark: SparkSession) -> str:
+    return "touchline_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
 def materialise(frame: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``frame`` once and return the stored table. Runs a job.
 
@@ -105,7 +115,10 @@ def materialise(frame: DataFrame, schema: StructType | None = None) -> DataFrame
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all stored tables of this application."""
+    """Delete all stored tables of this application, those in the catalog included."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith(_run_prefix(spark)):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
     path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
