@@ -13,15 +13,13 @@ only key, so nothing is shuffled after the texts have met their successors.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.llm.common import LAST_ID
 from touchline.operators.ordered import ordered, with_previous
-from touchline.sources.tables import materialise
+from touchline.sources.tables import materialise, run_table
 
 PARTS = 3
 CHECK = 77  # seed of the check hash; the parts' cell numbers use 0, 1 and 2
@@ -192,7 +190,7 @@ def document_fingerprints(
         paragraphs(F.col("edited")).alias("edit"),
         paragraphs(F.col("next")).alias("after"),
     )
-    name = f"touchline_fingerprints_{uuid.uuid4().hex}"
+    name = run_table(spark, "fingerprints")
     texts.repartition(buckets, "g").write.format("parquet").bucketBy(buckets, "g").saveAsTable(name)
     table = spark.table(name)
 
