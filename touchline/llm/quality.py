@@ -34,7 +34,7 @@ class _Ids(dict):
     """Hash of each token seen, computed once; emptied when it grows too large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         word = CAPITALS if len(token) > 1 and token.isupper() else token.lower()
         if not word[0].isalnum() and word[0] not in ("\x00", "_"):

@@ -13,7 +13,7 @@ class _Hashes(dict):
     """Hash of each word seen, computed once; emptied when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

@@ -27,7 +27,7 @@ class Tokenizer(dict):
     with other white space or a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.path, self.most, self._pieces, self._whole = path, most, None, None
 
     def _whole_ids(self, text: str) -> bytes:
