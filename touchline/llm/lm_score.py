@@ -1,8 +1,8 @@
 """Cross-entropy difference of two matched n-gram models.
 
 A target and a background model share the vocabulary of a public tokenizer, the order
-(bigrams backed by unigrams), the weights of interpolation and the hashing of
-bigrams. A document's score is the mean over its tokens of target loss minus
+(bigrams backed by unigrams) and the weights of interpolation; bigrams are counted
+exactly, in a table of the shared folder. A document's score is the mean over its tokens of target loss minus
 background loss: the lower, the more it resembles the target.
 """
 
@@ -13,107 +13,102 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.tokens import default_vocabulary, tokenizer
+from touchline.sources.tables import materialise
+
+
+HOT = 1 << 18  # a bigram with more than one in so many of the rows to join is joined by a broadcast: fewer than HOT are
 
 
 @dataclass(frozen=True)
 class Settings:
     """Sizes of the models, the same for both.
 
-    pairs: buckets of hashed bigrams; tokens: ids of the vocabulary, plus one for the
-    start of a text; bigram, unigram: weights of the interpolation, the rest is uniform.
+    tokens: ids of the vocabulary, plus one for the start of a text; bigram, unigram: weights of
+    the interpolation, the rest is uniform; block: tokens whose bigrams a task holds before it
+    gives them out. pairs has no effect: bigrams are counted one by one, not in buckets.
     """
 
     pairs: int = 1 << 20
     tokens: int = 50_258
     bigram: float = 0.6
     unigram: float = 0.35
-    block: int = 1 << 15
+    block: int = 1 << 18
 
 
-def _pairs(ids: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Context and hashed bigram of every token; the first one follows the start."""
-    before = np.concatenate([[s.tokens - 1], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed ^= mixed >> np.uint64(31)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return before.astype(np.int64), ((mixed >> np.uint64(24)) % np.uint64(s.pairs)).astype(np.int64)
+HELD = (
+    "row long, doc_id long, n_tokens long, in_target boolean, "
+    "pair array<long>, n array<int>, head array<int>, one array<int>"
+)
 
 
-def _count(rows: DataFrame, s: Settings, path: str) -> DataFrame:
-    """bucket, target, background: counts of tokens, contexts and bigrams over all rows.
+def _bigrams(ids: np.ndarray, s: Settings) -> list[np.ndarray]:
+    """Distinct bigrams of a text, their counts, and those of their contexts and tokens in the text.
 
-    Buckets: bigrams, then tokens, then contexts. A task adds its rows up in arrays
-    of fixed size and gives out what is not zero.
+    The first token follows the start. A bigram is context * tokens + token.
     """
-    size = s.pairs + 2 * s.tokens
+    before = np.concatenate([[s.tokens - 1], ids[:-1]])
+    pair, first, n = np.unique(before * s.tokens + ids, return_index=True, return_counts=True)
+    found = [pair, n]
+    for held in (before, ids):
+        _, place, count = np.unique(held, return_inverse=True, return_counts=True)
+        found.append(count[place[first]])
+    return found
+
+
+def _held(marked: DataFrame, s: Settings, path: str) -> DataFrame:
+    """One row per row of ``marked``, numbered, with its distinct bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).ids
-        total = np.zeros((2, size), np.int64)
+        row = TaskContext.get().partitionId() << 33
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+        def given(docs: pa.RecordBatch, sizes: list[int], held: list[list[np.ndarray]], first: int) -> pa.RecordBatch:
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(h[0]) for h in held])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([h[i] for h in held]), kind)) for i, kind in enumerate(kinds)]
+            rows = pa.array(np.arange(first, first + len(sizes)), pa.int64())
+            names = ["row", "doc_id", "n_tokens", "in_target", "pair", "n", "head", "one"]
+            return pa.RecordBatch.from_arrays([rows, docs.column(0), pa.array(sizes, pa.int64()), docs.column(2), *lists], names=names)
+
         for batch in batches:
-            held: tuple[list[bytes], list[bytes]] = ([], [])
-            for text, target in zip(batch.column(0), batch.column(1)):
-                ids = np.frombuffer(encode(text.as_py()), "<u4")
-                if not len(ids):
-                    continue
-                before, pair = _pairs(ids, s)
-                held[target.as_py()].append(np.concatenate([pair, s.pairs + ids.astype(np.int64), s.pairs + s.tokens + before]))
-                for side in (0, 1):
-                    if sum(map(len, held[side])) > 1_000_000:
-                        total[side] += np.bincount(np.concatenate(held[side]), minlength=size)
-                        held[side].clear()
-            for side in (0, 1):
-                if held[side]:
-                    total[side] += np.bincount(np.concatenate(held[side]), minlength=size)
-        at = np.flatnonzero(total.any(0))
-        for start in range(0, len(at), 100_000):
-            part = at[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(total[1][part]), pa.array(total[0][part])],
-                names=["bucket", "target", "background"],
-            )
-
-    found = rows.mapInArrow(run, "bucket long, target long, background long")
-    return found.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def _collected(counts: DataFrame, s: Settings) -> np.ndarray:
-    """The counts as an array of fixed size (2 x buckets), sent to the driver in packed blocks."""
-    size = s.pairs + 2 * s.tokens
-
-    def packed(key, table):  # at most one block of buckets as an Arrow table
-        block = np.zeros((2, s.block), "<i8")
-        at = table.column("bucket").to_numpy() % s.block
-        block[0, at] = table.column("background").to_numpy()
-        block[1, at] = table.column("target").to_numpy()
-        return pa.table({"block": [key[0].as_py()], "data": [block.tobytes()]})
-
-    place = F.floor(F.col("bucket") / s.block).alias("block")
-    blocks = counts.select(place, "bucket", "target", "background").groupBy("block").applyInArrow(packed, "block long, data binary")
-    total = np.zeros((2, -(-size // s.block) * s.block))
-    for row in blocks.toLocalIterator():
-        start = row["block"] * s.block
-        total[:, start : start + s.block] = np.frombuffer(row["data"], "<i8").reshape(2, s.block)
-    return total[:, :size]
-
-
-def _loss(counts: np.ndarray, total: float, own: bool, pair: np.ndarray, ids: np.ndarray, before: np.ndarray, s: Settings) -> float:
-    """Summed loss of a text; ``own``: the counts (``total`` tokens) hold the text itself, which is left out."""
-    token, context = s.pairs + ids, s.pairs + s.tokens + before
-    both, one, ahead = counts[pair], counts[token], counts[context]
-    if own:
-        for held, at in ((both, pair), (one, token), (ahead, context)):
-            _, place, n = np.unique(at, return_inverse=True, return_counts=True)
-            held -= n[place]
-        total -= len(ids)
-    # hashed bigrams can collide: no more of them than of their context
-    chance = s.bigram * np.minimum(both, ahead) / np.maximum(ahead, 1)
-    chance += s.unigram * one / max(total, 1) + (1 - s.bigram - s.unigram) / s.tokens
-    return float(-np.log(chance).sum())
+            start, sizes, held = 0, [], []
+            for i, text in enumerate(batch.column(1)):
+                ids = np.frombuffer(encode(text.as_py()), "<u4").astype(np.int64)
+                sizes.append(len(ids))
+                held.append(_bigrams(ids, s) if len(ids) else [np.empty(0, np.int64)] * 4)
+                if sum(sizes) >= s.block or i == batch.num_rows - 1:
+                    yield given(batch.slice(start, len(sizes)), sizes, held, row)
+                    start, row, sizes, held = i + 1, row + len(sizes), [], []
+
+    return materialise(marked.mapInArrow(run, HELD))
+
+
+def _counts(rows: DataFrame, s: Settings) -> DataFrame:
+    """pair, docs, and the counts in the target (t) and the background (b) of it, its context and its token.
+
+    Exact sums; those of contexts and tokens have a row per id of the vocabulary at most.
+    """
+    side = lambda inside: F.sum(F.when(F.col("in_target") == inside, F.col("n")).otherwise(0))
+    pairs = materialise(rows.groupBy("pair").agg(side(True).alias("t"), side(False).alias("b"), F.count("*").alias("docs")))
+    pairs = pairs.withColumns({"context": F.expr(f"pair div {s.tokens}"), "token": F.expr(f"pair % {s.tokens}")})
+    for name, by in (("head", "context"), ("one", "token")):
+        sums = pairs.groupBy(by).agg(F.sum("t").alias(f"{name}_t"), F.sum("b").alias(f"{name}_b"))
+        pairs = pairs.join(F.broadcast(sums), by)
+    return materialise(pairs.drop("context", "token"))
+
+
+def _loss(side: str, total: int, own: Column, s: Settings) -> Column:
+    """Loss of all occurrences of a bigram in a text; ``own``: the counts (``total`` tokens) hold the text, which is left out."""
+    rest = lambda counted, held: F.col(counted) - F.when(own, F.col(held)).otherwise(0)
+    others = F.lit(total) - F.when(own, F.col("n_tokens")).otherwise(0)
+    chance = s.bigram * rest(side, "n") / F.greatest(rest(f"head_{side}", "head"), F.lit(1))
+    chance += s.unigram * rest(f"one_{side}", "one") / F.greatest(others, F.lit(1))
+    return -F.col("n") * F.log(chance + (1 - s.bigram - s.unigram) / s.tokens)
 
 
 def cross_entropy_difference(
@@ -134,39 +129,31 @@ def cross_entropy_difference(
 
     A document is never scored by its own counts. A text that is null or empty has 0
     tokens and null losses and score. Repeated rows are counted and scored each. Runs jobs:
-    the models, of fixed size, pass through the driver; the texts do not.
+    the bigrams of the rows and their counts are stored; neither passes through the driver.
     """
     path, s = vocabulary or default_vocabulary(), settings
-    spark = docs.sparkSession
     named = target.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = texts.join(named.withColumn("in_target", F.lit(True)), "doc_id", "left").select(
         "doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target")
     )
-    shared = spark.sparkContext.broadcast(_collected(_count(marked.select("text", "in_target"), s, path), s).astype("f4"))
-    schema = "doc_id long, n_tokens long, in_target boolean, target_loss double, background_loss double, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (background, wanted) = tokenizer(path).ids, shared.value
-        background_total, wanted_total = (float(x[s.pairs : s.pairs + s.tokens].sum(dtype=float)) for x in (background, wanted))
-        for batch in batches:
-            sizes, losses = [], ([], [], [])
-            for text, inside in zip(batch.column(1), batch.column(2)):
-                ids = np.frombuffer(encode(text.as_py()), "<u4").astype(np.int64)
-                sizes.append(len(ids))
-                if not len(ids):
-                    for x in losses:
-                        x.append(None)
-                    continue
-                before, pair = _pairs(ids, s)
-                own = inside.as_py()
-                a = _loss(wanted, wanted_total, own, pair, ids, before, s) / len(ids)
-                b = _loss(background, background_total, not own, pair, ids, before, s) / len(ids)
-                for x, value in zip(losses, (a, b, a - b)):
-                    x.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), batch.column(2), *[pa.array(x, pa.float64()) for x in losses]],
-                names=["doc_id", "n_tokens", "in_target", "target_loss", "background_loss", "score"],
-            )
-
-    return marked.mapInArrow(run, schema)
+    held = _held(marked, s, path)
+    zipped = F.explode(F.arrays_zip("pair", "n", "head", "one")).alias("x")
+    rows = held.select("row", "in_target", F.col("n_tokens").cast("int").alias("n_tokens"), zipped)
+    rows = rows.select("row", "in_target", "n_tokens", "x.*")
+    counts = _counts(rows, s)
+    target_total, background_total, places = (x or 0 for x in counts.agg(F.sum("t"), F.sum("b"), F.sum("docs")).first())
+    # each of the others is a small part of the shuffle
+    hot = F.broadcast(counts.filter(F.col("docs") * HOT > places))
+    cold = counts.filter(F.col("docs") * HOT <= places)
+    joined = rows.join(hot, "pair").unionByName(rows.join(hot.select("pair"), "pair", "left_anti").join(cold, "pair"))
+    losses = joined.groupBy("row").agg(
+        F.sum(_loss("t", target_total, F.col("in_target"), s)).alias("t"),
+        F.sum(_loss("b", background_total, ~F.col("in_target"), s)).alias("b"),
+    )
+    scored = held.select("row", "doc_id", "n_tokens", "in_target").join(losses, "row", "left")
+    scored = scored.withColumns({"target_loss": F.col("t") / F.col("n_tokens"), "background_loss": F.col("b") / F.col("n_tokens")})
+    return scored.select(
+        "doc_id", "n_tokens", "in_target", "target_loss", "background_loss",
+        (F.col("target_loss") - F.col("background_loss")).alias("score"),
+    )
