@@ -1,25 +1,22 @@
-"""Near-duplicate vectors: small-world graphs per shard, exact cosines, components.
+"""Near-duplicate vectors: exact cosines between shards, components.
 
-Vectors of one label and length are dealt into shards of bounded size, each with a
-graph; every vector queries every shard of its label. A shard's beam is widened until
-an audit against brute force finds every link. Equal vectors are one node.
+Vectors of one label and length are dealt into shards of bounded size; every two
+shards of a label are compared whole, as products of matrices, so no link is missed
+and each counts for both its vectors. Equal vectors are one node.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from touchline.llm.common import components
-from touchline.llm.hnsw import Graph
 from touchline.sources.tables import materialise
 
-SLACK = 1e-9  # the search takes in slightly more than the exact cosine lets pass
+SLACK = 1e-9  # cosines nearer to the threshold than this are computed pair by pair
+TILE = 1_024  # rows of a product of matrices
 
 
 def _unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -28,56 +25,43 @@ def _unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return raw, norms
 
 
-def _build(least: float, audit: int, recall: float):
-    """One row per shard: its graph and the beam that passed the audit."""
-
-    def run(key, frame):
-        frame = frame.sort_values("node")
-        raw, norms = _unit(frame)
-        unit = raw / norms[:, None]
-        graph = Graph.built(unit)
-        sample = np.random.default_rng(7).permutation(len(unit))[:audit]
-        wanted = [np.flatnonzero(unit @ unit[i] >= least - SLACK) for i in sample]
-        beam = 24
-        while beam < len(unit):
-            hit = sum(len(np.intersect1d(w, graph.near(unit[i], beam, least - SLACK))) for i, w in zip(sample, wanted))
-            if hit >= recall * sum(map(len, wanted)):
-                break
-            beam *= 2
-        data = pickle.dumps((frame["node"].to_numpy(), frame["copies"].to_numpy(), raw, norms, graph, beam))
-        return pd.DataFrame({"label": [key[0]], "size": [key[1]], "shard": [key[2]], "graph": [data]})
-
-    return run
-
-
-def _query(least: float):
-    """Links of a block of vectors in one shard: counts per vector, and a spanning forest."""
+def _compare(least: float):
+    """Links between two shards, or inside one: counts per vector, and a spanning forest."""
 
-    def run(key, graphs, frame):
-        if not len(graphs) or not len(frame):
+    def run(key, left, right):
+        if not len(left) or not len(right):
             return pd.DataFrame({"node": [], "n": [], "other": []})
-        nodes, copies, raw, norms, graph, beam = pickle.loads(graphs["graph"].iloc[0])
-        place = {int(n): i for i, n in enumerate(nodes)}
-        own_raw, own_norms = _unit(frame)
-        root: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        same = key[2] == key[3]
+        one, two = left["node"].to_numpy(), right["node"].to_numpy()
+        (raw, norms), (other_raw, other_norms) = _unit(left), _unit(right)
+        unit = other_raw / other_norms[:, None]
+        held, other_held = (f["copies"].to_numpy().astype(np.float64) for f in (left, right))
+        counts, other_counts = np.zeros(len(one)), np.zeros(len(two))
+        nodes, place = np.unique(np.concatenate([one, two]), return_inverse=True)
+        at, group = (place[: len(one)], place[len(one) :]), np.arange(len(nodes))
         rows: list[tuple[int, int, int | None]] = []
-        for node, x, norm in zip(frame["node"].tolist(), own_raw, own_norms):
-            found = graph.near(x / norm, beam, least - SLACK)
-            exact = raw[found] @ x / (norms[found] * norm)
-            found = found[(exact >= least) & (found != place.get(node, -1))]
-            rows.append((node, int(copies[found].sum()), None))
-            for other in nodes[found].tolist():
-                a, b = top(node), top(other)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    rows.append((node, 0, other))
+        for start in range(0, len(one), TILE):
+            tile = slice(start, start + TILE)
+            near = (raw[tile] / norms[tile, None]) @ unit.T
+            hit = near >= least + SLACK
+            # on the border the order of a sum must not matter: each pair by its own products
+            i, j = np.nonzero(np.abs(near - least) <= SLACK)
+            for part in range(0, len(i), TILE):
+                x, y = i[part : part + TILE] + start, j[part : part + TILE]
+                hit[x - start, y] = (raw[x] * other_raw[y]).sum(1) / (norms[x] * other_norms[y]) >= least
+            if same:  # each pair once
+                hit &= at[0][tile, None] < at[1][None, :]
+            counts[tile] += hit @ other_held
+            other_counts += held[tile] @ hit
+            for k in np.flatnonzero(hit.any(1)):
+                own = at[0][start + k]
+                for root in np.unique(group[at[1][hit[k]]]):
+                    if root != group[own]:
+                        rows.append((int(nodes[own]), 0, int(nodes[root])))
+                        # a group's number is one of its members
+                        group[group == root] = group[own]
+        rows += [(int(n), int(c), None) for n, c in zip(one, counts)]
+        rows += [(int(n), int(c), None) for n, c in zip(two, other_counts)]
         out = pd.DataFrame(rows, columns=["node", "n", "other"])
         out["other"] = out["other"].astype("Int64")
         return out
@@ -86,22 +70,20 @@ def _query(least: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, least: float = 0.98, shard_rows: int = 8_192, audit: int = 128, recall: float = 1.0,
+    vectors: DataFrame, least: float = 0.98, shard_rows: int = 8_192,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """Groups of vectors of one label linked by a cosine of at least ``least``.
 
     Args:
-        shard_rows: vectors of one graph, and of one block of queries.
-        audit: vectors per shard whose links are compared with brute force;
-            recall: share of their links that the beam must find.
+        shard_rows: vectors of one shard; a task compares two shards.
 
     Returns:
         One row per id: ``vec_id``, ``n_links`` (other vectors linked directly),
         ``component_id`` (the smallest id reachable, itself included), ``kept``
         (``vec_id = component_id``).
 
-    Cosines are computed in double precision. Vectors that are null, empty, zero or hold null or
+    All cosines of a label are computed, in double precision. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null label, link with nothing; nor do
     vectors of different lengths. Of rows that share an id the one with the smallest
     label and vector counts. Rows without an id are returned one by one, kept and without links. Runs jobs.
@@ -123,19 +105,16 @@ def embedding_groups(
     dealt = materialise(dealt)
     # a fixed number of partitions: small shards are long work, so they should not be merged
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ["label", "size", "shard"]
-    graphs = dealt.select(*place, "node", "copies", "embedding").repartition(parts, *place).groupBy(*place)
-    schema = f"label {dealt.schema['label'].dataType.simpleString()}, size int, shard int, graph binary"
-    graphs = materialise(graphs.applyInPandas(_build(least, audit, recall), schema))
-
-    every = F.sequence(F.lit(0), F.col("shards") - 1)
-    queries = dealt.withColumnRenamed("shard", "block").withColumn("shard", F.explode(every))
-    queries = queries.select("label", "size", "shard", "block", "node", "embedding")
-    indexes = graphs.join(sizes, ["label", "size"]).withColumn("block", F.explode(every))
-    keys = [*place, "block"]
-    indexes = indexes.select(*keys, "graph").repartition(parts, *keys).groupBy(*keys)
-    found = indexes.cogroup(queries.repartition(parts, *keys).groupBy(*keys))
-    found = materialise(found.applyInPandas(_query(least), "node long, n long, other long"))
+    keys = ["label", "size", "shard", "block"]
+
+    def side(own: str, other: str, others: Column) -> GroupedData:
+        rows = dealt.withColumnRenamed("shard", own).withColumn(other, F.explode(others))
+        return rows.select(*keys, "node", "copies", "embedding").repartition(parts, *keys).groupBy(*keys)
+
+    # each two shards of a label meet once, each shard with itself too
+    left = side("shard", "block", F.sequence(F.col("shard"), F.col("shards") - 1))
+    right = side("block", "shard", F.sequence(F.lit(0), F.col("block")))
+    found = materialise(left.cogroup(right).applyInPandas(_compare(least), "node long, n long, other long"))
 
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     edges = found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
