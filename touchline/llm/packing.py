@@ -1,7 +1,7 @@
 """Lexical retrieval packing: documents fill windows together with their neighbours.
 
-The corpus is cut into shards of a bounded number of documents, each with its own
-BM25 inverted index. A seed document opens a window; the index returns its
+Documents are ordered by their strongest terms over the whole corpus and cut into shards
+of a bounded number, each with its own BM25 inverted index. A seed document opens a window; the index returns its
 unused neighbours, best first, and they fill the window. What does not fit opens
 the next one, so only a shard's last window may have room left.
 """
@@ -9,7 +9,7 @@ the next one, so only a shard's last window may have room left.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.tokens import default_vocabulary, tokenizer
+from touchline.sources.tables import materialise
 
 K1, B = 1.2, 0.75
+STRONGEST = 8  # terms of a document that may order it
+KEYS = 3  # of them, those that do
+TASK_SHARDS = 4  # shards of one task, about
+STEP = 1_000  # documents of one batch of token ids
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long"
@@ -29,7 +34,7 @@ PIECES = (
 class Index:
     """BM25 over the token ids of a shard's documents."""
 
-    def __init__(self, ids: list[np.ndarray], query_terms: int):
+    def __init__(self, ids: list[np.ndarray], query_terms: int | None = None):
         self.query_terms, n = query_terms, len(ids)
         counted = [np.unique(x, return_counts=True) for x in ids]
         sizes = np.array([len(t) for t, _ in counted])
@@ -48,10 +53,10 @@ class Index:
         self.first = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share the document's strongest terms, best first."""
+        """Unused documents that share terms (the strongest ``query_terms``, or any), best first."""
         own = slice(self.bounds[doc], self.bounds[doc + 1])
         terms, weight = self.terms[own], self.weight[own]
-        if len(terms) > self.query_terms:
+        if self.query_terms is not None and len(terms) > self.query_terms:
             terms = terms[np.argpartition(-weight, self.query_terms)[: self.query_terms]]
         lists = [slice(self.first[t], self.first[t + 1]) for t in terms]
         total = np.bincount(
@@ -64,7 +69,7 @@ class Index:
         return order[: np.count_nonzero(total > 0)]
 
 
-def pack(ids: list[np.ndarray], window: int, query_terms: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(ids: list[np.ndarray], window: int, query_terms: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard."""
     index = Index(ids, query_terms)
     start = np.zeros(len(ids), int)
@@ -102,12 +107,87 @@ def pack(ids: list[np.ndarray], window: int, query_terms: int) -> Iterator[tuple
             seed = -1 if used[doc] else doc
 
 
+def _coded(rows: DataFrame, end_id: int, path: str) -> DataFrame:
+    """row (a number), doc_id, ids: the token ids of every row and the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer(path).ids
+        end = np.array([end_id], "<u4").tobytes()
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                ids = pa.array([encode(t.as_py()) + end for t in part.column(1)], pa.binary())
+                numbers = pa.array(np.arange(row, row + part.num_rows), pa.int64())
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([numbers, part.column(0), ids], names=["row", "doc_id", "ids"])
+
+    return materialise(rows.mapInArrow(run, "row long, doc_id long, ids binary"))
+
+
+def _strongest(ids: bytes, idf: np.ndarray) -> np.ndarray:
+    """The strongest terms of a document over the whole corpus, best first."""
+    terms, tf = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
+    weight = idf[terms] * tf * (K1 + 1) / (tf + K1)
+    return terms[np.argsort(-weight, kind="stable")[:STRONGEST]]
+
+
+def _document_counts(coded: DataFrame, terms_of: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """Documents that give out each term; bounded by the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                terms = terms_of(ids.as_py())
+                if terms.max() >= len(total):
+                    total = np.pad(total, (0, int(terms.max()) + 1 - len(total)))
+                total[terms] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
+
+    found = coded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(max((r["term"] for r in found), default=0) + 1, np.int64)
+    for r in found:
+        counts[r["term"]] = r["n"]
+    return counts
+
+
+def _routed(coded: DataFrame, shard_docs: int) -> DataFrame:
+    """The rows in the order of their strongest terms, dealt by ranges.
+
+    Of a document's ``STRONGEST`` terms, those that most documents have among theirs order it.
+    Equal ones are followed by the next, the ids and the row's number, so a frequent term or copies spread over tasks.
+    """
+    counts, n = _document_counts(coded, lambda ids: np.unique(np.frombuffer(ids, "<u4"))), coded.count()
+    idf = np.where(counts > 1, np.log1p((n - counts + 0.5) / (counts + 0.5)), 0.0)
+    weights = coded.sparkSession.sparkContext.broadcast(idf)
+    liked = _document_counts(coded, lambda ids: _strongest(ids, weights.value))
+    popular = coded.sparkSession.sparkContext.broadcast(np.pad(liked, (0, max(len(idf) - len(liked), 0))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = np.full((batch.num_rows, KEYS), -1, np.int32)
+            for i, ids in enumerate(batch.column(2)):
+                terms = _strongest(ids.as_py(), weights.value)
+                chosen = terms[np.lexsort((terms, -popular.value[terms]))[:KEYS]]
+                best[i, : len(chosen)] = chosen
+            keys = [pa.array(best[:, k]) for k in range(KEYS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=["row", "doc_id", "ids", *names])
+
+    names = [f"k{k}" for k in range(KEYS)]
+    schema = "row long, doc_id long, ids binary, " + ", ".join(f"{name} int" for name in names)
+    order = [*names, F.xxhash64("ids"), F.col("row")]
+    parts = max(1, n // (TASK_SHARDS * shard_docs))
+    return coded.mapInArrow(run, schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def pack_documents(
     docs: DataFrame,
     window: int = 2048,
     end_id: int = 1,
     shard_docs: int = 2048,
-    query_terms: int = 32,
+    query_terms: int | None = None,
     vocabulary: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -115,9 +195,9 @@ def pack_documents(
     """Pack every document's token ids, and ``end_id`` after them, into windows.
 
     Args:
-        shard_docs: documents of one inverted index; a partition of the input has
-            as many shards as it needs, and memory is bounded by one shard.
-        query_terms: strongest BM25 terms of a seed that are looked up.
+        shard_docs: documents of one inverted index; a task has
+            some of them, and memory is bounded by one shard.
+        query_terms: strongest BM25 terms of a seed that are looked up; None: all.
         vocabulary: path of the tokenizer's file.
 
     Returns:
@@ -128,13 +208,12 @@ def pack_documents(
 
     A null or empty text is packed as ``end_id`` alone. Rows are packed one by one: repeated
     rows and rows with the same or no id are packed as often as they occur. Other
-    columns are ignored; an empty input gives no piece. Nothing is shuffled.
+    columns are ignored; an empty input gives no piece. Runs jobs: the token ids are stored,
+    and shuffled once, into the order of the documents' strongest terms.
     """
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).ids
-        end = np.array([end_id], "<u4").tobytes()
         place = TaskContext.get().partitionId() << 33
         names, texts = [], []
 
@@ -165,11 +244,12 @@ def pack_documents(
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1)):
                 names.append(name.as_py())
-                texts.append(encode(text.as_py()) + end)
+                texts.append(text.as_py())
                 if len(names) == shard_docs:
                     yield shard()
         if names:
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    routed = _routed(_coded(rows, end_id, path), shard_docs)
+    return routed.select("doc_id", "ids").mapInArrow(run, PIECES)
