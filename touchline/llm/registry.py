@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import language, pii, quality
+from touchline.llm import language, pii, quality, toxicity
 from touchline.llm.embeddings import embedding_groups
 from touchline.llm.fingerprints import document_fingerprints
+from touchline.llm.hard_negatives import hard_negatives
 from touchline.llm.line_dedup import line_dedup
 from touchline.llm.lm_score import cross_entropy_difference
 from touchline.llm.minhash import minhash_groups
 from touchline.llm.mixing import mix
 from touchline.llm.packing import pack_documents
+from touchline.llm.spelling import count_words, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,6 +90,29 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out documents teach nothing, not even as unlabelled text."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(3) != 1)
+    scored = toxicity.score(docs, toxicity.train(docs.filter(_fold(3) != 1), labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(count_words(_documents(spark, sf_dir)))
+
+
 QUERIES = [
     op1_line_dedup,
     op2_minhash_near_dedup,
@@ -99,6 +124,9 @@ QUERIES = [
     op8_mixing,
     op9_lm_score,
     op10_embedding_near_dedup,
+    op11_toxicity,
+    op12_hard_negatives,
+    op13_spelling_variants,
 ]
 
 
@@ -152,5 +180,26 @@ def _mixing_sql() -> str:
         FROM placed"""
 
 
+_NEGATIVES_SQL = """
+    WITH part AS (
+      SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+      SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+             CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM part a JOIN part b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+    positive AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM positive JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": _mixing_sql()}
+    return {"op8_mixing": _mixing_sql(), "op12_hard_negatives": _NEGATIVES_SQL}
