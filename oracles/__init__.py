@@ -20,6 +20,11 @@ CTES: dict[str, str] = {
 }
 
 
+def _kept(name: str) -> str:
+    """Fits read the step before several times, so it is computed once."""
+    return "MATERIALIZED " if "_fit" in name or name.endswith("_design") else ""
+
+
 def _with(select: str) -> str:
     """Prepend the common table expressions a query needs, and those they need."""
     needed, text = [], select
@@ -29,8 +34,9 @@ def _with(select: str) -> str:
             text += "\n" + CTES[name]
     if not needed:
         return select
-    parts = [f"{name} AS ({CTES[name].strip()})" for name in reversed(needed)]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    parts = [f"{name} AS {_kept(name)}({CTES[name].strip()})" for name in reversed(needed)]
+    recursive = "RECURSIVE " if any("_fit" in name for name in needed) else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + select.strip()
 
 
 def oracle_sql() -> dict[str, str]:

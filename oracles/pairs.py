@@ -1,6 +1,7 @@
 """Paired-row operators, evaluation and power rankings."""
 
 from oracles.features import FEATURES, GAME, HISTORY
+from oracles.lasso import MEAN, fit
 from oracles.sql import big, rounded, rounded_all
 
 _NUMBERS = ["is_home", *HISTORY]
@@ -17,6 +18,54 @@ def _scaled(name: str) -> str:
     )
 
 
+def _design(rows: str) -> str:
+    """Standardised rows of both sides as one list: own features, the opponent's, 1."""
+    moments = ", ".join(f"AVG({n}) AS mean_{n}, STDDEV_POP({n}) AS std_{n}" for n in _NUMBERS)
+    scaled = ", ".join(f"{_scaled(n)} AS {n}" for n in _NUMBERS)
+    own = ", ".join(f"CAST(a.{n} AS DOUBLE)" for n in _NUMBERS)
+    other = ", ".join(f"CAST(o.{n} AS DOUBLE)" for n in _SPLICED)
+    return f"""
+        WITH m AS (SELECT {moments} FROM {rows}),
+             z AS (SELECT b.matchid, b.teamid, b.op_teamid, b.points, {scaled} FROM {rows} b, m)
+        SELECT 1 AS g, a.matchid || '/' || a.teamid AS r, a.matchid, a.teamid, a.op_teamid, a.points,
+               [{own}, {other}, CAST(1 AS DOUBLE)] AS x, CASE WHEN a.points = 3 THEN 1 ELSE 0 END AS y
+        FROM z a JOIN z o ON a.matchid = o.matchid AND a.teamid <> o.teamid"""
+
+
+def _named(fitted: str, names: list[str]) -> str:
+    listed = ", ".join(f"'{n}'" for n in [*names, "intercept"])
+    return f"""
+        SELECT [{listed}][i] AS feature, ROUND(c, 4) + CAST(0 AS DOUBLE) AS coefficient
+        FROM (SELECT unnest(w) AS c, generate_subscripts(w, 1) AS i FROM {fitted})"""
+
+
+_WIN_COLUMNS = [*_NUMBERS, *[f"opp_{name}" for name in _SPLICED]]
+_GOAL_FEATURES = ["is_home", "avg_goals", "op_avg_goals", "expected_goals", "shots"]
+_DIGEST = "CAST('0x' || SUBSTR(MD5('7:' || matchid), 1, 8) AS UBIGINT)"
+_TRAINS = f"{_DIGEST} / CAST(4294967296 AS DOUBLE) > 0.4"
+
+
+def _power_of(fitted: str, name: str) -> dict[str, str]:
+    """Rankings from fitted coefficients, teams in the order of their ids."""
+    return {
+        f"strength_{name}": f"""
+            SELECT g AS competitionid, t.teamid, EXP(w[t.place]) AS s
+            FROM {fitted} JOIN team_place t ON t.competitionid = g WHERE EXP(w[t.place]) <> 1""",
+        f"ranking_{name}": f"""
+            SELECT p.competitionid, p.teamid,
+                   CASE WHEN cut[1] > power THEN 0.0 WHEN cut[2] > power THEN 0.25 WHEN cut[3] > power THEN 0.5
+                        WHEN cut[4] > power THEN 0.75 ELSE 1.0 END AS power
+            FROM (SELECT *, (s - MIN(s) OVER c) / (MAX(s) OVER c - MIN(s) OVER c) AS power
+                  FROM strength_{name} WINDOW c AS (PARTITION BY competitionid)
+                  QUALIFY MAX(s) OVER c - MIN(s) OVER c >= CAST(0.0001 AS DOUBLE)) p
+            JOIN (SELECT competitionid, [QUANTILE_CONT(power, 0.2), QUANTILE_CONT(power, 0.4),
+                                         QUANTILE_CONT(power, 0.6), QUANTILE_CONT(power, 0.8)] AS cut
+                  FROM (SELECT competitionid, (s - MIN(s) OVER c) / NULLIF(MAX(s) OVER c - MIN(s) OVER c, 0) AS power
+                        FROM strength_{name} WINDOW c AS (PARTITION BY competitionid)) GROUP BY competitionid) q
+              ON p.competitionid = q.competitionid""",
+    }
+
+
 CTES = {
     # matches of one team only are unbalanced, as are those with a NULL
     "complete_row": "SELECT * FROM features WHERE "
@@ -88,6 +137,47 @@ CTES = {
           SELECT competitionid, QUANTILE_CONT(power, 0.2) AS c1, QUANTILE_CONT(power, 0.4) AS c2,
                  QUANTILE_CONT(power, 0.6) AS c3, QUANTILE_CONT(power, 0.8) AS c4
           FROM scaled_strength GROUP BY competitionid) q ON p.competitionid = q.competitionid""",
+    # fits
+    "train_row": f"SELECT * FROM balanced WHERE {_TRAINS}",
+    "test_row": f"SELECT * FROM balanced WHERE NOT ({_TRAINS})",
+    "win_design": _design("train_row"),
+    "win_asked": _design("test_row"),
+    **fit("win_fit", "win_design", "logistic", 8.0),
+    "goal_design": "SELECT 1 AS g, b.matchid || '/' || b.teamid AS r, CAST(s.goals AS DOUBLE) AS y, ["
+    + ", ".join(f"CAST(b.{n} AS DOUBLE)" for n in _GOAL_FEATURES)
+    + """, CAST(1 AS DOUBLE)] AS x
+        FROM balanced b JOIN raw_score s ON b.matchid = s.matchid AND b.teamid = s.teamid""",
+    **fit("goal_fit", "goal_design", "poisson", 4.0),
+    "team_place": """
+        SELECT competitionid, teamid, ROW_NUMBER() OVER (PARTITION BY competitionid ORDER BY teamid) AS place
+        FROM (SELECT competitionid, first_team AS teamid FROM game_pair
+              UNION SELECT competitionid, second_team FROM game_pair)""",
+    "game_design": """
+        SELECT competitionid AS g, matchid AS r, CASE WHEN result > 0 THEN 1 ELSE 0 END AS y,
+               list(CASE teamid WHEN first_team THEN (1 + first_home * 0.25) / discount
+                                WHEN second_team THEN -(1 + second_home * 0.25) / discount
+                                ELSE CAST(0 AS DOUBLE) END ORDER BY place) || [CAST(1 AS DOUBLE)] AS x
+        FROM discounted JOIN team_place USING (competitionid) GROUP BY ALL""",
+    **fit("power_fit_a", "game_design", "logistic", 0.5, steps=10, updates=3000),
+    **fit("power_fit_b", "game_design", "logistic", 0.25, steps=10, updates=3000),
+    **fit("power_fit_c", "game_design", "logistic", 0.125, steps=10, updates=3000),
+    **_power_of("power_fit_a", "a"),
+    **_power_of("power_fit_b", "b"),
+    **_power_of("power_fit_c", "c"),
+    "ranking": """
+        SELECT * FROM ranking_a
+        UNION ALL SELECT * FROM ranking_b WHERE competitionid NOT IN (SELECT competitionid FROM ranking_a)
+        UNION ALL SELECT * FROM ranking_c WHERE competitionid NOT IN (SELECT competitionid FROM ranking_a)
+          AND competitionid NOT IN (SELECT competitionid FROM ranking_b)""",
+    "balanced_order": """
+        SELECT competitionid, ROW_NUMBER() OVER (ORDER BY t DESC, m, h) AS nth FROM (
+          SELECT competitionid, timestamp AS t, matchid AS m, is_home AS h,
+                 ROW_NUMBER() OVER (PARTITION BY competitionid
+                   ORDER BY timestamp DESC, matchid, is_home) AS rn FROM balanced) f
+        WHERE rn = 1""",
+    "ranked_team": """
+        SELECT teamid, power FROM ranking JOIN balanced_order USING (competitionid)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY teamid ORDER BY nth DESC) = 1""",
     "competition_order": """
         SELECT competitionid, ROW_NUMBER() OVER (ORDER BY t DESC, m, h) AS nth FROM (
           SELECT competitionid, timestamp AS t, matchid AS m, is_home AS h,
@@ -101,9 +191,17 @@ CTES = {
         WHERE rn = 1""",
 }
 
-_DIGEST = "CAST('0x' || SUBSTR(MD5('7:' || matchid), 1, 8) AS UBIGINT)"
-
 QUERIES = {
+    "m9_train_model": _named("win_fit", _WIN_COLUMNS),
+    "m10_build_model_poisson": _named("goal_fit", _GOAL_FEATURES),
+    "m11_predict_model": f"""
+        SELECT matchid, teamid, op_teamid, points, ROUND(mu, 4) + CAST(0 AS DOUBLE) AS predicted
+        FROM (SELECT *, {MEAN["logistic"]} AS mu
+              FROM (SELECT a.*, list_dot_product(x, w) AS eta FROM win_asked a JOIN win_fit USING (g)))""",
+    "m20_power_map": "SELECT competitionid, teamid, CAST(power AS DOUBLE) AS power FROM ranking",
+    "m21_add_power": f"""
+        SELECT {_OUTCOMES}, {rounded_all(HISTORY)}, CAST(COALESCE(p.power, 0.5) AS DOUBLE) AS power_points
+        FROM balanced LEFT JOIN ranked_team p USING (teamid)""",
     "m1_drop_unbalanced_matches": f"SELECT {FEATURES} FROM balanced",
     "m1_drop_unbalanced_own_goals": """
         SELECT matchid, teamid, op_teamid, cnt FROM own_goal_pair WHERE matchid IN
@@ -114,7 +212,7 @@ QUERIES = {
              AND g.teamid = f.op_teamid AND g.op_teamid = f.teamid)""",
     "m3_prepare_data": f"SELECT {FEATURES} FROM balanced",
     "m4_split": f"""
-        SELECT {_PAIR_KEYS}, {_DIGEST} / CAST(4294967296 AS DOUBLE) > 0.4 AS is_train
+        SELECT {_PAIR_KEYS}, {_TRAINS} AS is_train
         FROM balanced""",
     "m5_extract_target": f"SELECT {_PAIR_KEYS}, points FROM balanced",
     "m6_clone_and_drop": f"SELECT {_PAIR_KEYS}, {rounded_all(HISTORY)} FROM balanced",

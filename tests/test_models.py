@@ -6,7 +6,7 @@ import pytest
 from micro import START
 from pyspark.sql import functions as F
 
-from touchline.operators import models, power
+from touchline.operators import lasso, models, power
 
 
 def proximal_gradient(x, y, alpha, steps=20000):
@@ -29,15 +29,36 @@ def test_logistic_equals_numpy(spark):
     )
     fitted = models.build_model_logistic(frame, F.col("y"), list("abcd"), alpha=8.0)
     expected = proximal_gradient(np.c_[x, np.ones(300)], y, 8.0)
-    found = [value for _, value in models.coefficients(fitted, list("abcd"))]
-    assert found == pytest.approx(expected, abs=1e-4)
+    found = [value for _, value in models.coefficients(fitted)]
+    assert found == pytest.approx(expected, abs=1e-6)
     assert 0.0 in found[2:4]
 
 
-def test_a_fit_that_is_cut_off_fails():
-    models.converged(5, 6)
-    with pytest.raises(RuntimeError):
-        models.converged(6, 6)
+def test_a_fit_that_is_cut_off_fails(spark):
+    frame = spark.createDataFrame([(float(i), i % 2) for i in range(20)], "a double, y int")
+    with pytest.raises(lasso.NotConverged):
+        lasso.fit_l1(frame, ["a"], "y", lasso.LOGISTIC, 0.1, 1e-8, 1)
+    with pytest.raises(ValueError):
+        lasso.fit_l1(frame.limit(0), ["a"], "y", lasso.LOGISTIC, 0.1, 1e-8, 9)
+
+
+def test_a_step_that_goes_too_far_is_halved(spark):
+    """Counts that the first Newton step overshoots by far."""
+    x = [0.0] * 30 + [1.0] * 3 + [6.0]
+    y = [0.0] * 30 + [1.0, 2.0, 3.0, 400.0]
+    frame = spark.createDataFrame(list(zip(x, y)), "a double, y double")
+    fitted = models.build_model_poisson(frame, F.col("y"), ["a"], alpha=0.5)
+    w = np.array(fitted.coefficients)
+    design = np.c_[x, np.ones(len(x))]
+    slope = design.T @ (np.exp(design @ w) - y)
+    assert slope == pytest.approx(-0.5 * np.sign(w), abs=1e-5)
+
+
+def test_columns_without_a_spread(spark):
+    frame = spark.createDataFrame([(0.0, 1.0, i % 3 == 0) for i in range(30)], "a double, b double, y boolean")
+    fitted = models.build_model_logistic(frame, F.col("y").cast("int"), ["a", "b"], alpha=1.0)
+    named = dict(models.coefficients(fitted))
+    assert named["a"] == 0 and -0.85 < named["b"] + named["intercept"] < 0  # log(10 / 20) is -0.69, then shrunk
 
 
 def poisson_gradient(x, y, alpha, steps=60000):
@@ -57,8 +78,8 @@ def test_poisson_equals_numpy(spark):
     rows = [(*map(float, r), float(t)) for r, t in zip(x, y)]
     frame = spark.createDataFrame(rows, "a double, b double, c double, y double")
     fitted = models.build_model_poisson(frame, F.col("y"), list("abc"), alpha=40.0)
-    found = [value for _, value in models.coefficients(fitted, list("abc"))]
-    assert found == pytest.approx(poisson_gradient(np.c_[x, np.ones(400)], y, 40.0), abs=1e-3)
+    found = [value for _, value in models.coefficients(fitted)]
+    assert found == pytest.approx(poisson_gradient(np.c_[x, np.ones(400)], y, 40.0), abs=1e-4)
     assert 0.0 in found
     rates = [r.prediction for r in fitted.transform(frame).collect()]
     assert rates == pytest.approx(np.exp(np.c_[x, np.ones(400)] @ found))
@@ -176,3 +197,26 @@ def test_competitions_without_a_range_have_no_ranking(spark):
     rows = league(spark, {1: 0.0, 2: 0.0}, 2, seed=1)
     matrix = power.build_team_matrix(spark.createDataFrame(rows, COLUMNS), "points")
     assert power.power_map(matrix.withColumn("result", F.lit(1)), lambda c: c > 5).count() == 0
+
+
+def test_a_failing_competition_does_not_stop_the_others(spark):
+    """Competition 2 needs more steps than it is given at any penalty; 1 is balanced and quick."""
+    rows = league(spark, {1: 1.0, 2: 0.0, 3: -1.0}, 60, seed=3, competition=1)
+    rows += league(spark, {4: 6.0, 5: 0.0, 6: -6.0}, 60, seed=4, competition=2)
+    matrix = power.build_team_matrix(spark.createDataFrame(rows, COLUMNS), "points")
+    won = lambda c: c > 0
+    needed = {}
+    for c in (1, 2):
+        _, x, y = dense([r for r in matrix.collect() if r.competitionid == c])
+        state, needed[c] = lasso.Descent.at([0.0] * x.shape[1]), 0
+        while not state.done:
+            p = 1 / (1 + np.exp(-x @ state.candidate))
+            loss = -np.log(np.where(y > 0, p, 1 - p)).sum()
+            state = state.advance((x.T * p * (1 - p)) @ x, x.T @ (y - p), loss, 0.5, 1e-6)
+            needed[c] += 1
+    assert needed[1] < needed[2]
+    cut = power.power_map(matrix, won, steps=needed[1])
+    whole = power.power_map(matrix, won)
+    one = lambda frame: sorted(tuple(r) for r in frame.filter("competitionid = 1").collect())
+    assert one(cut) == one(whole) and one(whole)
+    assert whole.filter("competitionid = 2").count() > 0 and cut.filter("competitionid = 2").count() == 0

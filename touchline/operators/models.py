@@ -1,19 +1,15 @@
-"""Win and goal models on paired feature rows, fitted by pyspark.ml."""
+"""Win and goal models on paired feature rows."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.expressions import equals_integer
+from touchline.operators.lasso import LOGISTIC, POISSON, LinearModel, fit_l1
 from touchline.operators.match_stats import get_non_feature_columns
 from touchline.operators.pairs import KEYS, prepare_data, splice, split, standardize
 from touchline.sources.tables import materialise
@@ -23,37 +19,8 @@ L1_ALPHA = 16.0
 TRAINING_ALPHA = 8.0
 POISSON_ALPHA = 4.0
 
-
 # Iteration limits of the fits (fixed values).
 LOGISTIC_STEPS, POISSON_STEPS = 1024, 10240
-_ONE = "_one"
-
-
-def _assembled(data: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Features and, as the last one, a constant whose coefficient is the intercept."""
-    inputs = [*columns, _ONE]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(data.withColumn(_ONE, F.lit(1.0)))
-
-
-def _both_ways(data: DataFrame, columns: Sequence[str], label: Column, flipped: Column, weight: Column) -> DataFrame:
-    """Every row as it is and with its sign changed, each with half its weight.
-
-    The losses here are equal for (x, y) and (-x, flipped y). The constant so
-    becomes 1 and -1, and the fit penalises it like every other feature.
-    """
-    parts = []
-    for sign, target in ((1.0, label), (-1.0, flipped)):
-        named = [(F.col(c) * sign).alias(f"_x{i}") for i, c in enumerate(columns)]
-        parts.append(data.select(*named, F.lit(sign).alias(_ONE), target.alias("label"), (weight / 2).alias("weight")))
-    inputs = [*[f"_x{i}" for i in range(len(columns))], _ONE]
-    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(parts[0].union(parts[1]))
-    return rows.select("features", "label", "weight")
-
-
-def converged(steps: int, most: int) -> None:
-    """Fail on a fit that its iteration limit cut off."""
-    if steps >= most:
-        raise RuntimeError(f"the fit did not converge in {most} steps")
 
 
 def build_model_logistic(
@@ -62,39 +29,13 @@ def build_model_logistic(
     columns: Sequence[str],
     alpha: float = L1_ALPHA,
     tol: float = 1e-8,
-) -> LogisticRegressionModel:
-    """Logistic regression with penalty ``alpha / rows`` on the L1 norm, intercept included.
+) -> LinearModel:
+    """Logistic regression; the summed log loss plus ``alpha`` times the L1 norm, intercept included.
 
     Runs jobs; raises when the fit does not converge.
     """
-    rows = data.select(*columns, label.cast("double").alias("_label"))
-    rows = materialise(_both_ways(rows, columns, F.col("_label"), 1 - F.col("_label"), F.lit(1.0)))
-    model = LogisticRegression(
-        regParam=2 * alpha / rows.count(),
-        elasticNetParam=1.0,
-        standardization=False,
-        fitIntercept=False,
-        weightCol="weight",
-        maxIter=LOGISTIC_STEPS,
-        tol=tol,
-    ).fit(rows)
-    converged(model.summary.totalIterations, LOGISTIC_STEPS)
-    return model
-
-
-@dataclass(frozen=True)
-class GoalModel:
-    """Coefficients of a Poisson model, the intercept last."""
-
-    columns: list[str]
-    coefficients: list[float]
-
-    def log_rate(self) -> Column:
-        terms = [F.col(c) * w for c, w in zip(self.columns, self.coefficients)]
-        return sum(terms, F.lit(self.coefficients[-1]))
-
-    def transform(self, data: DataFrame) -> DataFrame:
-        return data.withColumn("prediction", F.exp(self.log_rate()))
+    rows = materialise(data.select(*columns, label.cast("double").alias("_label")))
+    return fit_l1(rows, columns, "_label", LOGISTIC, alpha, tol, LOGISTIC_STEPS)
 
 
 def build_model_poisson(
@@ -103,50 +44,32 @@ def build_model_poisson(
     columns: Sequence[str],
     alpha: float = POISSON_ALPHA,
     tol: float = 1e-7,
-) -> GoalModel:
-    """Poisson regression with penalty ``alpha / rows`` on the L1 norm, intercept included.
+) -> LinearModel:
+    """Poisson regression; the summed loss plus ``alpha`` times the L1 norm, intercept included.
 
-    Each step solves the weighted lasso that the loss looks like around the
-    coefficients so far; the driver holds coefficients only. Runs jobs; raises when the
-    steps do not converge.
+    Runs jobs; raises when the fit does not converge.
     """
     rows = materialise(data.select(*columns, label.cast("double").alias("_label")))
-    mean = rows.agg(F.avg("_label")).first()[0]
-    if mean is None:
-        raise ValueError("a model needs rows")
-    weights = [0.0] * len(columns) + [math.log(max(mean, 1e-6))]
-    for step in range(POISSON_STEPS):
-        working = GoalModel(list(columns), weights).transform(rows)
-        rate = F.col("prediction")
-        response = F.log(rate) + (F.col("_label") - rate) / rate
-        both = _both_ways(working, columns, response, -response, rate)
-        total = working.agg(F.sum(rate)).first()[0]
-        fitted = LinearRegression(
-            regParam=alpha / total, elasticNetParam=1.0, standardization=False, fitIntercept=False,
-            weightCol="weight", maxIter=LOGISTIC_STEPS, tol=tol / 100, solver="l-bfgs",
-        ).fit(both)
-        found = [float(v) for v in fitted.coefficients]
-        change = max(abs(a - b) for a, b in zip(found, weights))
-        weights = found
-        if change < tol ** 0.5 / 10:
-            return GoalModel(list(columns), weights)
-    raise RuntimeError(f"the fit did not converge in {POISSON_STEPS} steps")
-
-
-def coefficients(model: LogisticRegressionModel | GoalModel, columns: Sequence[str]) -> list[tuple[str, float]]:
+    return fit_l1(rows, columns, "_label", POISSON, alpha, tol, POISSON_STEPS)
+
+
+def coefficients(model: LinearModel) -> list[tuple[str, float]]:
     """Coefficients by feature, the intercept last."""
-    return list(zip([*columns, "intercept"], (float(value) for value in model.coefficients)))
+    return list(zip([*model.columns, "intercept"], model.coefficients))
 
 
 @dataclass(frozen=True)
 class WinModel:
     """A fitted model, its features, and the rows its moments came from."""
 
-    model: LogisticRegressionModel
+    model: LinearModel
     features: list[str]
-    columns: list[str]
     train: DataFrame
 
+    @property
+    def columns(self) -> list[str]:
+        return self.model.columns
+
 
 def _feature_columns(data: DataFrame, ignore: Iterable[str]) -> list[str]:
     left_out = {*ignore, *KEYS}
@@ -176,7 +99,7 @@ def train_model(
     columns = [*features, *[f"opp_{name}" for name in features if name != "is_home"]]
     spliced = _spliced(train, features, None)
     model = build_model_logistic(spliced, won(F.col(target)).cast("int"), columns, alpha)
-    return WinModel(model, features, columns, train), test
+    return WinModel(model, features, train), test
 
 
 def predict_model(model: WinModel, data: DataFrame, fit_on: str = "self") -> DataFrame:
@@ -187,6 +110,5 @@ def predict_model(model: WinModel, data: DataFrame, fit_on: str = "self") -> Dat
     """
     moments = model.train if fit_on == "train" else None
     spliced = _spliced(data.select(*KEYS, *model.features), model.features, moments)
-    scored = model.model.transform(_assembled(spliced, model.columns))
-    predicted = vector_to_array("probability")[1].alias("predicted")
-    return data.join(scored.select(*KEYS, predicted), KEYS)
+    scored = spliced.select(*KEYS, model.model.mean().alias("predicted"))
+    return data.join(scored, KEYS)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import VectorUDT
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
-from touchline.operators.models import LOGISTIC_STEPS, converged
+from touchline.operators.lasso import Descent
+from touchline.operators.models import LOGISTIC_STEPS
 from touchline.operators.ordered import ordered, running_totals, with_position, with_previous
 from touchline.sources.tables import materialise
 
@@ -73,75 +73,125 @@ def build_team_matrix(data: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _sparse(size: int, sign: float, *entries: str | float) -> Column:
-    """The stored form of a sparse vector; entries are column, value, column, value, ..."""
-    pairs = [
-        F.struct(F.col(i).cast("int").alias("i"), ((F.col(v) if isinstance(v, str) else F.lit(v)) * sign).alias("v"))
-        for i, v in zip(entries[::2], entries[1::2])
-    ]
-    ordered_pairs = F.sort_array(F.array(*pairs))
-    return F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(size).alias("size"),
-        F.transform(ordered_pairs, lambda p: p["i"]).alias("indices"),
-        F.transform(ordered_pairs, lambda p: p["v"].cast("double")).alias("values"),
-    )
-
-
-def team_coefficients(
-    games: DataFrame, won: Callable[[Column], Column], alpha: float, tol: float = 1e-6
-) -> DataFrame:
-    """L1 logistic coefficients of all teams, for all competitions in one fit.
+def _indexed(games: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Games with the columns of their teams, and the columns (teamid null: the intercept).
 
-    The columns of a competition are its teams and an indicator, which is its
-    penalised intercept. Competitions share no column, so the joint fit equals separate
-    ones. Every game is taken as it is and with changed signs, each with half its weight:
-    the loss is the same, and no column that is used is constant, which the fit would leave
-    out. Runs jobs; raises when the fit does not converge.
+    Columns are numbered from 0 within each competition.
     """
-    sides = [games.select("competitionid", F.col(c).alias("teamid"))
-             for c in ("first_team", "second_team")]
+    sides = [games.select("competitionid", F.col(c).alias("teamid")) for c in ("first_team", "second_team")]
     teams = sides[0].union(sides[1]).distinct()
     groups = games.select("competitionid", F.lit(None).cast("bigint").alias("teamid")).distinct()
+    placed = with_position(ordered(teams.unionByName(groups), F.col("competitionid"), F.col("teamid")), "_place")
+    least = placed.groupBy("competitionid").agg(F.min("_place").alias("_least"))
     index = materialise(
-        with_position(
-            ordered(teams.unionByName(groups), F.col("competitionid"), F.col("teamid")), "column"
-        ).select("competitionid", "teamid", "column")
+        placed.join(least, "competitionid").select(
+            "competitionid", "teamid", (F.col("_place") - F.col("_least")).cast("int").alias("column")
+        )
     )
-    size = index.count()
 
     def columns(name: str) -> DataFrame:
-        return index.filter(F.col("teamid").isNotNull()).select(
+        return index.filter("teamid IS NOT NULL").select(
             "competitionid", F.col("teamid").alias(f"{name}_team"), F.col("column").alias(f"_{name}")
         )
 
-    intercepts = index.filter(F.col("teamid").isNull()).select(
-        "competitionid", F.col("column").alias("_group")
-    )
-    placed = (
+    intercepts = index.filter("teamid IS NULL").select("competitionid", F.col("column").alias("_group"))
+    placed_games = (
         games.join(columns("first"), ["competitionid", "first_team"])
         .join(columns("second"), ["competitionid", "second_team"])
         .join(intercepts, "competitionid")
-        .withColumn("_won", won(F.col("result")).cast("int"))
     )
-    entries = ["_first", "first_weight", "_second", "second_weight", "_group", 1.0]
-    both = [
-        placed.select(_sparse(size, sign, *entries).alias("features"), label.alias("label"))
-        for sign, label in ((1.0, F.col("_won")), (-1.0, 1 - F.col("_won")))
+    return placed_games, index
+
+
+_STATE = "competitionid int, accepted array<double>, candidate array<double>, objective double, done boolean"
+
+
+def _sums(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Per competition the sums of a Newton step at its candidate, as (i, j, value).
+
+    (i, j) are entries of X'WX, (i, -1) of X'(y - mean), (-1, -1) is the loss. A game adds
+    ten of them; they are summed before the shuffle, so a competition is a few rows a task.
+    """
+    at = rows.join(states, "competitionid")
+    eta = F.aggregate("xs", F.lit(0.0), lambda total, x: total + x["v"] * F.col("candidate")[x["c"]])
+    mean = 1 / (1 + F.exp(-F.col("_eta")))
+    loss = F.greatest("_eta", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta"))) - F.col("_won") * F.col("_eta")
+    weight = F.greatest(F.col("_mean") * (1 - F.col("_mean")), F.lit(1e-12))
+    at = at.withColumn("_eta", eta).withColumn("_mean", mean)
+
+    def entry(i: Column, j: Column, value: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), value.alias("value"))
+
+    x = [F.col("xs")[k] for k in range(3)]
+    none = F.lit(-1)
+    entries = [entry(p["c"], q["c"], weight * p["v"] * q["v"]) for p in x for q in x]
+    entries += [entry(p["c"], none, (F.col("_won") - F.col("_mean")) * p["v"]) for p in x]
+    entries.append(entry(none, none, loss))
+    return at.select("competitionid", F.inline(F.array(*entries))).groupBy("competitionid", "i", "j").agg(
+        F.sum("value").alias("value")
+    ).groupBy("competitionid").agg(F.collect_list(F.struct("i", "j", "value")).alias("sums"))
+
+
+def _advance(alpha: float, tol: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            moved = []
+            for row in batch.itertuples():
+                size = len(row.candidate)
+                curvature, gradient, loss = np.zeros((size, size)), np.zeros(size), 0.0
+                for part in row.sums:
+                    i, j, value = part["i"], part["j"], part["value"]
+                    if i < 0:
+                        loss = value
+                    elif j < 0:
+                        gradient[i] = value
+                    else:
+                        curvature[i, j] = value
+                state = Descent(np.array(row.accepted, float), np.array(row.candidate, float), row.objective)
+                state = state.advance(curvature, gradient, loss, alpha, tol)
+                moved.append((row.competitionid, state.accepted, state.candidate, state.objective, state.done))
+            yield pd.DataFrame(moved, columns=["competitionid", "accepted", "candidate", "objective", "done"])
+
+    return run
+
+
+def team_coefficients(
+    games: DataFrame, won: Callable[[Column], Column], alpha: float, tol: float = 1e-6, steps: int = LOGISTIC_STEPS
+) -> DataFrame:
+    """L1 logistic coefficients of the teams of every competition (competitionid, teamid, coef).
+
+    Each competition is a fit of its own, with a column per team and a penalised
+    intercept; all take their Newton steps together, one pass over the games each. Only sums
+    are grouped, never games: (teams + 1) squared numbers per competition. A competition whose
+    fit does not converge in ``steps`` steps has no rows. Runs jobs.
+    """
+    placed, index = _indexed(games)
+    pair = [
+        F.struct(F.col("_first").alias("c"), F.col("first_weight").alias("v")),
+        F.struct(F.col("_second").alias("c"), F.col("second_weight").alias("v")),
+        F.struct(F.col("_group").alias("c"), F.lit(1.0).alias("v")),
     ]
-    vectors = StructType([StructField("features", VectorUDT()), StructField("label", IntegerType())])
-    rows = materialise(both[0].union(both[1]), vectors).withColumn("weight", F.lit(0.5))
-    model = LogisticRegression(
-        regParam=2 * alpha / rows.count(), elasticNetParam=1.0, standardization=False,
-        fitIntercept=False, weightCol="weight", maxIter=LOGISTIC_STEPS, tol=tol,
-    ).fit(rows)
-    converged(model.summary.totalIterations, LOGISTIC_STEPS)
-    values = [(i, float(v)) for i, v in enumerate(model.coefficients)]
-    fitted = games.sparkSession.createDataFrame(values, "column bigint, coef double")
-    return (
-        index.filter(F.col("teamid").isNotNull())
-        .join(fitted, "column")
-        .select("competitionid", "teamid", "coef")
+    rows = materialise(
+        placed.select("competitionid", F.array(*pair).alias("xs"), won(F.col("result")).cast("int").alias("_won"))
+    )
+    zeros = F.array_repeat(F.lit(0.0), F.count("*").cast("int"))
+    open_fits = materialise(
+        index.groupBy("competitionid").agg(zeros.alias("accepted"), zeros.alias("candidate")).select(
+            F.col("competitionid").cast("int"), "accepted", "candidate",
+            F.lit(float("inf")).alias("objective"), F.lit(False).alias("done"),
+        )
+    )
+    fitted = open_fits.limit(0)
+    for _ in range(steps):
+        if open_fits.isEmpty():
+            break
+        sums = _sums(rows, open_fits.select("competitionid", "candidate"))
+        moved = materialise(open_fits.join(sums, "competitionid").mapInPandas(_advance(alpha, tol), _STATE))
+        fitted = fitted.union(moved.filter("done"))
+        open_fits = moved.filter("NOT done")
+    coefs = fitted.select("competitionid", F.posexplode("accepted").alias("column", "coef"))
+    return index.filter("teamid IS NOT NULL").join(coefs, ["competitionid", "column"]).select(
+        "competitionid", "teamid", "coef"
     )
 
 
@@ -173,14 +223,17 @@ def build_power(coefs: DataFrame, snap: bool = True) -> DataFrame:
     )
 
 
-def power_map(games: DataFrame, won: Callable[[Column], Column]) -> DataFrame:
-    """Rankings of all competitions; the penalty is halved where teams hardly differ.
+def power_map(
+    games: DataFrame, won: Callable[[Column], Column], steps: int = LOGISTIC_STEPS
+) -> DataFrame:
+    """Rankings of all competitions; the penalty is halved where teams hardly differ or the fit fails.
 
-    Competitions without a ranking at the smallest penalty have no rows.
+    Competitions without a ranking at the smallest penalty have no rows. The fits of one
+    penalty run together; a competition that fails does not stop the others.
     """
     rankings, alpha, remaining = [], FIRST_ALPHA, materialise(games)
     while alpha >= LAST_ALPHA and not remaining.isEmpty():
-        ranking = materialise(build_power(team_coefficients(remaining, won, alpha)))
+        ranking = materialise(build_power(team_coefficients(remaining, won, alpha, steps=steps)))
         rankings.append(ranking)
         remaining = remaining.join(ranking.select("competitionid").distinct(), "competitionid", "left_anti")
         alpha /= 2

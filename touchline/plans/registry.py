@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
@@ -30,6 +30,7 @@ from touchline.operators import (
     state,
     summaries,
 )
+from touchline.operators.lasso import LinearModel
 from touchline.plans.match_features import (
     MatchTables,
     get_features,
@@ -228,10 +229,17 @@ def _trained(t: Inputs) -> tuple[models.WinModel, DataFrame]:
     return t._once("win model", lambda: models.train_model(t.features, seed=SPLIT_SEED))
 
 
+def _four_decimals(name: str) -> Column:
+    return (F.round(name, 4) + F.lit(0.0)).alias(name)
+
+
+def _coefficients(t: Inputs, model: LinearModel) -> DataFrame:
+    rows = t.spark.createDataFrame(models.coefficients(model), "feature string, coefficient double")
+    return rows.select("feature", _four_decimals("coefficient"))
+
+
 def _win_coefficients(t: Inputs) -> DataFrame:
-    model, _ = _trained(t)
-    rows = models.coefficients(model.model, model.columns)
-    return t.spark.createDataFrame(rows, "feature string, coefficient double")
+    return _coefficients(t, _trained(t)[0].model)
 
 
 def _poisson(t: Inputs) -> DataFrame:
@@ -239,14 +247,14 @@ def _poisson(t: Inputs) -> DataFrame:
         *match_stats.TEAM, F.col("goals").cast("double").alias("scored")
     )
     rows = t.balanced.join(scored, match_stats.TEAM)
-    model = models.build_model_poisson(rows, F.col("scored"), GOAL_FEATURES)
-    rows = models.coefficients(model, GOAL_FEATURES)
-    return t.spark.createDataFrame(rows, "feature string, coefficient double")
+    return _coefficients(t, models.build_model_poisson(rows, F.col("scored"), GOAL_FEATURES))
 
 
 def _predictions(t: Inputs) -> DataFrame:
     model, test = _trained(t)
-    return models.predict_model(model, test).select(*pairs.KEYS, "points", "predicted")
+    return models.predict_model(model, test).select(
+        *pairs.KEYS, "points", _four_decimals("predicted")
+    )
 
 
 def _ranked(t: Inputs) -> DataFrame:
