@@ -27,6 +27,8 @@ def _kept(name: str) -> str:
 
 def _with(select: str) -> str:
     """Prepend the common table expressions a query needs, and those they need."""
+    if select.lstrip().startswith("WITH"):
+        select = f"SELECT * FROM ({select})"
     needed, text = [], select
     for name in reversed(CTES):
         if re.search(rf"\b{name}\b", text):

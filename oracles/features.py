@@ -39,7 +39,12 @@ _PREVIOUS = f"""
     JOIN rated_game m ON h.teamid = m.teamid
     WHERE m.kickoff >= h.last_n AND m.kickoff <= h.last_one"""
 
+# kick-offs moved to the start of their 30 days, so that many of a team tie
+_TIED = "CAST(FLOOR(kickoff / CAST(2592000 AS DOUBLE)) * 2592000 AS BIGINT)"
+_TIED_ORDER = "PARTITION BY teamid ORDER BY kickoff DESC, matchid DESC"
+
 CTES = {
+    "tied_game": f"SELECT matchid, teamid, {_TIED} AS kickoff FROM match_games",
     "rated_game": """
         SELECT * FROM match_games WHERE matchid IN (SELECT matchid FROM corrected_summary)""",
     "paired": "SELECT c.matchid, c.teamid, "
@@ -85,6 +90,15 @@ QUERIES = {
     "p15_feature_columns": f"SELECT is_home, {rounded_all(HISTORY)} FROM features",
     "p16a_games_with_stats": f"SELECT {MATCH_GAMES} FROM rated_game",
     "p16b_match_history": "SELECT * FROM previous_game",
+    "p16b_history_range": f"""
+        SELECT h.teamid, h.matchid, h.kickoff AS timestamp, m.kickoff AS previous_timestamp,
+               m.matchid AS previous_match
+        FROM (SELECT teamid, matchid, kickoff, LEAD(kickoff, 1) OVER ({_TIED_ORDER}) AS last_one,
+                     LEAD(kickoff, {HISTORY_SIZE}) OVER ({_TIED_ORDER}) AS last_n
+              FROM tied_game) h
+        JOIN tied_game m ON h.teamid = m.teamid
+        WHERE m.matchid IN (SELECT matchid FROM corrected_summary)
+          AND m.kickoff >= h.last_n AND m.kickoff <= h.last_one""",
     "p17_team_game_op_summary": f"""
         SELECT matchid, teamid, op_teamid, is_home, team_name, op_team_name, competitionid,
                seasonid, timestamp, points, CAST(length AS INTEGER) AS length,

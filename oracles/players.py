@@ -183,4 +183,57 @@ QUERIES = {
                {rounded("COALESCE(SUM(probability) OVER (PARTITION BY playerid, section ORDER BY transition ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", "threshold")}
         FROM transition_share""",
 }
+QUERIES["s8_documents"] = _BUNDLE_SQL
+QUERIES["s9_player_models"] = f"""
+        WITH zone_touch AS (
+          SELECT playerid, section_x AS section, SUM(total_x) AS n FROM move_summary GROUP BY ALL),
+        spot AS (SELECT playerid, MIN(position) AS position FROM positions GROUP BY playerid),
+        act AS ({QUERIES["h4_event_cdf"]})
+        SELECT playerid, position, 'move' AS kind, CAST(k AS INTEGER) AS section, CAST(NULL AS INTEGER) AS transition,
+               {rounded("COALESCE((SELECT SUM(n) FROM zone_touch z WHERE z.playerid = s.playerid AND z.section < k), 0) / (SELECT CAST(SUM(n) AS DOUBLE) FROM zone_touch z WHERE z.playerid = s.playerid)", "threshold")}
+        FROM spot s, range(6) r(k)
+        WHERE playerid IN (SELECT playerid FROM zone_touch) AND playerid IN (SELECT playerid FROM act)
+        UNION ALL
+        SELECT playerid, position, 'probability', CAST(section AS INTEGER), CAST(transition AS INTEGER), threshold
+        FROM act JOIN spot USING (playerid) WHERE playerid IN (SELECT playerid FROM zone_touch)"""
+QUERIES["p29_state_requests"] = f"""
+        WITH request AS (
+          SELECT DISTINCT m AS matchid, moment
+          FROM (SELECT m, unnest([0.25, 0.5, m % 100 / CAST(100 AS DOUBLE)]) AS moment FROM games)
+          UNION SELECT (SELECT MIN(m) FROM games), k / CAST(200 AS DOUBLE) FROM range(200) r(k))
+        SELECT {rounded("moment", '"at"')}, matchid, x, y, {rounded("timestamp", "timestamp")}, teamid, position,
+               playerid, {_STATE}
+        FROM touches_summary JOIN request USING (matchid) WHERE timestamp <= moment
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY matchid, teamid, playerid, moment
+                  ORDER BY timestamp DESC, position DESC, x DESC, y DESC) = 1"""
+
+
+def _thin(least: int) -> str:
+    whole = " + ".join(_PASS_WHOLE)
+
+    def level(by: str, prefix: str) -> str:
+        shares = ", ".join(f"{_ratio(name, whole)} AS {prefix}_{name}" for name in _PASSES)
+        return f"SELECT {by}, {ZONE}, SUM({whole}) AS {prefix}_n, {shares} FROM game_summary WHERE {whole} > 0 GROUP BY ALL"
+
+    def mixed(name: str) -> str:
+        wide = f"(COALESCE(b_{name}, 0) * vb + (1 - vb) * c_{name})"
+        return rounded(f"COALESCE(a_{name}, 0) * va + (1 - va) * {wide}", name)
+
+    return f"""
+        WITH a AS ({level("teamid, playerid, position", "a")}), b AS ({level("teamid, playerid", "b")}),
+             c AS ({level("position", "c")}),
+             w AS (SELECT DISTINCT teamid, playerid, position FROM game_summary)
+        SELECT teamid, playerid, position, {ZONE}, {", ".join(mixed(name) for name in _PASSES)},
+               CAST(COALESCE(a_n, 0) AS BIGINT) AS events, {rounded("va", "weight")}
+        FROM (SELECT *, LEAST(COALESCE(a_n, 0) / CAST({least} AS DOUBLE), 1) AS va,
+                     LEAST(COALESCE(b_n, 0) / CAST({least} AS DOUBLE), 1) AS vb
+              FROM w JOIN c USING (position) LEFT JOIN a USING (teamid, playerid, position, {ZONE})
+              LEFT JOIN b USING (teamid, playerid, {ZONE}))"""
+
+
+QUERIES["p31_pass_thin"] = _thin(37)
+_CUTS = "[0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]"
+QUERIES["a10_percentiles"] = f"""
+        SELECT typeid, CAST(cut AS DOUBLE) AS cut, {rounded("value", "value")}
+        FROM (SELECT typeid, unnest({_CUTS}) AS cut, unnest(QUANTILE_CONT(x, {_CUTS})) AS value FROM touch GROUP BY typeid)"""
 QUERIES["p30_state_document"] = QUERIES["p30_state_summary"]

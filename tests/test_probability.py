@@ -177,3 +177,30 @@ def test_no_event_counts_in_two_transitions(spark):
            for kind in ("goal", "attempt")},
     }
     assert counts == expected
+
+
+def test_thin_shares_lean_on_wider_groups(spark):
+    """101 as a forward: 1 of 2 shots on target; in all positions 4 of 8; all forwards 13 of 22."""
+    table = summary(
+        spark, dict(shot_attempts=2, shots_ontarget=1), dict(position="defender", shot_attempts=6, shots_ontarget=3),
+        dict(playerid=102, shot_attempts=20, shots_ontarget=12), dict(playerid=103),
+    )
+    rows = {(r.playerid, r.position): r for r in probability.thin_probability(table, "shot", 10).collect()}
+    forwards, own = 13 / 22, 0.5
+    assert rows[101, "forward"].shot_ontarget == pytest.approx(0.2 * own + 0.8 * (0.8 * 0.5 + 0.2 * forwards))
+    assert rows[101, "defender"].shot_ontarget == pytest.approx(0.6 * 0.5 + 0.4 * (0.8 * 0.5 + 0.2 * 0.5))
+    assert rows[102, "forward"].shot_ontarget == pytest.approx(0.6) and rows[102, "forward"].weight == 1
+    none = rows[103, "forward"]
+    assert (none.shot_ontarget, none.events, none.weight) == (pytest.approx(forwards), 0, 0)
+    assert (rows[101, "forward"].events, rows[101, "forward"].weight) == (2, 0.2)
+    with pytest.raises(ValueError):
+        probability.thin_probability(table, "shot", 0)
+
+
+def test_player_models_fill_empty_zones(spark):
+    table = summary(spark, dict(section_x=2, fouls=1, red_cards=3))
+    touched = moves(spark, dict(section_x=2, total_x=3), dict(section_x=4, total_x=1), dict(playerid=9, total_x=1))
+    where = spark.createDataFrame([(101, "midfielder"), (101, "forward")], "playerid bigint, position string")
+    row, = scores.player_models(table, touched, where).collect()
+    assert (row.playerid, row.position, row.move) == (101, "forward", [0, 0, 0, 0.75, 0.75, 1.0])
+    assert [len(a) for a in row.probability] == [0, 0, 26, 0, 0, 0] and row.probability[2][:3] == [0, 0.25, 1.0]

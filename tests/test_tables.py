@@ -1,8 +1,13 @@
 import json
 
 import pytest
-from micro import line_up, touch, touches
+from micro import line_up, match_games, touch, touches
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from touchline.operators import scores
+from touchline.operators.documents import document_lines, read_documents, write_documents
+from touchline.plans import refresh
 from touchline.plans.player_tables import (
     write_player_tables,
     write_probability_bundle,
@@ -105,3 +110,84 @@ def test_configured_folder_is_used(configured):
             getConf = staticmethod(Conf)
 
     assert tables.shared_folder(Session) == "/some/folder"
+
+
+def test_broken_player_documents_are_reported(spark, tmp_path):
+    good = {"playerid": 3, "position": "forward", "move": [0, 0.5], "probability": [[0, 0.1], []]}
+    (tmp_path / "players.json").write_text(json.dumps(good) + "\n{\"playerid\": 4, \"move\": [0,\n" + json.dumps(good | {"move": "x"}) + "\n")
+    models = tables.materialise(tables.read_player_models(spark, str(tmp_path / "players.json"), one_per_file=False))
+    sound, broken = tables.split_broken(models)
+    assert [r.playerid for r in sound.collect()] == [3]
+    assert sorted(r.text[:17] for r in broken.collect()) == ['{"playerid": 3, "', '{"playerid": 4, "']
+    assert all(r.file.endswith("players.json") for r in broken.collect())
+    rows = {tuple(r) for r in scores.model_thresholds(sound).select("kind", "section", "transition", "threshold").collect()}
+    assert rows == {("move", 0, None, 0.0), ("move", 1, None, 0.5), ("probability", 0, 0, 0.0), ("probability", 0, 1, 0.1)}
+
+
+def test_a_broken_file_among_single_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"position": "forward", "move": [0]}, indent=1))
+    (tmp_path / "b.json").write_text("{ not a document")
+    sound, broken = tables.split_broken(tables.materialise(tables.read_player_models(spark, str(tmp_path))))
+    assert sound.count() == 1 and broken.first().file.endswith("b.json")
+
+
+def test_catalog_view_outlives_temporary_ones(spark):
+    tables.create_dataset(spark, "views")
+    tables.write_table(spark.range(6), "views.numbers")
+    spark.range(3).createOrReplaceTempView("passing")
+    with pytest.raises(AnalysisException):
+        tables.create_catalog_view(spark, "views", "bad", "SELECT * FROM passing")
+    for least in (1, 4):  # dropped if it exists
+        name = tables.create_catalog_view(spark, "views", "big", f"SELECT id FROM views.numbers WHERE id >= {least}")
+    spark.catalog.dropTempView("passing")
+    assert sorted(r.id for r in spark.table(name).collect()) == [4, 5]
+    assert not spark.catalog.tableExists("views.bad")
+
+
+def season_touches(spark, goals):
+    """Matches 1 and 2 of season 2014, 3 of 2015; (match, team, goals)."""
+    rows = []
+    for match, team, count in goals:
+        rows += line_up((team, team * 100), matchid=match)
+        rows += [touch(16, matchid=match, teamid=team, playerid=team * 100, eventid=i, second=i) for i in range(count)]
+    return touches(spark, rows)
+
+
+def test_refresh_touches_only_the_changed_seasons(spark, tmp_path):
+    games = match_games(spark, [("1", 1, 2, 1, 0), ("1", 2, 1, 0, 0), ("2", 1, 2, 1, 1), ("2", 2, 1, 0, 1), ("3", 1, 2, 1, 400), ("3", 2, 1, 0, 400)])
+    games = games.withColumn("seasonid", F.when(F.col("matchid") == "3", 2015).otherwise(2014).cast("int"))
+    path = tmp_path / "goals"
+    first = season_touches(spark, [("1", 1, 2), ("1", 2, 0), ("2", 1, 1), ("2", 2, 1), ("3", 1, 0), ("3", 2, 3)])
+    refresh.store_goals(first, games, str(path))
+
+    def files():
+        return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+    def goals():
+        return {(r.matchid, r.teamid): r.goals for r in tables.read_table(spark, str(path)).collect()}
+
+    before = files()
+    later = season_touches(spark, [("1", 1, 5), ("1", 2, 0), ("2", 1, 1), ("2", 2, 1), ("3", 1, 9), ("3", 2, 9)])
+    changed = spark.createDataFrame([("1",)], "matchid string")
+    refresh.refresh_goals(later, games, changed, str(path))
+    assert goals() == {("1", 1): 5, ("1", 2): 0, ("2", 1): 1, ("2", 2): 1, ("3", 1): 0, ("3", 2): 3}
+    kept = {f for f in before if "seasonid=2015" in f}
+    assert kept and all(files()[f] == before[f] for f in kept) and not (set(before) - kept) & set(files())
+    refresh.refresh_goals(later, games, changed.limit(0), str(path))
+    assert goals()[("1", 1)] == 5
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_all_documents_from_one_job(spark, tmp_path, slices):
+    """Slices of a document lie in files whose names put them in order."""
+    rows = [(t, k, i, f'{{"n":{i}}}') for t in (1, 2, 3) for k in (0, 1) for i in range(40 if t == 2 else 2) if (t, k) != (3, 1)]
+    frame = spark.createDataFrame(rows, "team int, table int, i int, value string").repartition(5)
+    lines = document_lines(frame, ["team"], ["first", "second"], ["i"])
+    write_documents(lines, "team", ["i"], str(tmp_path / "docs"), slices)
+    for team in (1, 2, 3):
+        files = sorted((tmp_path / "docs" / f"team={team}").glob("part-*"))
+        document = json.loads("".join(f.read_text() for f in files))
+        assert document == {name: [{"n": i} for t, k, i, _ in rows if (t, k) == (team, n)] for n, name in enumerate(("first", "second"))}
+        assert len(files) > 1 or slices == 1 or team != 2
+    back = read_documents(spark, str(tmp_path / "docs"), "team").collect()
+    assert sorted((r.team, r.table, json.loads(r.value)["n"]) for r in back) == sorted((t, ("first", "second")[k], i) for t, k, i, _ in rows)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.operators.ordered import carried_forward, ordered
+
 OPEN, ROW, CLOSE = 0, 1, 2
 LINE_ORDER = ["table", "part"]
 
@@ -52,3 +54,36 @@ def write_document(
     """Write the lines of one document (or several, one after the other) as text."""
     in_order = lines.orderBy(*keys, *LINE_ORDER, *order_by)
     in_order.select("value").write.mode("overwrite").text(path)
+
+
+def write_documents(
+    lines: DataFrame, key: str, order_by: Sequence[str], path: str, slices: int | None = None
+) -> None:
+    """Write all documents in one job, each into a folder ``key=value`` of its own.
+
+    The lines are cut into contiguous ranges of their whole order, so a task holds a
+    slice of one or more documents, never all of a large one. The part files of a folder, in
+    name order, are its document. ``slices`` is the number of ranges (by default the
+    session's shuffle partitions). Older output is replaced.
+    """
+    order = [F.col(c) for c in (key, *LINE_ORDER, *order_by)]
+    number = [] if slices is None else [slices]
+    sliced = lines.repartitionByRange(*number, *order).sortWithinPartitions(*order)
+    sliced.select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_documents(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The rows of documents that ``write_documents`` wrote: ``key``, ``table``, ``value``.
+
+    ``table`` is the name of the array that a row stands in, taken from the last opening line
+    before it; ``value`` is the row as JSON text. No document is put together in a task. Runs jobs.
+    """
+    read = spark.read.text(path).select(
+        key, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"), "value",
+    )
+    placed = ordered(read, F.col(key), F.col("_file"), F.col("_start"), F.col("_line"))
+    opening = F.regexp_extract("value", r'^\{?"([^"]*)": \[$', 1)
+    named = carried_forward(placed, F.when(opening != "", opening), "table")
+    rows = named.filter((opening == "") & ~F.col("value").isin("],", "]}"))
+    return rows.select(key, "table", F.regexp_replace("value", "^,", "").alias("value"))

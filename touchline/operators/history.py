@@ -12,6 +12,7 @@ from touchline import schema
 from touchline.functions.expressions import guarded_ratio, points
 from touchline.operators.match_stats import TEAM
 from touchline.operators.ordered import lookback_blocks, ordered, with_position
+from touchline.operators.ranges import band_join
 
 _OWN = [
     "passes", "bad_passes", "pass_ratio", "corners", "fouls", "cards", "goals", "shots",
@@ -94,6 +95,30 @@ def match_history(match_games: DataFrame, summary: DataFrame, size: int) -> Data
     )
 
 
+def match_history_range(match_games: DataFrame, summary: DataFrame, size: int) -> DataFrame:
+    """``match_history`` by times: rated games between the last and the ``size``-th last kick-off.
+
+    This is the form that counts every game with a tied kick-off: where the
+    bounds are ties, a game may have more than ``size`` previous games, itself among
+    them. Ties are ordered by match id.
+    """
+    order = [F.col("teamid"), F.col("timestamp"), F.col("matchid")]
+    numbered = with_position(ordered(match_games.select(*TEAM, "timestamp"), *order))
+
+    def bound(steps: int, name: str) -> DataFrame:
+        return numbered.select("teamid", (F.col("_pos") + steps).alias("_pos"), F.unix_micros("timestamp").alias(name))
+
+    deep = numbered.join(bound(1, "_high"), ["teamid", "_pos"]).join(bound(size, "_low"), ["teamid", "_pos"])
+    rated = games_with_stats(match_games, summary).select(
+        "teamid", F.col("timestamp").alias("previous_timestamp"), F.col("matchid").alias("previous_match"),
+        F.unix_micros("timestamp").alias("_at"),
+    )
+    asked = deep.select("teamid", "matchid", "timestamp", "_low", "_high")
+    return band_join(rated, asked, ["teamid"], "_at", "_low", "_high").select(
+        "teamid", "matchid", "timestamp", "previous_timestamp", "previous_match"
+    )
+
+
 def history_features(
     match_games: DataFrame,
     op_summary: DataFrame,

@@ -79,6 +79,38 @@ def with_previous(placed: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     )
 
 
+def carried_forward(placed: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add the last non-null ``value`` at or before each row of an ``ordered`` frame."""
+    valued = placed.withColumn("_v", value)
+    parts = valued.groupBy(PART).agg(
+        F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.col(SEQ))).alias("_last")
+    )
+    carried = _carried(parts, {"_before": F.last("_last", ignorenulls=True)})
+    so_far = _in_part().rowsBetween(W.unboundedPreceding, 0)
+    inside = valued.withColumn("_inside", F.last("_v", ignorenulls=True).over(so_far))
+    return inside.join(carried, PART).select(*placed.columns, F.coalesce("_inside", "_before").alias(name))
+
+
+def exact_percentiles(frame: DataFrame, by: Sequence[str], value: str, cuts: Sequence[float]) -> DataFrame:
+    """``by``, ``cut``, ``value``: percentiles with linear interpolation, for groups of any size.
+
+    Nulls do not count; a group without values has no rows. The two order statistics of
+    a cut are picked by their rank in the whole sorted column, so no group is held in a buffer.
+    """
+    placed = with_position(ordered(frame.filter(F.col(value).isNotNull()).select(*by, value), *[F.col(k) for k in by], F.col(value)))
+    bounds = placed.groupBy(*by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    rank = F.col("cut") * (F.col("_n") - 1)
+    wanted = bounds.withColumn("cut", F.explode(F.array(*[F.lit(float(c)) for c in cuts]))).select(
+        *by, "cut", (rank - F.floor(rank)).alias("_part"),
+        F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("_rank"), "_first",
+    )
+    picked = wanted.distinct().withColumn("_pos", F.col("_first") + F.col("_rank")).join(
+        placed.select("_pos", F.col(value).cast("double").alias("_value")), "_pos"
+    )
+    low, high = F.min("_value"), F.max("_value")
+    return picked.groupBy(*by, "cut").agg((low + (high - low) * F.first("_part")).alias("value"))
+
+
 def lookback_blocks(
     frame: DataFrame, keys: Sequence[str], order_by: Sequence[Column], rows: int, size: int = 0
 ) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from touchline.functions.counters import PASS_ATTEMPTS, PASSES, SET_PIECES
 from touchline.functions.expressions import count_where, share
 from touchline.operators.documents import document_lines
+from touchline.sources.tables import materialise
 
 ZONE = ["section_x", "section_y"]
 PLAYER = ("teamid", "playerid")
@@ -117,6 +118,51 @@ def with_position_fallback(summary: DataFrame, table: str) -> DataFrame:
     )
 
 
+def thin_probability(summary: DataFrame, table: str, least: int) -> DataFrame:
+    """Player shares that lean on wider groups as far as their own data are thin.
+
+    A zone's share of a player in a position counts fully with ``least`` events; below
+    that its weight is events / ``least``, and the rest is the share of the player in
+    any position, weighted the same way against that of the position. Every zone
+    in which the position has data has a row; ``events`` are the player's own in the position, and
+    ``weight`` the share that they decide. One pass over ``summary`` (grouping sets), stored.
+    """
+    if least < 1:
+        raise ValueError("a share needs at least one event to count fully")
+    shares = SHARES[table]
+    whole, names = _total(shares.whole), list(shares.parts)
+    rows = (summary.filter(whole > 0) if shares.needs_whole else summary).withColumn("_whole", whole)
+    own, player, position = (
+        [*by, *ZONE] for by in (PLAYER_POSITION, PLAYER, POSITION)
+    )
+    sums = [F.sum("_whole").alias("_n"), *[F.sum(part).alias(f"_{n}") for n, part in shares.parts.items()]]
+    grouped = materialise(
+        rows.groupingSets([own, player, position], *own).agg(F.grouping_id().alias("_set"), *sums)
+    )
+
+    def level(bits: int, keys: Sequence[str], prefix: str) -> DataFrame:
+        values = [F.try_divide(f"_{n}", "_n").alias(f"{prefix}{n}") for n in names]
+        return grouped.filter(F.col("_set") == bits).select(*keys, F.col("_n").alias(f"{prefix}n"), *values)
+
+    wanted = summary.select(*PLAYER_POSITION).distinct().join(level(0b11000, position, "_c_"), "position")
+    joined = wanted.join(level(0, own, "_a_"), own, "left").join(level(0b00100, player, "_b_"), player, "left")
+
+    def weight(prefix: str) -> Column:
+        return F.least(F.coalesce(F.col(f"{prefix}n") / least, F.lit(0.0)), F.lit(1.0))
+
+    def blended(name: str, *prefixes: str) -> Column:
+        here, *wider = prefixes
+        if not wider:
+            return F.col(f"{here}{name}")
+        rest = blended(name, *wider)
+        return weight(here) * F.coalesce(f"{here}{name}", F.lit(0.0)) + (1 - weight(here)) * rest
+
+    return joined.select(
+        *own, *[blended(n, "_a_", "_b_", "_c_").alias(n) for n in names],
+        F.coalesce("_a_n", F.lit(0)).cast("bigint").alias("events"), weight("_a_").alias("weight"),
+    )
+
+
 def _row_text(names: Mapping[str, Column]) -> Column:
     values = [value.alias(name) for name, value in names.items()]
     return F.to_json(F.struct("playerid", *ZONE, *values), {"ignoreNullFields": "false"})

@@ -12,6 +12,8 @@ from touchline import schema
 from touchline.functions.counters import PASS_ATTEMPTS, PASSES, SET_PIECES
 from touchline.functions.expressions import count_where
 
+ZONES_X = 6
+
 # transition -> counters of the game summary to add and to subtract
 _COUNTED_BY = {
     "foul": ("fouls", None),
@@ -122,8 +124,57 @@ def event_cdf(summary: DataFrame) -> DataFrame:
     Entry k is the summed probability of the transitions before k: a draw n
     selects the highest k with n above entry k. Running sums of one row's counts.
     """
-    below, so_far = [], F.lit(0).cast("bigint")
-    for name in schema.TRANSITIONS:
-        below.append(F.coalesce(F.try_divide(so_far, _total()), F.lit(0.0)))
-        so_far = so_far + F.col(name)
-    return transition_counts(summary).select("playerid", "section", F.array(*below).alias("thresholds"))
+    counts = F.array(*[F.col(name) for name in schema.TRANSITIONS])
+    counted = transition_counts(summary).select("playerid", "section", _total().alias("_total"), counts.alias("_counts"))
+
+    def below(k: Column) -> Column:
+        before = F.aggregate(F.slice("_counts", 1, k), F.lit(0).cast("bigint"), lambda total, n: total + n)
+        return F.coalesce(F.try_divide(before, F.col("_total")), F.lit(0.0))
+
+    places = F.sequence(F.lit(0), F.lit(len(schema.TRANSITIONS) - 1))
+    return counted.select("playerid", "section", F.transform(places, below).alias("thresholds"))
+
+
+def player_models(summary: DataFrame, moves: DataFrame, positions: DataFrame) -> DataFrame:
+    """One document per player: ``playerid``, ``position``, ``move``, ``probability``.
+
+    ``move`` holds the lower-edge thresholds of the share of touches in each x zone,
+    ``probability`` per x zone those of the transitions, empty where nothing was counted.
+    A player with several positions has the first of them by name.
+    """
+    zones = F.sequence(F.lit(0), F.lit(ZONES_X - 1))
+    per_zone = moves.groupBy("playerid", F.col("section_x").alias("section")).agg(F.sum("total_x").alias("n"))
+    touches = per_zone.groupBy("playerid").agg(
+        F.map_from_entries(F.collect_list(F.struct("section", "n"))).alias("_n"), F.sum("n").alias("_total")
+    )
+
+    def below(k: Column) -> Column:
+        earlier = F.filter(F.map_entries("_n"), lambda e: e["key"] < k)
+        before = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda total, e: total + e["value"])
+        return F.coalesce(F.try_divide(before, F.col("_total")), F.lit(0.0))
+
+    acts = event_cdf(summary).groupBy("playerid").agg(
+        F.map_from_entries(F.collect_list(F.struct("section", "thresholds"))).alias("_acts")
+    )
+    empty = F.array().cast("array<double>")
+    known = positions.groupBy("playerid").agg(F.min("position").alias("position"))
+    return touches.join(acts, "playerid").join(known, "playerid").select(
+        "playerid", "position", F.transform(zones, below).alias("move"),
+        F.transform(zones, lambda k: F.coalesce(F.try_element_at("_acts", k), empty)).alias("probability"),
+    )
+
+
+def model_thresholds(models: DataFrame) -> DataFrame:
+    """Player documents as rows: ``kind`` (move or probability), ``section``, ``transition``, ``threshold``.
+
+    A move threshold belongs to its section and has no transition. Missing arrays have no rows.
+    """
+    moves = models.select(
+        "playerid", "position", F.lit("move").alias("kind"), F.posexplode("move").alias("section", "threshold")
+    )
+    sections = models.select("playerid", "position", F.posexplode("probability").alias("section", "_acts"))
+    acts = sections.select(
+        "playerid", "position", F.lit("probability").alias("kind"), "section",
+        F.posexplode("_acts").alias("transition", "threshold"),
+    )
+    return moves.withColumn("transition", F.lit(None).cast("int")).unionByName(acts)

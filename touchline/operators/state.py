@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.counters import STATE_COUNTERS
 from touchline.operators.documents import document_lines
+from touchline.operators.ranges import asof_join
 from touchline.sources.tables import json_rows
 
 PLAYER = ["matchid", "teamid", "playerid"]
@@ -33,6 +34,19 @@ def player_state_asof(state: DataFrame, at: float, matchid: int | None = None) -
     return ranked.filter("_rank = 1").select(*STATE_COLUMNS)
 
 
+def state_requests(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """The last cumulative row of each player of a match, for many (matchid, at) at once.
+
+    Returns ``at`` beside the state columns; players without a row by then are left out.
+    Repeated requests are answered once. Reads ``state`` twice, so pass a stored table. Runs jobs.
+    """
+    players = state.select(*PLAYER).distinct()
+    asked = requests.select("matchid", F.col("at").cast("double").alias("at")).distinct().join(players, "matchid")
+    rows = state.select(*STATE_COLUMNS)
+    found = asof_join(asked, rows, PLAYER, "at", "timestamp", [*_PLACE, *STATE_COUNTERS])
+    return found.filter("found IS NOT NULL").select("at", "found.*")
+
+
 def state_summary(state: DataFrame) -> DataFrame:
     """Every cumulative row joined with the rows of the same player and time.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
+from touchline import schema
 from touchline.functions.counters import COMPOSITES, counters, shot_outcomes
 from touchline.functions.expressions import equals_integer, zone_x, zone_y
 from touchline.operators import (
@@ -31,6 +32,7 @@ from touchline.operators import (
     summaries,
 )
 from touchline.operators.lasso import LinearModel
+from touchline.operators.ordered import exact_percentiles
 from touchline.plans.match_features import (
     MatchTables,
     get_features,
@@ -38,6 +40,7 @@ from touchline.plans.match_features import (
     get_wc_features,
 )
 from touchline.plans.player_tables import PlayerTables
+from touchline.plans.refresh import refresh_goals, store_goals
 from touchline.sources import fixture, tables
 from touchline.sources.tables import materialise
 
@@ -120,6 +123,13 @@ class Inputs:
     def move_summary(self) -> DataFrame:
         return self._stored("move summary", self.players.move_summary)
 
+    @property
+    def outcome_summary(self) -> DataFrame:
+        """The game summary with the counters of what became of shots."""
+        return self._stored("outcome summary", lambda: summaries.game_summary(
+            self.players.events, self.players.positions, extra=shot_outcomes()
+        ))
+
     @property
     def state(self) -> DataFrame:
         return self._stored("state", lambda: summaries.touches_summary(self.game_summary))
@@ -206,9 +216,7 @@ def _state_rows(t: Inputs) -> DataFrame:
 
 
 def _thresholds(t: Inputs) -> DataFrame:
-    summary = summaries.game_summary(t.players.events, t.players.positions, extra=shot_outcomes())
-    cdf = scores.event_cdf(summary)
-    return cdf.select(
+    return scores.event_cdf(t.outcome_summary).select(
         "playerid", "section", F.posexplode("thresholds").alias("transition", "threshold")
     )
 
@@ -299,6 +307,72 @@ def _through_dataset(t: Inputs) -> DataFrame:
     return tables.read_table(t.spark, f"{dataset}.match_games")
 
 
+def _changed_matches(t: Inputs) -> DataFrame:
+    """Goals per match stored with part of the goals missing, then refreshed for the matches concerned."""
+    late = F.col("matchid").cast("bigint") % 20 == 0
+    path = _new_path(t, "goals")
+    early = t.touches.filter(~(late & (F.col("typeid") == schema.GOAL)))
+    store_goals(early, t.match_games, path)
+    refresh_goals(t.touches, t.match_games, t.match_games.filter(late).select("matchid"), path)
+    return tables.read_table(t.spark, path).select("matchid", "teamid", "goals", "competitionid", "seasonid")
+
+
+def _through_catalog_view(t: Inputs) -> DataFrame:
+    dataset = f"touchline_{uuid.uuid4().hex}"
+    tables.create_dataset(t.spark, dataset)
+    tables.write_table(t.match_games, f"{dataset}.match_games")
+    tables.create_view(t.match_games, f"temporary_{dataset}")
+    select = f"SELECT matchid, teamid, team_name, timestamp FROM {dataset}.match_games"
+    for condition in ("is_home = 0", "is_home = 1"):  # the second one replaces the first
+        view = tables.create_catalog_view(t.spark, dataset, "home_games", f"{select} WHERE {condition}")
+    t.spark.catalog.dropTempView(f"temporary_{dataset}")
+    return tables.read_table(t.spark, view)
+
+
+def _player_documents(t: Inputs) -> DataFrame:
+    """Player documents written as JSON lines, read back with the declared schema."""
+    path = _new_path(t, "players")
+    tables.write_json(scores.player_models(t.outcome_summary, t.move_summary, t.players.positions), path)
+    models, _ = tables.split_broken(tables.read_player_models(t.spark, path, one_per_file=False))
+    return scores.model_thresholds(models)
+
+
+def _team_documents(t: Inputs) -> DataFrame:
+    """The documents of all teams, written by one job and read back row by row."""
+    path = _new_path(t, "documents")
+    order = ["playerid", *probability.ZONE]
+    lines = probability.probability_bundle(t.game_summary, t.move_summary)
+    documents.write_documents(lines, "teamid", order, path)
+    row = F.from_json("value", "map<string,double>")
+    ids = [row[c].cast("bigint" if c == "playerid" else "int").alias(c) for c in order]
+    found = documents.read_documents(t.spark, path, "teamid").select(
+        F.col("teamid").cast("bigint").alias("teamid"), F.col("table").alias("table_name"), *ids,
+        F.explode(row).alias("measure", "value"),
+    )
+    return found.filter(~F.col("measure").isin(*order))
+
+
+def _tied_games(t: Inputs) -> DataFrame:
+    """Match games with kick-offs moved to the start of their 30 days, so that many tie."""
+    return t.match_games.withColumn("timestamp", F.timestamp_seconds(
+        F.floor(F.unix_seconds("timestamp") / 2592000) * 2592000
+    ))
+
+
+def _requests(t: Inputs) -> DataFrame:
+    """Three times for every match, and 200 for one."""
+    matches = t.match_games.select("matchid").distinct().select(F.col("matchid").cast("bigint").alias("matchid"))
+    share = F.col("matchid") % 100 / 100.0
+    few = matches.select("matchid", F.explode(F.array(F.lit(0.25), F.lit(0.5), share)).alias("at"))
+    hot = matches.agg(F.min("matchid").alias("matchid"))
+    many = hot.select("matchid", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
+    return few.union(many.select("matchid", F.col("k") / 200.0))
+
+
+def _percentiles(t: Inputs) -> DataFrame:
+    return exact_percentiles(t.touches, ["typeid"], "x", [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])
+
+
 def _table(name: str) -> Callable[[Inputs], DataFrame]:
     return lambda t: probability.probability(t.game_summary, name)
 
@@ -307,8 +381,12 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # tables
     "s3_csv": _through_csv,
     "s4_replaced_table": _through_table,
+    "s4_replaced_matches": _changed_matches,
     "s5_view": _through_view,
+    "s5_catalog_view": _through_catalog_view,
     "s6_dataset": _through_dataset,
+    "s8_documents": _team_documents,
+    "s9_player_models": _player_documents,
     # event preparation
     "p1_remap_touches": lambda t: events.explode_qualifiers(
         events.remap_touches(t.touches, t.roster)
@@ -350,6 +428,9 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "p16b_match_history": lambda t: history.match_history(
         t.match_games, t.match_tables.summary, HISTORY_SIZE
     ),
+    "p16b_history_range": lambda t: history.match_history_range(
+        _tied_games(t), t.match_tables.summary, HISTORY_SIZE
+    ),
     "p17_team_game_op_summary": lambda t: t.match_tables.paired,
     "p18a_history_features": lambda t: t.match_tables.history(HISTORY_SIZE),
     "p18b_history_features_with_goals": lambda t: t.match_tables.history_with_goals(HISTORY_SIZE),
@@ -369,6 +450,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "p27_offense_probability": _table("offense"),
     "p28_probability_bundle": _bundle_rows,
     "p29_player_state_asof": lambda t: state.player_state_asof(t.state, 0.5),
+    "p29_state_requests": lambda t: state.state_requests(t.state, _requests(t)),
     "p30_state_summary": lambda t: state.state_summary(t.state),
     "p30_state_document": _state_rows,
     "p31_pass_by_position": lambda t: probability.probability(
@@ -383,6 +465,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "p31_pass_with_fallback": lambda t: probability.with_position_fallback(
         t.game_summary, "pass"
     ),
+    "p31_pass_thin": lambda t: probability.thin_probability(t.game_summary, "pass", least=37),
+    "a10_percentiles": _percentiles,
     # paired rows
     "m1_drop_unbalanced_matches": lambda t: t.balanced,
     "m1_drop_unbalanced_own_goals": lambda t: pairs.drop_unbalanced_matches(t.own_goal_pairs),

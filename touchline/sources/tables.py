@@ -15,7 +15,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from touchline import schema
 
@@ -37,9 +37,27 @@ def read_home_advantage(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schema.HOME_ADVANTAGE)
 
 
-def read_player_models(spark: SparkSession, path: str) -> DataFrame:
-    """Player JSON documents: position, move thresholds, transition thresholds."""
-    return spark.read.json(path, schema=schema.PLAYER_MODEL, multiLine=True)
+CORRUPT = "_corrupt_record"
+
+
+def read_player_models(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Player JSON documents: player, position, move thresholds, transition thresholds.
+
+    The schema is given, never inferred. A document that does not fit it is a row too: its
+    text is in ``_corrupt_record`` (null for sound ones), and ``file`` says where it lies.
+    ``one_per_file=False`` reads one document per line, in splits of any size.
+    """
+    columns = StructType([*schema.PLAYER_MODEL.fields, StructField(CORRUPT, StringType())])
+    read = spark.read.json(
+        path, schema=columns, multiLine=one_per_file, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+    )
+    return read.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def split_broken(models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sound documents, and the broken ones as (file, text). Pass a stored table."""
+    broken = models.filter(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("text"))
+    return models.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "file"), broken
 
 
 def create_dataset(spark: SparkSession, name: str) -> None:
@@ -57,6 +75,25 @@ def write_table(frame: DataFrame, name_or_path: str, *partition_by: str) -> None
         writer.saveAsTable(name_or_path)
 
 
+def replace_partitions(frame: DataFrame, path: str, *partition_by: str) -> None:
+    """Replace the partitions that ``frame`` has rows of; all others keep their files."""
+    writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format("parquet")
+    writer.partitionBy(*partition_by).save(path)
+
+
+def create_catalog_view(spark: SparkSession, dataset: str, name: str, select: str) -> str:
+    """A view that outlives temporary ones, kept in a dataset; an older one is dropped first.
+
+    ``select`` is SQL over tables and views of the catalog; Spark refuses one that reads a
+    temporary view. Returns the name to read it by.
+    """
+    create_dataset(spark, dataset)
+    full = f"`{dataset}`.`{name}`"
+    spark.sql(f"DROP VIEW IF EXISTS {full}")
+    spark.sql(f"CREATE VIEW {full} AS {select}")
+    return full
+
+
 def create_view(frame: DataFrame, name: str) -> None:
     """Create a temporary view, replacing an older one."""
     frame.createOrReplaceTempView(name)
