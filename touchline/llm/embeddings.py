@@ -1,22 +1,27 @@
-"""Near-duplicate vectors: exact cosines between shards, components.
+"""Near-duplicate vectors: small-world graphs per shard, audited searches, components.
 
-Vectors of one label and length are dealt into shards of bounded size; every two
-shards of a label are compared whole, as products of matrices, so no link is missed
-and each counts for both its vectors. Equal vectors are one node.
+Vectors of one label and length are dealt into shards of bounded size, each with a
+graph. Every vector queries the graph of every shard of its label; for two shards, a
+pair found from either side counts for both. Beams widen until the links of audited
+queries, compared with brute force, are all found. Equal vectors are one node.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from touchline.llm.common import components
+from touchline.llm.hnsw import Graph
 from touchline.sources.tables import materialise
 
-SLACK = 1e-9  # cosines nearer to the threshold than this are computed pair by pair
-TILE = 1_024  # rows of a product of matrices
+SLACK = 1e-9  # the search takes in slightly more than the exact cosine lets pass
+FIRST_BEAM = 24
+TILE = 1_024  # pairs whose cosines are computed at once
 
 
 def _unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -25,43 +30,81 @@ def _unit(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return raw, norms
 
 
-def _compare(least: float):
+def _build(key, frame):
+    """One row per shard: its vectors and their graph."""
+    frame = frame.sort_values("node")
+    raw, norms = _unit(frame)
+    graph = Graph.built(raw / norms[:, None])
+    data = pickle.dumps((frame["node"].to_numpy(), frame["copies"].to_numpy(), raw, norms, graph))
+    return pd.DataFrame({"label": [key[0]], "size": [key[1]], "shard": [key[2]], "graph": [data]})
+
+
+def search_both_ways(left: Graph, right: Graph, least: float, audit: int, recall: float, beam: int) -> tuple[np.ndarray, int]:
+    """Pairs of two graphs with a cosine of about ``least`` or more, and the beam that found them.
+
+    Each vector queries the other graph (its own, without itself, if both are one).
+    Audited are up to ``audit`` queries that have links already, and as many of
+    all, from either side: their links by brute force must be found to the share ``recall``, or
+    the beam doubles. Beams as wide as a graph compare everything.
+    """
+    same = left is right
+    sides = [(left, right)] if same else [(left, right), (right, left)]
+    while True:
+        hit = np.zeros((len(left.vectors), len(right.vectors)), bool)
+        for k, (asking, asked) in enumerate(sides):
+            seen = hit.T if k else hit
+            for i, q in enumerate(asking.vectors):
+                seen[i, asked.near(q, beam, least - SLACK)] = True
+        if same:
+            hit |= hit.T
+            np.fill_diagonal(hit, False)
+        wanted = found = 0
+        exact = []
+        for k, (asking, asked) in enumerate(sides):
+            seen = hit.T if k else hit
+            draw = np.random.default_rng(7 + k)
+            linked = np.flatnonzero(seen.any(1))
+            chosen = np.unique(np.concatenate([draw.permutation(linked)[:audit], draw.permutation(len(seen))[:audit]]))
+            near = asking.vectors[chosen] @ asked.vectors.T >= least - SLACK
+            if same:
+                near[np.arange(len(chosen)), chosen] = False
+            wanted += int(near.sum())
+            found += int((near & seen[chosen]).sum())
+            exact.append((k, chosen, near))
+        if found >= recall * wanted or beam >= max(len(left.vectors), len(right.vectors)):
+            for k, chosen, near in exact:  # what the audit knows is kept
+                (hit.T if k else hit)[chosen] |= near
+            return (hit | hit.T if same else hit), beam
+        beam *= 2
+
+
+def _link(least: float, audit: int, recall: float):
     """Links between two shards, or inside one: counts per vector, and a spanning forest."""
 
-    def run(key, left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "n": [], "other": []})
-        same = key[2] == key[3]
-        one, two = left["node"].to_numpy(), right["node"].to_numpy()
-        (raw, norms), (other_raw, other_norms) = _unit(left), _unit(right)
-        unit = other_raw / other_norms[:, None]
-        held, other_held = (f["copies"].to_numpy().astype(np.float64) for f in (left, right))
-        counts, other_counts = np.zeros(len(one)), np.zeros(len(two))
+    def run(key, graphs):
+        loaded = {int(s): pickle.loads(g) for s, g in zip(graphs["shard"], graphs["graph"])}
+        one, held, raw, norms, graph = loaded[min(loaded)]
+        two, other_held, other_raw, other_norms, other = loaded[max(loaded)]
+        hit, _ = search_both_ways(graph, other, least, audit, recall, FIRST_BEAM)
+        # the exact cosine decides, by each pair's own products: the order of a sum must not matter
+        i, j = np.nonzero(hit)
+        for part in range(0, len(i), TILE):
+            x, y = i[part : part + TILE], j[part : part + TILE]
+            hit[x, y] = (raw[x] * other_raw[y]).sum(1) / (norms[x] * other_norms[y]) >= least
+        counts = hit @ other_held.astype(np.float64)
         nodes, place = np.unique(np.concatenate([one, two]), return_inverse=True)
         at, group = (place[: len(one)], place[len(one) :]), np.arange(len(nodes))
         rows: list[tuple[int, int, int | None]] = []
-        for start in range(0, len(one), TILE):
-            tile = slice(start, start + TILE)
-            near = (raw[tile] / norms[tile, None]) @ unit.T
-            hit = near >= least + SLACK
-            # on the border the order of a sum must not matter: each pair by its own products
-            i, j = np.nonzero(np.abs(near - least) <= SLACK)
-            for part in range(0, len(i), TILE):
-                x, y = i[part : part + TILE] + start, j[part : part + TILE]
-                hit[x - start, y] = (raw[x] * other_raw[y]).sum(1) / (norms[x] * other_norms[y]) >= least
-            if same:  # each pair once
-                hit &= at[0][tile, None] < at[1][None, :]
-            counts[tile] += hit @ other_held
-            other_counts += held[tile] @ hit
-            for k in np.flatnonzero(hit.any(1)):
-                own = at[0][start + k]
-                for root in np.unique(group[at[1][hit[k]]]):
-                    if root != group[own]:
-                        rows.append((int(nodes[own]), 0, int(nodes[root])))
-                        # a group's number is one of its members
-                        group[group == root] = group[own]
+        for k in np.flatnonzero(hit.any(1)):
+            own = at[0][k]
+            for root in np.unique(group[at[1][hit[k]]]):
+                if root != group[own]:
+                    rows.append((int(nodes[own]), 0, int(nodes[root])))
+                    # a group's number is one of its members
+                    group[group == root] = group[own]
         rows += [(int(n), int(c), None) for n, c in zip(one, counts)]
-        rows += [(int(n), int(c), None) for n, c in zip(two, other_counts)]
+        if graph is not other:
+            rows += [(int(n), int(c), None) for n, c in zip(two, held.astype(np.float64) @ hit)]
         out = pd.DataFrame(rows, columns=["node", "n", "other"])
         out["other"] = out["other"].astype("Int64")
         return out
@@ -70,20 +113,23 @@ def _compare(least: float):
 
 
 def embedding_groups(
-    vectors: DataFrame, least: float = 0.98, shard_rows: int = 8_192,
+    vectors: DataFrame, least: float = 0.98, shard_rows: int = 8_192, audit: int = 64, recall: float = 1.0,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """Groups of vectors of one label linked by a cosine of at least ``least``.
 
     Args:
-        shard_rows: vectors of one shard; a task compares two shards.
+        shard_rows: vectors of one graph; a task searches two graphs.
+        audit: queries per side of two shards, of those with links and of all, whose links are
+            compared with brute force; recall: share of their links that the beam must find.
 
     Returns:
         One row per id: ``vec_id``, ``n_links`` (other vectors linked directly),
         ``component_id`` (the smallest id reachable, itself included), ``kept``
         (``vec_id = component_id``).
 
-    All cosines of a label are computed, in double precision. Vectors that are null, empty, zero or hold null or
+    A pair that the search finds is linked if its cosine, in double precision, reaches ``least``; both
+    vectors count it. Pairs that no audit sees may be missed. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null label, link with nothing; nor do
     vectors of different lengths. Of rows that share an id the one with the smallest
     label and vector counts. Rows without an id are returned one by one, kept and without links. Runs jobs.
@@ -105,16 +151,20 @@ def embedding_groups(
     dealt = materialise(dealt)
     # a fixed number of partitions: small shards are long work, so they should not be merged
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["label", "size", "shard", "block"]
-
-    def side(own: str, other: str, others: Column) -> GroupedData:
-        rows = dealt.withColumnRenamed("shard", own).withColumn(other, F.explode(others))
-        return rows.select(*keys, "node", "copies", "embedding").repartition(parts, *keys).groupBy(*keys)
-
+    place = ["label", "size", "shard"]
+    grouped: GroupedData = dealt.select(*place, "node", "copies", "embedding").repartition(parts, *place).groupBy(*place)
+    schema = f"label {dealt.schema['label'].dataType.simpleString()}, size int, shard int, graph binary"
+    graphs = materialise(grouped.applyInPandas(_build, schema)).join(sizes, ["label", "size"])
     # each two shards of a label meet once, each shard with itself too
-    left = side("shard", "block", F.sequence(F.col("shard"), F.col("shards") - 1))
-    right = side("block", "shard", F.sequence(F.lit(0), F.col("block")))
-    found = materialise(left.cogroup(right).applyInPandas(_compare(least), "node long, n long, other long"))
+    others = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    meeting = graphs.withColumn("_with", others).select(
+        "label", "size", F.least("shard", "_with").alias("low"), F.greatest("shard", "_with").alias("high"), "shard", "graph"
+    )
+    keys = ["label", "size", "low", "high"]
+    found = meeting.repartition(parts, *keys).groupBy(*keys).applyInPandas(
+        _link(least, audit, recall), "node long, n long, other long"
+    )
+    found = materialise(found)
 
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     edges = found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))

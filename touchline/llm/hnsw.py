@@ -27,8 +27,34 @@ class Graph:
         levels = np.minimum((-np.log(np.maximum(draws, 1e-12)) / math.log(LINKS)).astype(int), 12)
         for node, level in enumerate(levels):
             graph._insert(node, int(level), beam)
+        graph._connect()
         return graph
 
+    def _reached(self, start: int, seen: np.ndarray) -> None:
+        """Mark every node that layer 0 leads to from ``start``."""
+        seen[start], front = True, np.array([start])
+        while len(front):
+            around = np.unique(self.ground[front])
+            front = around[(around >= 0) & ~seen[around]]
+            seen[front] = True
+
+    def _connect(self) -> None:
+        """Link nodes that pruning has cut off to the nearest node that is reached."""
+        if self.entry < 0:
+            return
+        seen = np.zeros(len(self.vectors), bool)
+        self._reached(self.entry, seen)
+        for node in np.flatnonzero(~seen).tolist():
+            if seen[node]:
+                continue
+            reached = np.flatnonzero(seen)
+            near = int(reached[(self.vectors[reached] @ self.vectors[node]).argmax()])
+            if self.degree[near] == self.ground.shape[1]:
+                self.ground = np.pad(self.ground, ((0, 0), (0, 8)), constant_values=-1)
+            self.ground[near, self.degree[near]] = node
+            self.degree[near] += 1
+            self._reached(node, seen)
+
     def _around(self, node: int, layer: int) -> np.ndarray:
         if layer:
             return self.upper[layer - 1][node]
@@ -50,15 +76,15 @@ class Graph:
                 at, near = int(around[best]), float(sims[best])
         return at
 
-    def _search(self, q: np.ndarray, start: int, beam: int, layer: int, floor: float = 2.0) -> list[tuple[float, int]]:
-        """The ``beam`` nearest nodes found, and all found at ``floor`` or nearer."""
+    def _search(self, q: np.ndarray, start: int, beam: int, layer: int) -> list[tuple[float, int]]:
+        """The ``beam`` nearest nodes found."""
         seen = np.zeros(len(self.vectors), bool)
         seen[start] = True
         near = float(self.vectors[start] @ q)
         todo, kept = [(-near, start)], [(near, start)]
         while todo:
             sim, node = heapq.heappop(todo)
-            if len(kept) >= beam and -sim < kept[0][0] and -sim < floor:
+            if len(kept) >= beam and -sim < kept[0][0]:
                 break
             around = self._around(node, layer)
             around = around[~seen[around]]
@@ -67,12 +93,12 @@ class Graph:
             seen[around] = True
             sims = self.vectors[around] @ q
             if len(kept) >= beam:
-                better = (sims > kept[0][0]) | (sims >= floor)
+                better = sims > kept[0][0]
                 around, sims = around[better], sims[better]
             for other, s in zip(around.tolist(), sims.tolist()):
                 heapq.heappush(todo, (-s, other))
                 heapq.heappush(kept, (s, other))
-                if len(kept) > beam and kept[0][0] < floor:
+                if len(kept) > beam:
                     heapq.heappop(kept)
         return sorted(kept, reverse=True)
 
@@ -141,5 +167,16 @@ class Graph:
         """
         if beam >= len(self.vectors):
             return np.flatnonzero(self.vectors @ q >= floor)
-        found = self._search(q, self._descend(q, 0), beam, 0, floor)
-        return np.array([n for s, n in found if s >= floor], np.int64)
+        found = self._search(q, self._descend(q, 0), beam, 0)
+        front = np.array([n for s, n in found if s >= floor], np.int64)
+        seen = np.zeros(len(self.vectors) + 1, bool)  # the last one stands for the padding
+        seen[[n for _, n in found]] = True
+        seen[-1] = True
+        hits = [front]
+        while len(front):  # on from all near nodes at once, as far as nodes are near
+            around = np.unique(self.ground[front])
+            around = around[~seen[around]]
+            seen[around] = True
+            front = around[self.vectors[around] @ q >= floor]
+            hits.append(front)
+        return np.concatenate(hits)
