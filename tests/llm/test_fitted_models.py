@@ -147,7 +147,7 @@ def test_personal_data(spark, field, odd_documents):
 
 
 def test_losses_equal_direct_sums(spark):
-    s = lm_score.Settings(pairs=1 << 24)
+    s = lm_score.Settings(block=300)
     texts = {1: "the cat sat on the mat", 2: "the cat sat on the hat", 3: "a dog ran", 4: "a dog ran far away", 5: "", 6: None}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     target = spark.createDataFrame([(1,), (2,), (2,), (None,)], "doc_id long")
