@@ -36,7 +36,7 @@ class Settings:
     tokens: int = 50_258
     bigram: float = 0.6
     unigram: float = 0.35
-    block: int = 1 << 18
+    block: int = 1 << 22
 
 
 BLOCK = "block long, doc_id array<long>, n_tokens array<long>, in_target array<boolean>, ids binary, raw long"
@@ -149,9 +149,13 @@ def cross_entropy_difference(
     path, s = vocabulary or default_vocabulary(), settings
     named = target.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = texts.join(named.withColumn("in_target", F.lit(True)), "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target")
-    )
+    # texts whose id may be named go through the join, by a hash of bounded size; the others stay in place
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int")
+    hit = F.broadcast(named.select(place.alias("_place")).distinct())
+    placed = texts.withColumn("_place", place)
+    asked = placed.join(hit, "_place", "left_semi").drop("_place").join(named.withColumn("in_target", F.lit(True)), "doc_id", "left")
+    others = placed.join(hit, "_place", "left_anti").select("doc_id", "text", F.lit(False).alias("in_target"))
+    marked = asked.select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target")).union(others)
     blocks = _blocks(marked, s, path)
     counted = _counted(blocks, s)
     counts = materialise(counted.groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.sum("docs").alias("docs")))
