@@ -24,10 +24,10 @@ class Settings:
     bits: int = 18
     rows: int = 8_000
     epochs: int = 8
-    alpha: float = 4.0
+    alpha: float = 10.0
     beta: float = 1.0
-    l1: float = 0.01
-    l2: float = 0.1
+    l1: float = 0.1
+    l2: float = 0.01
 
 
 class _Ids(dict):
