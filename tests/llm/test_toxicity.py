@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from touchline.llm import registry, toxicity
-from touchline.llm.toxicity import Settings, contrasting, fit, grams_of
+from touchline.llm.toxicity import Settings, contrasting, fit, grams_of, one_of_each
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -33,6 +33,15 @@ def test_grams_are_those_of_whole_words():
     assert len(grams_of(None, (5, 7), 22)) == len(grams_of("", (5, 7), 22)) == len(grams_of("1 !", (5, 7), 22)) == 0
 
 
+def test_copies_teach_once():
+    texts = [t for _, t, _ in corpus(30, 8)]
+    hashed = [grams_of(t, (5, 7), 22) for t in [*texts, *texts[:10], ""]]
+    kept = one_of_each(hashed)
+    assert len(kept) == 31 and len(kept[30]) == 0 and all(np.array_equal(a, b) for a, b in zip(kept[:30], hashed))
+    near = [grams_of(texts[0] + f" more{'x' * i}", (5, 7), 22) for i in range(20)]
+    assert len(one_of_each(near)) < 8
+
+
 def test_fit_reaches_the_least_corrected_risk():
     """Against a dense numpy search over the same selected buckets."""
     rows = corpus(400, 1)

@@ -93,6 +93,19 @@ def grams_of(text: str | None, grams: tuple[int, ...], bits: int) -> np.ndarray:
     return _distinct(np.concatenate(found)) if found else np.empty(0, np.uint32)
 
 
+def one_of_each(documents: list[np.ndarray]) -> list[np.ndarray]:
+    """The first of documents that share the four smallest hashes of their buckets.
+
+    Copies of one toxic text must not make its whole wording look toxic.
+    """
+    first: dict[bytes, np.ndarray] = {}
+    for buckets in documents:
+        mixed = (buckets.astype(np.uint64) + np.uint64(1)) * _MIX
+        mixed ^= mixed >> np.uint64(32)
+        first.setdefault(np.sort(mixed)[:4].tobytes(), buckets)
+    return list(first.values())
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -179,7 +192,7 @@ def train(
     only counts for the prior. Unlabelled text is a sample of all rows of ``docs``. Both
     samples are the rows with the smallest hashes of their id, so their sizes are bounded by the
     settings; a document is hashed to buckets before it is sent to its member's
-    task. Repeated ids count once, rows without id or text teach nothing. Without a
+    task. Repeated ids count once, confirmed copies of one text mostly too; rows without id or text teach nothing. Without a
     confirmed document with text the model has no bias, and every score is 0.
     """
     s, known = settings, _labels(labels, id_col, label_col)
@@ -220,7 +233,7 @@ def train(
             kinds[kind].append(np.frombuffer(blob, np.uint32))
         if not kinds[1]:
             return pa.table({c: pa.array([], t) for c, t in (("buckets", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64()))})
-        buckets, weights, bias = fit(kinds[1], kinds[0], prior, s)
+        buckets, weights, bias = fit(one_of_each(kinds[1]), kinds[0], prior, s)
         return pa.table({"buckets": [buckets.astype("<i8").tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
     fitted = rows.mapInArrow(hashed, schema).groupBy("member").applyInArrow(
