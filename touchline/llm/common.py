@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from touchline.sources.tables import materialise
 
 LAST_ID = (1 << 63) - 1  # stands for a missing id where ids are compared
+CROWDED = 8  # nodes outside a bucket's largest component beyond which a finer key finds its links
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
@@ -82,6 +83,9 @@ def link_buckets(
     near: Callable[[str, str], Column] | None = None,
     rounds: int = 1,
     order: Column | None = None,
+    known: DataFrame | None = None,
+    refine: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None,
+    refined: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Links that connect all similar nodes, without all pairs of a bucket.
 
@@ -93,6 +97,10 @@ def link_buckets(
         rounds: passes in which each bucket compares its nodes with one of them.
         order: number whose smallest value in a bucket chooses that one in the first pass;
             in later passes, and by default, a hash of the node does.
+        known: links found before; pairs they connect are not compared, and they are returned too.
+        refine: finds the links inside crowded buckets by a finer key than theirs. Gets their postings, with ``comp``,
+            and the links so far; returns links that connect all similar nodes for which ``refined`` (on a posting,
+            by the prefix of its columns) holds.
 
     Returns:
         ``a``, ``b``: verified links. They have the connected components of all
@@ -100,11 +108,13 @@ def link_buckets(
 
     A pass costs one comparison per posting. After the passes only nodes outside
     a bucket's largest component are compared with the bucket's other components,
-    so every pair of candidates is either compared or already connected. Runs jobs.
+    so every pair of candidates is either compared or already connected. With ``refine`` that
+    pass makes at most ``CROWDED`` comparisons per posting for the nodes it covers. Runs jobs.
     """
-    edges: DataFrame | None = None
+    edges = known
     for turn in range(rounds + 1):
         placed = materialise(_placed(postings, edges))
+        compared = F.col("comp") != F.col("hub_comp")
         rest = [c for c in placed.columns if c != "key"]
         if turn < rounds:
             by = order if order is not None and not turn else F.xxhash64("node", F.lit(turn))
@@ -115,11 +125,16 @@ def link_buckets(
         else:
             sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
             main = sizes.groupBy("key").agg(
-                F.max_by("comp", F.col("n")).alias("main"), F.count("*").alias("parts")
-            ).filter("parts > 1").drop("parts")
+                F.max_by("comp", F.col("n")).alias("main"), (F.sum("n") - F.max("n")).alias("others")
+            ).filter("others > 0").withColumn("crowded", F.col("others") > CROWDED)
+            if refine is not None:
+                main = materialise(main)
+                crowded = placed.join(main.filter("crowded").select("key"), "key")
+                edges = materialise(refine(crowded, edges).select("a", "b"))
+                compared = compared & ~(F.col("hub_crowded") & refined("") & refined("hub_"))
             hubs = placed.join(main, "key").filter("comp <> main")
-            hubs = hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in rest])
-        pairs = placed.join(hubs, "key").filter("comp <> hub_comp")
+            hubs = hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in [*rest, "crowded"]])
+        pairs = placed.join(hubs, "key").filter(compared)
         if near is not None:
             pairs = pairs.filter(near("", "hub_"))
         pairs = pairs.select(

@@ -8,7 +8,8 @@ similarity, and the shingle sets of the whole texts decide.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from touchline.llm.shingles import shingle_hashes, shingle_set
 from touchline.sources.tables import materialise
 
 K, LARGE_K = 64, 1024  # sizes of the sketches: of all documents, and of those with candidates
+PAIRED = 256  # shingles of a hub up to which two differences make a key
 SKETCH = "doc_id long, n_shingles long, digest string, sketch array<long>"
 
 
@@ -96,6 +98,109 @@ def _near(similarity: float, k: int):
     return meets
 
 
+def difference_keys(n: int, hub_n: int, d: int, held: list[int], similarity: float) -> Iterator[tuple[int, ...]]:
+    """Keys of a set by its differences from a hub: two similar sets share one, unless both are similar to the hub.
+
+    Args:
+        n, hub_n: sizes of the set and of the hub.
+        d: number of values that only one of the two has.
+        held: those of them that another set differs in too, rarest first (one order for all sets of the hub).
+
+    Similar sets of n and m values differ in t = (1 - s) / (1 + s) * (n + m) values at most, so two of them with d and e
+    differences have (d + e - t) / 2 differences in common, more than none if one of them is not similar
+    to the hub. Sets with ``o`` values in common share ``l`` of the first d - o + l of each. The
+    other set's e is known up to its class: a key names both classes. Two values (l = 2) make a
+    key where the hub is small and the classes prove two common ones.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    width = max(1, math.ceil(c * hub_n / 2))
+    own, mine = d - len(held), d // width
+    far = c * n * (1 + 1 / similarity) + 1e-6  # differences of a similar set, at most
+    for other in range(max(0, math.floor((d - far) / width)), math.floor((d + far) / width) + 1):
+        low, high = other * width, (other + 1) * width - 1
+        most = c * (n + min(n / similarity, hub_n + high)) + 1e-6
+        if high < d - most or low > d + most:
+            continue
+        common = max(1, math.ceil((d + low - most) / 2))
+        if common > min(len(held), high):
+            continue
+        # the same bound from the classes alone, for both sets alike
+        proven = ((mine + other) * width - c * (2 * hub_n + (mine + other + 2) * width) - 1e-6) / 2
+        length = 2 if hub_n <= PAIRED and proven >= 2 else 1
+        first = held[: max(d - common + length - own, 0)]
+        for chosen in combinations(first, length):
+            yield (min(mine, other), max(mine, other), *chosen)
+
+
+def _difference_links(
+    large: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], similarity: float, order: Column
+) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
+    """Links inside crowded buckets, by what their members do not share with one of them.
+
+    Near copies of one text share most values whether they are similar to each other or not. What
+    tells them apart are their differences from a hub, and similar ones have most of these in
+    common: they make inverted lists of their own (``difference_keys``). For documents whose sketch is the whole set.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    allowed = lambda n, m: (n + m) * c + 1e-6
+
+    def meets(left: str, right: str) -> Column:
+        fits = F.abs(F.col(f"{left}d") - F.col(f"{right}d")) <= allowed(F.col(f"{left}n"), F.col(f"{right}n"))
+        return near(left, right) & fits
+
+    def run(crowded: DataFrame, edges: DataFrame | None) -> DataFrame:
+        whole = crowded.filter(F.col("n") <= LARGE_K)
+        hubs = whole.groupBy("key").agg(F.min_by("node", order).alias("hub"))
+        members = whole.join(hubs, "key").select("hub", "node", "n", "size", "own").distinct()
+        sets = large.filter(F.col("n_shingles") <= LARGE_K)
+        hub_sets = sets.groupBy(F.col("doc_id").alias("hub")).agg(F.min_by("sketch", "n_shingles").alias("hub_set"))
+        mine = sets.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+        both = members.join(mine, ["node", "n"]).join(hub_sets, "hub")
+        apart = F.concat(F.array_except("sketch", "hub_set"), F.array_except("hub_set", "sketch"))
+        apart = both.select("hub", "node", "n", "size", "own", F.size("hub_set").alias("hub_n"), apart.alias("apart"))
+        apart = materialise(apart.select("*", F.size("apart").alias("d"), F.xxhash64("apart").alias("set")))
+
+        direct = apart.filter(F.col("d") <= allowed(F.col("n"), F.col("hub_n"))).filter("hub <> node")
+        direct = direct.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        found = verify(direct).select("a", "b")
+        found = materialise(found if edges is None else edges.union(found))
+
+        values = apart.select("hub", "node", "n", "size", "own", "hub_n", "d", "set", F.explode("apart").alias("value"))
+        counts = values.groupBy("hub", "value").agg(F.count("*").alias("held_by")).filter("held_by > 1")
+        held = F.sort_array(F.collect_list(F.struct("held_by", "value")))
+        listed = values.join(counts, ["hub", "value"]).groupBy("hub", "node", "n", "size", "own", "hub_n", "d", "set").agg(
+            held["value"].alias("held")
+        )
+        postings = listed.select("hub", "node", "n", "size", "own", "d", "hub_n", "held").mapInArrow(
+            _keyed(similarity), "key long, node long, n long, size int, own int, d int"
+        ).distinct()
+        postings = materialise(postings)
+        shared = postings.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+        return link_buckets(postings.join(shared, "key"), verify, meets, known=found)
+
+    return run
+
+
+def _keyed(similarity: float):
+    """One row per key of a set (hub, node, n, size, own, d, hub_n, held)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                keys, rows = [], []
+                for i, row in enumerate(part.to_pylist()):
+                    for key in difference_keys(row["n"], row["hub_n"], row["d"], row["held"], similarity):
+                        keys.append(xxhash.xxh3_64_intdigest(np.array([row["hub"], *key], np.int64).tobytes()) >> 1)
+                        rows.append(i)
+                at = pa.array(rows, pa.int64())
+                rest = ["node", "n", "size", "own", "d"]
+                columns = [part.column(part.schema.get_field_index(c)).take(at) for c in rest]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *columns], names=["key", *rest])
+
+    return run
+
+
 def _alike(percent: int, size: int):
     """Keep pairs (a, b, s, t: texts) whose shingle sets meet the percentage."""
 
@@ -175,7 +280,10 @@ def minhash_groups(
 
     # the document with the fewest values of its own is nearest to all others of a bucket
     order = F.col("own") * (1 << 40) + F.pmod(F.xxhash64("node"), F.lit(1 << 40))
-    links = link_buckets(postings, verify, _near(similarity, LARGE_K), rounds=2, order=order)
+    near = _near(similarity, LARGE_K)
+    refine = _difference_links(large, verify, near, similarity, order)
+    whole = lambda side: F.col(f"{side}n") <= LARGE_K
+    links = link_buckets(postings, verify, near, rounds=2, order=order, refine=refine, refined=whole)
     edges = copies.union(links)
     found = components(edges)
     linked = sketched.select("doc_id", "n_shingles").join(
