@@ -49,6 +49,17 @@ def test_language_of_held_out_documents(spark):
     assert sum(r["rejected"] for r in rows) < 50
 
 
+def test_letters():
+    assert [language.has_letter(t) for t in ("\u00b2", "\u00bd 12", "_", "", None)] == [False] * 5
+    assert all(map(language.has_letter, ("1\u00e9", "\u6f22", "\u02b0")))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, f"lang{i}") for i in range(450)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), buckets=64)
+    assert set(model.languages) == {f"lang{i}" for i in range(450)}
+
+
 def test_language_odd_rows(spark, odd_documents):
     from pyspark.sql import functions as F
 

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+from touchline.llm.common import only_with_ids
+from touchline.sources.tables import materialise
+
 SPACES = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -33,7 +35,8 @@ class Model:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    """Whether a character of Unicode category L is there; superscript digits and fractions are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def counts(text: str, buckets: int) -> np.ndarray:
@@ -91,14 +94,13 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def train(
-    docs: DataFrame, clusters: int = 3, rows: int = 400, buckets: int = 1 << 13, most_languages: int = 400,
+    docs: DataFrame, clusters: int = 3, rows: int = 400, buckets: int = 1 << 13,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
     """Fit idf on all rows that have a language, and centroids on a sample.
 
-    Each of the ``most_languages`` most frequent languages gives at most ``rows`` documents, those with
-    the smallest hashes of id and text: this bounds the training tasks and the
-    model. Rows without a language, a text or a letter teach nothing. Runs jobs.
+    Every language gives at most ``rows`` documents, those with the smallest hashes of the
+    id: this bounds a training task; the model grows with the number of languages. Rows without a language, a text or a letter teach nothing. Runs jobs.
     """
     known = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
@@ -106,11 +108,10 @@ def train(
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
     found = _document_counts(known.select("text"), buckets)
     idf = np.log((1 + found[-1]) / (1 + found[:-1])) + 1
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     order = W.partitionBy("lang").orderBy("order", "id")
     ranked = known.select("lang", "id", F.xxhash64("id", F.lit(5)).alias("order"))
     sample = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    sample = sample.join(F.broadcast(common.select("lang")), "lang").select("lang", "id").distinct()
+    sample = materialise(sample.select("lang", "id").distinct())
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def fit(key, table):  # the sample of one language as an Arrow table
@@ -125,8 +126,7 @@ def train(
         stored = [c.astype("<f4").tobytes() for c in centroids]
         return pa.table({"lang": [key[0].as_py()] * len(reach), "centroid": stored, "reach": reach})
 
-    # at most most_languages * rows small rows
-    chosen = known.join(F.broadcast(sample), ["lang", "id"]).select("lang", "text")
+    chosen = only_with_ids(known, "id", sample).join(sample, ["lang", "id"]).select("lang", "text")
     fitted = chosen.groupBy("lang").applyInArrow(fit, "lang string, centroid binary, reach double").collect()
     fitted.sort(key=lambda r: (r["lang"], r["centroid"]))
     stacked = [np.frombuffer(r["centroid"], "<f4") for r in fitted]
