@@ -18,6 +18,18 @@ LAST_ID = (1 << 63) - 1  # stands for a missing id where ids are compared
 CROWDED = 8  # nodes outside a bucket's largest component beyond which a finer key finds its links
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``frame`` does not have, whatever the case."""
+    taken = {c.lower() for c in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     """Number of edges and a digest of all of them; equal when nothing changed."""
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
