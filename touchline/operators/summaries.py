@@ -30,11 +30,11 @@ from touchline.functions.counters import (
 )
 from touchline.functions.expressions import bucket, count_where, zone_x, zone_y
 from touchline.operators.events import explode_qualifiers
-from touchline.sources.tables import materialise
 
 PLAYER = ["matchid", "teamid", "playerid"]
 MOMENT = "_moment"
 SECOND = ["matchid", "playerid", MOMENT]
+MASK_BITS = 62  # counters that one long tells
 DIRECTIONS = [f"direction_{axis}_{turn}" for axis in "xy" for turn in (2, 1, 0)]
 
 
@@ -90,20 +90,44 @@ def game_summary(
     ``extra`` counters, which count no other rows, become further columns.
     """
     declared = [*counters(), *extra]
-    names = [counter.name for counter in declared]
+    bit = {counter.name: divmod(i, MASK_BITS) for i, counter in enumerate(declared)}
     place = [*PLAYER, "timestamp", "x", "y"]
-    counted = (
+    masks = [
+        reduce(Column.bitwiseOR, [
+            F.when(_row_test(c, event_grain), F.lit(1 << i).cast("bigint")).otherwise(0)
+            for i, c in enumerate(declared[start : start + MASK_BITS])
+        ]).alias(f"_mask_{start // MASK_BITS}")
+        for start in range(0, len(declared), MASK_BITS)
+    ]
+    names = [f"_mask_{i}" for i in range(len(masks))]
+    hits = (
         countable_rows(events, event_grain)
+        .select(*place, *masks)
+        .repartition(*PLAYER, "timestamp")  # serves both groupings; only masks are shuffled
+        .groupBy(*place, *names)
+        .agg(F.count("*").alias("_n"))
         .groupBy(*place)
-        .agg(*[count_where(_row_test(c, event_grain)).alias(c.name) for c in declared])
-        .select("*", *[_total(parts).alias(name) for name, parts in COMPOSITES.items()])
+        .agg(F.collect_list(F.struct("_n", *names)).alias("_hits"))
     )
-    return counted.join(_position_counts(positions), PLAYER).select(
+
+    def counted(*parts: str) -> Column:
+        wanted = [sum(1 << i for m, i in map(bit.get, parts) if m == k) for k in range(len(masks))]
+
+        def of(hit: Column) -> Column:
+            found = [F.bit_count(hit[n].bitwiseAND(F.lit(w).cast("bigint"))) for n, w in zip(names, wanted) if w]
+            return hit["_n"] * reduce(add, found)
+
+        # nearly every place has rows of one kind
+        several = F.aggregate("_hits", F.lit(0).cast("bigint"), lambda total, hit: total + of(hit))
+        return F.when(F.size("_hits") == 1, of(F.col("_hits")[0])).otherwise(several)
+
+    columns = {**COMPOSITES, **{name: [name] for name in bit}}
+    return hits.join(_position_counts(positions), PLAYER).select(
         "matchid", "timestamp", "teamid", "playerid", "position",
         zone_x(F.col("x")).alias("section_x"),
         zone_y(F.col("y")).alias("section_y"),
         "x", "y",
-        *[(F.col(name) * F.col("_times")).alias(name) for name in (*COMPOSITES, *names)],
+        *[(counted(*parts) * F.col("_times")).alias(name) for name, parts in columns.items()],
     )
 
 
@@ -111,28 +135,29 @@ def previous_touches(events: DataFrame) -> DataFrame:
     """Distinct touches of each player in a match with the place of the touch before.
 
     Ties in a second are ordered by team, x and y. The look-back has two steps:
-    inside a second (no more rows than there are places on the field), then from
+    inside a second (an array of no more places than there are on the field), then from
     second to second (one row each). So a player who holds most of the data does
     not end up in one window group.
     """
-    touches = (
+    spot = F.struct("teamid", "x", "y")
+    by_second = W.partitionBy("matchid", "playerid").orderBy(MOMENT)
+    seconds = (
         _with_moment(events.filter(F.col("playerid") != 0))
         .select(*SECOND, "teamid", "timestamp", "x", "y")
-        .repartition(*SECOND)  # serves the distinct rows, the window and the join
+        .repartition(*SECOND)  # serves the distinct rows and the array
         .distinct()
+        .groupBy(*SECOND, "timestamp")
+        .agg(F.sort_array(F.collect_list(spot)).alias("_spots"))
+        .withColumn("_before", F.lag(F.element_at("_spots", -1)).over(by_second))
     )
-    in_second = W.partitionBy(*SECOND).orderBy("teamid", "x", "y")
-    spot = F.struct("x", "y")
-    stepped = touches.withColumns(
-        {"_inside": F.lag(spot).over(in_second), "_next": F.lead(spot).over(in_second)}
+    touches = seconds.select(
+        "matchid", "playerid", "timestamp", "_before", "_spots", F.posexplode("_spots").alias("_i", "_spot")
     )
-    by_second = W.partitionBy("matchid", "playerid").orderBy(MOMENT)
-    carried = stepped.filter(F.col("_next").isNull()).select(
-        *SECOND, F.lag(spot).over(by_second).alias("_before")
-    )
-    previous = F.coalesce("_inside", "_before")
-    return stepped.join(carried, SECOND, "left").select(
-        "matchid", "playerid", "teamid", "timestamp", "x", "y", previous["x"].alias("prev_x"), previous["y"].alias("prev_y")
+    previous = F.when(F.col("_i") == 0, F.col("_before")).otherwise(F.get("_spots", F.col("_i") - 1))
+    return touches.select(
+        "matchid", "playerid", F.col("_spot.teamid").alias("teamid"), "timestamp",
+        F.col("_spot.x").alias("x"), F.col("_spot.y").alias("y"),
+        previous["x"].alias("prev_x"), previous["y"].alias("prev_y"),
     )
 
 
@@ -177,31 +202,45 @@ def touches_summary(summary: DataFrame) -> DataFrame:
 
     The running sums are taken over one row per second, then given to all rows
     of that second (rows that tie share their value). Rows without a time come before
-    all others of their player. Reads ``summary`` twice, so pass a stored table;
-    the rows per second are stored. Runs a job.
+    all others of their player. The rows are dealt once, by match, and sorted with none but their
+    counters above 0; the sums are spread out after that. Reads ``summary`` twice, so pass a stored table.
     """
     rows = _with_moment(summary)
-    per_second = rows.groupBy(*SECOND, "timestamp").agg(
-        *[F.sum(_total(parts)).alias(name) for name, parts in STATE_COUNTERS.items()]
+    above = F.filter(
+        F.array(*[
+            F.struct(F.lit(i).alias("i"), _total(parts).cast("bigint").alias("n"))
+            for i, parts in enumerate(STATE_COUNTERS.values())
+        ]),
+        lambda count: count["n"] != 0,
+    )
+    place = F.struct("teamid", "position", "x", "y")
+    span = summary.groupBy("matchid").agg(F.min("timestamp").alias("_start"), F.max("timestamp").alias("_end"))
+    per_second = (
+        rows.select(*SECOND, "timestamp", place.alias("_place"), above.alias("_above"))
+        .repartition("matchid")  # serves the grouping, the join and the window
+        .groupBy(*SECOND, "timestamp")
+        .agg(F.collect_list("_place").alias("_places"), F.flatten(F.collect_list("_above")).alias("_above"))
+        .join(span, "matchid")
+        .sortWithinPartitions("matchid", "playerid", MOMENT)
     )
-    per_second = materialise(per_second)
+
+    def counted(i: int) -> Column:
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate("_above", zero, lambda total, c: total + F.when(c["i"] == i, c["n"]).otherwise(zero))
+
     so_far = (
         W.partitionBy("matchid", "playerid")
         .orderBy(MOMENT)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    running = per_second.select(
-        *SECOND, "timestamp", *[F.sum(name).over(so_far).alias(name) for name in STATE_COUNTERS]
-    )
-    span = per_second.groupBy("matchid").agg(
-        F.min("timestamp").alias("_start"), F.max("timestamp").alias("_end")
+    elapsed = F.try_divide(F.col("timestamp") - F.col("_start"), F.col("_end") - F.col("_start"))
+    spread = per_second.select(
+        *SECOND, elapsed.alias("_elapsed"), "_places", *[counted(i).alias(n) for i, n in enumerate(STATE_COUNTERS)]
     )
-    elapsed = F.try_divide(
-        F.col("timestamp") - F.col("_start"), F.col("_end") - F.col("_start")
+    running = spread.select(
+        *SECOND, "_elapsed", "_places", *[F.sum(name).over(so_far).alias(name) for name in STATE_COUNTERS]
     )
-    state = running.join(span, "matchid").withColumn("_elapsed", elapsed)
-    state = state.drop("_start", "_end", "timestamp")
-    return rows.select(*SECOND, "teamid", "position", "x", "y").join(state, SECOND).select(
+    return running.select("*", F.inline("_places")).select(
         F.col("_elapsed").alias("timestamp"),
         "matchid", "teamid", "position", "playerid", "x", "y",
         *STATE_COUNTERS,

@@ -169,6 +169,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_store_once
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players of the first two teams of each block, moved to imaginary teams."""
     players = line_ups(spark, sf_dir).select("playerid", "teamid").distinct()
