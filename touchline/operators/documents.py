@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import carried_forward, ordered
@@ -19,19 +19,27 @@ LINE_ORDER = ["table", "part"]
 
 
 def document_lines(
-    rows: DataFrame, keys: Sequence[str], tables: Sequence[str], order_by: Sequence[str]
+    rows: DataFrame,
+    keys: Sequence[str],
+    tables: Sequence[str],
+    order_by: Sequence[str],
+    value: Column | str = "value",
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """One JSON object per key, with one array per table name; no rows give ``[]``.
 
     ``rows`` has the keys, ``table`` (index into ``tables``), the ordering columns
     and ``value`` (a row as JSON text). Sort the result by keys, ``table``,
-    ``part`` and ``order_by``.
+    ``part`` and ``order_by``. A ``value`` given as an expression over ``rows`` is
+    built after the join, which then moves its columns instead of the text. ``places``: the keys, ``table``
+    and ordering columns of the same rows, where they are had without building ``rows``.
     """
     place = F.struct(*order_by)
-    first = rows.groupBy(*keys, "table").agg(F.min(place).alias("_first"))
+    listed = rows if places is None else places
+    first = listed.groupBy(*keys, "table").agg(F.min(place).alias("_first"))
     comma = F.when(place.eqNullSafe(F.col("_first")), "").otherwise(",")
     body = rows.join(first, [*keys, "table"]).select(
-        *keys, "table", F.lit(ROW).alias("part"), *order_by, F.concat(comma, "value").alias("value")
+        *keys, "table", F.lit(ROW).alias("part"), *order_by, F.concat(comma, value).alias("value")
     )
     frame = []
     for index, name in enumerate(tables):

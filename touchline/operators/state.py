@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from touchline.functions.counters import STATE_COUNTERS
 from touchline.operators.documents import document_lines
 from touchline.operators.ranges import asof_join
-from touchline.sources.tables import json_rows
+from touchline.sources.tables import json_text
 
 PLAYER = ["matchid", "teamid", "playerid"]
 STATE_COLUMNS = [
@@ -51,28 +54,22 @@ def state_summary(state: DataFrame) -> DataFrame:
     """Every cumulative row joined with the rows of the same player and time.
 
     The join only repeats rows: a row appears once per row of its player, match,
-    team and time. ``copies`` holds that number in place of the repeated rows.
-    Reads ``state`` twice, so pass a stored table.
+    team and time, and one that lacks any of them joins with none and appears once. ``copies`` holds that
+    number in place of the repeated rows. They are counted where the rows of a match are dealt to, without a join.
     """
     moment = ["playerid", "matchid", "timestamp", "teamid"]
-    copies = state.groupBy(*moment).agg(F.count("*").alias("_copies"))
-    return state.join(copies, moment, "left").select(
-        *STATE_COLUMNS, F.coalesce("_copies", F.lit(1)).alias("copies")
-    )
+    known = reduce(and_, [F.col(name).isNotNull() for name in moment])
+    copies = F.when(known, F.count("*").over(W.partitionBy(*moment))).otherwise(1)
+    return state.repartition("matchid").select(*STATE_COLUMNS, copies.alias("copies"))
 
 
 def state_document(state: DataFrame) -> DataFrame:
     """The state summary as one JSON object per match, as ordered text lines.
 
     Write with ``write_document``, keys ``matchid`` and order ``teamid, timestamp,
-    playerid, position, x, y``.
+    playerid, position, x, y``. Reads ``state`` twice, so pass a stored table.
     """
     order = ["teamid", "timestamp", "playerid", *_PLACE]
-    summary = state_summary(state)
-    keyed = summary.select("*", *[F.col(name).alias(f"_{name}") for name in ("matchid", *order)])
-    rows = (
-        json_rows(keyed, *[f"_{name}" for name in ("matchid", *order)])
-        .withColumnsRenamed({f"_{name}": name for name in ("matchid", *order)})
-        .withColumn("table", F.lit(0))
-    )
-    return document_lines(rows, ["matchid"], ["state"], order)
+    rows = state_summary(state).withColumn("table", F.lit(0))
+    places = state.select("matchid", *order, F.lit(0).alias("table"))
+    return document_lines(rows, ["matchid"], ["state"], order, json_text(*STATE_COLUMNS, "copies"), places)

@@ -99,10 +99,15 @@ def create_view(frame: DataFrame, name: str) -> None:
     frame.createOrReplaceTempView(name)
 
 
+def json_text(*fields: str | Column) -> Column:
+    """The fields as one JSON object, nulls included."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def json_rows(frame: DataFrame, *keep: str) -> DataFrame:
     """Each row as JSON text in column ``value``, beside the columns to keep."""
     fields: list[str | Column] = [c for c in frame.columns if c not in keep]
-    return frame.select(*keep, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    return frame.select(*keep, json_text(*fields).alias("value"))
 
 
 def write_json(frame: DataFrame, path: str, *partition_by: str) -> None:
