@@ -47,7 +47,7 @@ def test_state_deals_its_rows_once(spark):
 
 def test_moves_are_dealt_by_second_player_and_position(spark):
     found = shuffle_joins(spark, lambda: summaries.move_summary(*prepared(spark)))
-    assert len(found) == 5  # two of them the positions
+    assert len(found) == 4  # two of them the positions
 
 
 def test_counts_of_several_kinds_at_one_place(spark):

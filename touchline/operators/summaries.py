@@ -188,8 +188,13 @@ def move_summary(
             directions.append(count_where(test).alias(f"direction_{axis}_{turn}"))
     key = [*PLAYER, "timestamp", "section_x", "section_y"]
     moves = zoned.groupBy(*key).agg(*directions, F.count("*").alias("_rows"))
+    # by match and player, as the look-back has dealt the moves
+    placed = _position_counts(positions).groupBy("matchid", "playerid").agg(
+        F.collect_list(F.struct(F.col("teamid").alias("_team"), "position", "_times")).alias("_placed")
+    )
+    own = F.filter("_placed", lambda p: p["_team"] == F.col("teamid"))
     times = F.col("_times")
-    return moves.join(_position_counts(positions), PLAYER).select(
+    return moves.join(placed, ["matchid", "playerid"]).select("*", F.inline(own)).select(
         "matchid", "timestamp", "playerid", "teamid", "position", "section_x", "section_y",
         *[(F.col(name) * times).alias(name) for name in DIRECTIONS],
         (F.col("_rows") * times).alias("total_x"),
