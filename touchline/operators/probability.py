@@ -85,19 +85,28 @@ def _total(names: Sequence[str]) -> Column:
     return reduce(add, [F.col(name) for name in names])
 
 
+def _dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows at their groups' tasks before they are summed, where the groups are players'.
+
+    These are as many as the rows of a task that reads, so sums taken there would save no row of
+    the shuffle and hold a wide buffer for each. Groups of positions are few and are summed before.
+    """
+    return rows.repartition(*by, *ZONE) if "playerid" in by else rows
+
+
 def probability(summary: DataFrame, table: str, by: Sequence[str] = PLAYER) -> DataFrame:
     """One of the tables of ``SHARES`` from the game summary, per ``by`` and zone."""
     shares = SHARES[table]
     whole = _total(shares.whole)
     rows = summary.filter(whole > 0) if shares.needs_whole else summary
-    return rows.groupBy(*by, *ZONE).agg(
+    return _dealt(rows, by).groupBy(*by, *ZONE).agg(
         *[share(F.col(part), whole).alias(name) for name, part in shares.parts.items()]
     )
 
 
 def move_probability(moves: DataFrame, by: Sequence[str] = PLAYER) -> DataFrame:
     """Shares of the six directions from the move summary, per ``by`` and zone."""
-    return moves.groupBy(*by, *ZONE).agg(
+    return _dealt(moves, by).groupBy(*by, *ZONE).agg(
         *[share(F.col(part), F.col(total)).alias(name) for name, (part, total) in MOVES.items()]
     )
 
@@ -187,7 +196,7 @@ def _share_rows(summary: DataFrame) -> DataFrame:
                 _row_text(ratios).alias("value"),
             )
         )
-    grouped = summary.groupBy(*PLAYER, *ZONE).agg(*sums)
+    grouped = _dealt(summary, PLAYER).groupBy(*PLAYER, *ZONE).agg(*sums)
     return grouped.select(*PLAYER, *ZONE, F.inline(F.array(*entries))).filter("_present")
 
 

@@ -98,7 +98,9 @@ def transition_counts(summary: DataFrame) -> DataFrame:
         part, without = _COUNTED_BY[name]
         times = F.col(part) if without is None else F.col(part) - F.col(without)
         counts.append(F.sum(times).alias(name))
-    return summary.groupBy("playerid", F.col("section_x").alias("section")).agg(*counts)
+    # dealt before they are summed: a task that reads has nearly as many of these groups as rows
+    rows = summary.withColumn("section", F.col("section_x")).repartition("playerid", "section")
+    return rows.groupBy("playerid", "section").agg(*counts)
 
 
 def _total() -> Column:
