@@ -212,10 +212,10 @@ def probability_bundle(
     """The ten tables as one JSON object per team, as ordered text lines.
 
     See ``document_lines``; write with ``write_document``, keys ``teamid`` and
-    order ``playerid, section_x, section_y``.
+    order ``playerid, section_x, section_y``. The rows are stored, as the lines need them three times. Runs a job.
     """
     if teamid is not None:
         summary = summary.filter(F.col("teamid") == teamid)
         moves = moves.filter(F.col("teamid") == teamid)
     rows = _share_rows(summary).drop("_present").unionByName(_move_rows(moves))
-    return document_lines(rows, ["teamid"], BUNDLE, ["playerid", *ZONE])
+    return document_lines(materialise(rows), ["teamid"], BUNDLE, ["playerid", *ZONE])
