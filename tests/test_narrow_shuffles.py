@@ -69,3 +69,22 @@ def test_counts_of_several_kinds_at_one_place(spark):
         assert summaries.game_summary(raw, positions).first() == one
     finally:
         summaries.MASK_BITS = width
+
+
+def test_game_summary_deals_its_rows_once(spark):
+    found = shuffle_joins(spark, lambda: summaries.game_summary(*prepared(spark)))
+    assert len(found) == 2  # the masks, and the positions
+
+
+def test_no_shuffle_moves_a_time_twice(spark):
+    """Moves and state: the time itself is the key, no copy of it beside it."""
+    raw, positions = prepared(spark)
+    summary = materialise(summaries.game_summary(raw, positions))
+    moves = shuffle_joins(spark, lambda: summaries.move_summary(raw, positions))
+    found = moves + shuffle_joins(spark, lambda: summaries.touches_summary(summary))
+    assert not {name for columns in found for name in columns} & {"_moment"}
+
+
+def test_moves_of_a_second_are_counted_without_a_hash_table(spark):
+    plan = summaries.move_summary(*prepared(spark))._jdf.queryExecution().toString()
+    assert "count(CASE" not in plan

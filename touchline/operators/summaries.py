@@ -9,7 +9,7 @@ one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -28,12 +28,11 @@ from touchline.functions.counters import (
     pass_band,
     pass_end,
 )
-from touchline.functions.expressions import bucket, count_where, zone_x, zone_y
+from touchline.functions.expressions import zone_x, zone_y
 from touchline.operators.events import explode_qualifiers
 
 PLAYER = ["matchid", "teamid", "playerid"]
-MOMENT = "_moment"
-SECOND = ["matchid", "playerid", MOMENT]
+SECOND = ["matchid", "playerid", "timestamp"]
 MASK_BITS = 62  # counters that one long tells
 DIRECTIONS = [f"direction_{axis}_{turn}" for axis in "xy" for turn in (2, 1, 0)]
 
@@ -50,11 +49,6 @@ def _row_test(counter: Counter, event_grain: bool) -> Column:
     return counter.on_event_row() if event_grain else counter.on_qualifier_row()
 
 
-def _with_moment(rows: DataFrame) -> DataFrame:
-    """Add the time as a key that joins: a missing time is the earliest moment."""
-    return rows.withColumn(MOMENT, F.coalesce("timestamp", F.lit(-(1 << 62))))
-
-
 def countable_rows(events: DataFrame, event_grain: bool = False) -> DataFrame:
     """The rows that count in some counter, at qualifier grain or at event grain."""
     rows = events.filter(F.col("typeid").isin(*COUNTED_TYPES))
@@ -103,7 +97,7 @@ def game_summary(
     hits = (
         countable_rows(events, event_grain)
         .select(*place, *masks)
-        .repartition(*PLAYER, "timestamp")  # serves both groupings; only masks are shuffled
+        .repartition(*PLAYER)  # serves both groupings and the join; only masks are shuffled
         .groupBy(*place, *names)
         .agg(F.count("*").alias("_n"))
         .groupBy(*place)
@@ -122,7 +116,7 @@ def game_summary(
         return F.when(F.size("_hits") == 1, of(F.col("_hits")[0])).otherwise(several)
 
     columns = {**COMPOSITES, **{name: [name] for name in bit}}
-    return hits.join(_position_counts(positions), PLAYER).select(
+    return hits.join(_position_counts(positions.repartition(*PLAYER)), PLAYER).select(
         "matchid", "timestamp", "teamid", "playerid", "position",
         zone_x(F.col("x")).alias("section_x"),
         zone_y(F.col("y")).alias("section_y"),
@@ -131,6 +125,24 @@ def game_summary(
     )
 
 
+def _seconds(events: DataFrame) -> DataFrame:
+    """One row per player and second of a match, with its distinct touches ordered by team, x and y."""
+    return (
+        events.filter(F.col("playerid") != 0)
+        .select(*SECOND, "teamid", "x", "y")
+        .repartition(*SECOND)  # serves the distinct rows and the array
+        .distinct()
+        .groupBy(*SECOND)
+        .agg(F.sort_array(F.collect_list(F.struct("teamid", "x", "y"))).alias("_spots"))
+    )
+
+
+def _with_before(seconds: DataFrame) -> DataFrame:
+    """Add the last spot of the player's second before; seconds without a time come first."""
+    by_second = W.partitionBy("matchid", "playerid").orderBy(F.asc_nulls_first("timestamp"))
+    return seconds.withColumn("_before", F.lag(F.element_at("_spots", -1)).over(by_second))
+
+
 def previous_touches(events: DataFrame) -> DataFrame:
     """Distinct touches of each player in a match with the place of the touch before.
 
@@ -139,19 +151,8 @@ def previous_touches(events: DataFrame) -> DataFrame:
     second to second (one row each). So a player who holds most of the data does
     not end up in one window group.
     """
-    spot = F.struct("teamid", "x", "y")
-    by_second = W.partitionBy("matchid", "playerid").orderBy(MOMENT)
-    seconds = (
-        _with_moment(events.filter(F.col("playerid") != 0))
-        .select(*SECOND, "teamid", "timestamp", "x", "y")
-        .repartition(*SECOND)  # serves the distinct rows and the array
-        .distinct()
-        .groupBy(*SECOND, "timestamp")
-        .agg(F.sort_array(F.collect_list(spot)).alias("_spots"))
-        .withColumn("_before", F.lag(F.element_at("_spots", -1)).over(by_second))
-    )
-    touches = seconds.select(
-        "matchid", "playerid", "timestamp", "_before", "_spots", F.posexplode("_spots").alias("_i", "_spot")
+    touches = _with_before(_seconds(events)).select(
+        *SECOND, "_before", "_spots", F.posexplode("_spots").alias("_i", "_spot")
     )
     previous = F.when(F.col("_i") == 0, F.col("_before")).otherwise(F.get("_spots", F.col("_i") - 1))
     return touches.select(
@@ -168,33 +169,67 @@ def move_summary(
 
     As defined for this table, the upper y edge is compared with the previous x;
     ``fix_prev_y=True`` compares the previous y. A first touch has no previous
-    place and so comes from the last zone on both axes.
+    place and so comes from the last zone on both axes. The look-back is that of ``previous_touches``:
+    from second to second a touch is its team and its zones in one number. The moves of a
+    second are counted in its array.
     """
     low, high = schema.Y_EDGES
-    upper = F.col("prev_y") if fix_prev_y else F.col("prev_x")
-    came_from_y = F.when(F.col("prev_y") <= low, 0).when(upper <= high, 1).otherwise(2)
-    zoned = previous_touches(events).select(
-        *PLAYER,
-        "timestamp",
-        zone_x(F.col("x")).alias("section_x"),
-        zone_y(F.col("y")).alias("section_y"),
-        bucket(F.col("prev_x"), schema.X_EDGES).alias("_from_x"),
-        came_from_y.alias("_from_y"),
-    )
-    directions = []
-    for axis in "xy":
-        now, before = F.col(f"section_{axis}"), F.col(f"_from_{axis}")
-        for turn, test in ((2, now < before), (1, now == before), (0, now > before)):
-            directions.append(count_where(test).alias(f"direction_{axis}_{turn}"))
-    key = [*PLAYER, "timestamp", "section_x", "section_y"]
-    moves = zoned.groupBy(*key).agg(*directions, F.count("*").alias("_rows"))
-    # by match and player, as the look-back has dealt the moves
+
+    def zones(spot: Column) -> Column:
+        """Bits 4 and up the x zone, 2 and 3 the y zone, 0 and 1 the y zone as the next touch sees it."""
+        upper = spot["y"] if fix_prev_y else spot["x"]
+        left_y = F.when(spot["y"] <= low, 0).when(upper <= high, 1).otherwise(2)
+        return zone_x(spot["x"]) * 16 + zone_y(spot["y"]) * 4 + left_y
+
+    def turns(spot: Column, before: Column) -> dict[str, Column]:
+        found = {}
+        last = {"x": len(schema.X_EDGES), "y": len(schema.Y_EDGES)}
+        now = {"x": F.shiftright(spot["zones"], 4), "y": F.shiftright(spot["zones"], 2).bitwiseAND(F.lit(3))}
+        came = {"x": F.shiftright(before["zones"], 4), "y": before["zones"].bitwiseAND(F.lit(3))}
+        for axis in "xy":
+            come = F.coalesce(came[axis], F.lit(last[axis]))
+            found[axis] = F.when(now[axis] < come, 2).when(now[axis] == come, 1).otherwise(0)
+        return found
+
+    def place(spot: Column) -> Column:
+        return F.struct(spot["teamid"].alias("teamid"), F.shiftright(spot["zones"], 2).alias("zone"))
+
+    def move(spot: Column, before: Column) -> Column:
+        return F.struct(place(spot).alias("place"), *[t.alias(a) for a, t in turns(spot, before).items()])
+
+    coded = F.transform("_spots", lambda s: F.struct(s["teamid"].alias("teamid"), zones(s).alias("zones")))
+    seconds = _with_before(_seconds(events).withColumn("_spots", coded))
+    # by match and player, as the look-back has dealt the seconds
     placed = _position_counts(positions).groupBy("matchid", "playerid").agg(
         F.collect_list(F.struct(F.col("teamid").alias("_team"), "position", "_times")).alias("_placed")
     )
-    own = F.filter("_placed", lambda p: p["_team"] == F.col("teamid"))
+    one, first = F.size("_spots") == 1, F.col("_spots")[0]  # nearly every second has one touch
+    earlier = F.concat(F.array("_before"), F.slice("_spots", 1, F.size("_spots") - 1))
+    moves = seconds.join(placed, ["matchid", "playerid"]).select(
+        *SECOND, "_placed", one.alias("_one"), *[t.alias(f"_{a}") for a, t in turns(first, F.col("_before")).items()],
+        F.when(~one, F.zip_with("_spots", earlier, move)).alias("_moves"),
+        F.explode(
+            F.when(one, F.array(place(first))).otherwise(F.array_distinct(F.transform("_spots", place)))
+        ).alias("_place"),
+    )
+
+    def counted(test: Column, of: Callable[[Column], Column]) -> Column:
+        here = F.filter("_moves", lambda m: m["place"].eqNullSafe(F.col("_place")) & of(m))
+        return F.when(F.col("_one"), test.cast("int")).otherwise(F.size(here)).cast("bigint")
+
+    directions = [
+        counted(F.col(f"_{axis}") == turn, lambda m, a=axis, t=turn: m[a] == t).alias(f"direction_{axis}_{turn}")
+        for axis in "xy" for turn in (2, 1, 0)
+    ]
+    own = F.filter("_placed", lambda p: p["_team"] == F.col("_place.teamid"))
+    zone = F.col("_place.zone")
+    counts = moves.select(
+        *SECOND, F.col("_place.teamid").alias("teamid"),
+        F.shiftright(zone, 2).alias("section_x"), zone.bitwiseAND(F.lit(3)).alias("section_y"), *directions,
+        counted(F.lit(True), lambda m: F.lit(True)).alias("_rows"), own.alias("_own"),
+    )
     times = F.col("_times")
-    return moves.join(placed, ["matchid", "playerid"]).select("*", F.inline(own)).select(
+    return counts.select("*", F.inline("_own")).select(
         "matchid", "timestamp", "playerid", "teamid", "position", "section_x", "section_y",
         *[(F.col(name) * times).alias(name) for name in DIRECTIONS],
         (F.col("_rows") * times).alias("total_x"),
@@ -208,34 +243,32 @@ def touches_summary(summary: DataFrame) -> DataFrame:
     The running sums are taken over one row per second, then given to all rows
     of that second (rows that tie share their value). Rows without a time come before
     all others of their player. The rows are dealt once, by match, and sorted with none but their
-    counters above 0; the sums are spread out after that. Reads ``summary`` twice, so pass a stored table.
+    counters above 0, each in one number with its place among them (the lower 6 bits); the sums are spread out after that. Reads ``summary`` twice, so pass a stored table.
     """
-    rows = _with_moment(summary)
     above = F.filter(
-        F.array(*[
-            F.struct(F.lit(i).alias("i"), _total(parts).cast("bigint").alias("n"))
-            for i, parts in enumerate(STATE_COUNTERS.values())
-        ]),
-        lambda count: count["n"] != 0,
+        F.array(*[_total(parts).cast("bigint") * 64 + i for i, parts in enumerate(STATE_COUNTERS.values())]),
+        lambda count: (count < 0) | (count >= 64),
     )
     place = F.struct("teamid", "position", "x", "y")
     span = summary.groupBy("matchid").agg(F.min("timestamp").alias("_start"), F.max("timestamp").alias("_end"))
     per_second = (
-        rows.select(*SECOND, "timestamp", place.alias("_place"), above.alias("_above"))
+        summary.select(*SECOND, place.alias("_place"), above.alias("_above"))
         .repartition("matchid")  # serves the grouping, the join and the window
-        .groupBy(*SECOND, "timestamp")
+        .groupBy(*SECOND)
         .agg(F.collect_list("_place").alias("_places"), F.flatten(F.collect_list("_above")).alias("_above"))
         .join(span, "matchid")
-        .sortWithinPartitions("matchid", "playerid", MOMENT)
+        .sortWithinPartitions("matchid", "playerid", "timestamp")
     )
 
     def counted(i: int) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate("_above", zero, lambda total, c: total + F.when(c["i"] == i, c["n"]).otherwise(zero))
+        def of(count: Column) -> Column:
+            return F.when(count.bitwiseAND(F.lit(63)) == i, F.shiftright(count, 6)).otherwise(F.lit(0).cast("bigint"))
+
+        return F.aggregate("_above", F.lit(0).cast("bigint"), lambda total, count: total + of(count))
 
     so_far = (
         W.partitionBy("matchid", "playerid")
-        .orderBy(MOMENT)
+        .orderBy(F.asc_nulls_first("timestamp"))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     elapsed = F.try_divide(F.col("timestamp") - F.col("_start"), F.col("_end") - F.col("_start"))
